@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from functools import partial
 
-from checks import workload_sql
+from checks import quality, workload_sql
 from orderlore.plans import workload
 
 
 def queries() -> dict:
-    return {key: partial(workload.answer, key) for key in workload.QUESTIONS}
+    return {
+        **{key: partial(workload.answer, key) for key in workload.QUESTIONS},
+        **quality.queries(),
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(workload_sql.SQL)
+    return {**workload_sql.SQL, **quality.SQL}

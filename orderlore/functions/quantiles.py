@@ -14,14 +14,16 @@ def exact_quantiles(
     probabilities: Sequence[float],
     value: str = "value",
     accuracy: int = 50_000,
+    few_keys: bool = True,
 ) -> DataFrame:
     """Linearly interpolated quantiles of `value` per key, as `keys, n, quantiles array<double>`.
 
     The built-in exact percentile merges every distinct value of a group in one task. Here a first
     pass asks percentile_approx for a bracket around each wanted rank, a second pass counts the rows
     below the bracket and keeps only the values inside it (about 4/accuracy of the rows), and the
-    ranks are found among those. Both passes combine on the map side. `keys` must name few groups
-    (columns, or groups of a low-cardinality attribute): their brackets are broadcast.
+    ranks are found among those. Both passes combine on the map side. The brackets, one row per key,
+    are broadcast when `few_keys` says that their number is bounded (columns of a table, counted
+    groups); otherwise the join is left to the optimiser, which splits hot keys (skew join).
     """
     keys = list(keys)
     clean = values.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
@@ -49,7 +51,7 @@ def exact_quantiles(
         F.first("_n").alias("_n"), F.array_sort(F.collect_list(F.struct("slot", "low", "high", "rank"))).alias("_ts")
     )
     counted = (
-        clean.join(F.broadcast(packed), keys)
+        clean.join(F.broadcast(packed) if few_keys else packed, keys)
         .select(*keys, "_n", "_v", F.explode("_ts").alias("_t"))
         .where(F.col("_v") <= F.col("_t.high"))
         .groupBy(
