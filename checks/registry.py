@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from checks import quality, workload_sql
+from checks import answers, quality, workload_sql
 from orderlore.plans import workload
 
 
@@ -12,8 +12,9 @@ def queries() -> dict:
     return {
         **{key: partial(workload.answer, key) for key in workload.QUESTIONS},
         **quality.queries(),
+        **answers.queries(),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**workload_sql.SQL, **quality.SQL}
+    return {**workload_sql.SQL, **quality.SQL, **answers.SQL}
