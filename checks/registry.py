@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from checks import answers, quality, workload_sql
+from checks import answers, quality, storage, structure, workload_sql
 from orderlore.plans import workload
 
 
@@ -13,8 +13,10 @@ def queries() -> dict:
         **{key: partial(workload.answer, key) for key in workload.QUESTIONS},
         **quality.queries(),
         **answers.queries(),
+        **structure.queries(),
+        **storage.queries(),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**workload_sql.SQL, **quality.SQL, **answers.SQL}
+    return {**workload_sql.SQL, **quality.SQL, **answers.SQL, **structure.SQL, **storage.SQL}

@@ -6,6 +6,8 @@ same rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,24 +86,46 @@ SELECT CASE user_id % 3 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' ELSE 'gamma' END
 FROM events) templated) written
 """.strip()
 
+# Extracted documents beside their truth: order documents with nested parts, some fields changed, one
+# missing, an empty object, numbers written differently, and text around the JSON.
+DOCUMENTS_SQL = """
+SELECT 'out_' || key || '.json' AS prediction_file, CASE WHEN o_orderkey % 19 = 0 THEN '' ELSE 'in/doc_' || key || '.pdf' END AS origin_file,
+ 'truth/doc_' || key || '.json' AS truth_path, o_orderkey % 23 <> 0 AS has_truth,
+ '{"fname": "doc", "0_expected": {"order": ' || key || ', "customer": {"name": "' || c_name || '", "address": {"nation": "' || n_name
+ || '"}}, "total": {"amount": ' || CAST(o_totalprice AS STRING) || ', "currency": "USD"}, "status": "' || o_orderstatus
+ || '", "items": [' || cust || ', -1], "note": null, "extra": {}}}' AS truth_text,
+ CASE WHEN o_orderkey % 2 = 1 THEN 'Result: ' ELSE '' END || '{"order": ' || key || ', "customer": {"name": "'
+ || CASE WHEN o_orderkey % 7 = 3 THEN 'unknown' ELSE
+  substring(CASE WHEN o_orderkey % 3 = 0 THEN upper(c_name) ELSE c_name END, 1, length(c_name) - CASE WHEN o_orderkey % 7 = 2 THEN 3 ELSE 0 END) END
+ || '", "address": {"nation": "' || n_name || '"}}, "total": {"amount": '
+ || CAST(o_totalprice * CASE o_orderkey % 5 WHEN 0 THEN CAST(1.005 AS DOUBLE) WHEN 1 THEN CAST(1.02 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS STRING)
+ || ', "currency": "USD"}' || CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE ', "status": "' || o_orderstatus || '"' END || ', "items": '
+ || CASE o_orderkey % 13 WHEN 0 THEN '[-1, ' || cust || ']' WHEN 1 THEN '[' || cust || '.0, -1]' ELSE '[' || cust || ', -1]' END
+ || ', "note": ' || CASE WHEN o_orderkey % 17 = 0 THEN '"x"' ELSE 'null' END
+ || ', "document_type": "order", "origin_file": "doc"}' || CASE WHEN o_orderkey % 2 = 1 THEN ' (end)' ELSE '' END AS predicted_text
+FROM (SELECT *, CAST(o_orderkey AS STRING) AS key, CAST(o_custkey AS STRING) AS cust FROM orders
+ JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey) joined
+""".strip()
+
 
 def _over(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
-    text = sql
+    """Run a view's SQL over frames of the named tables, leaving the session's own views alone."""
+    text = sql.replace("{", "{{").replace("}", "}}")
     for table in tables:
-        for word in ("FROM", "JOIN"):
-            text = text.replace(f"{word} {table} ", f"{word} {{{table}}} ").replace(f"{word} {table})", f"{word} {{{table}}})")
+        text = re.sub(rf"\b(FROM|JOIN) {table}\b", rf"\1 {{{table}}}", text)
     return spark.sql(text, **{t: read_table(spark, sf_dir, t) for t in tables})
 
 
 def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _over(spark, sf_dir, DIRTY_SQL.replace("\n)", " )"), "orders", "customer", "nation", "region")
+    return _over(spark, sf_dir, DIRTY_SQL, "orders", "customer", "nation", "region")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over(spark, sf_dir, DOCUMENTS_SQL, "orders", "customer", "nation")
 
 
 def response_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = spark.sql(
-        RESPONSE_LOG_SQL.replace("{", "{{").replace("}", "}}").replace("FROM events)", "FROM {events})"),
-        events=read_table(spark, sf_dir, "events"),
-    )
+    flat = _over(spark, sf_dir, RESPONSE_LOG_SQL, "events")
     chart = F.struct(
         F.col("viz_type").alias("type"),
         F.col("viz_title").alias("title"),

@@ -136,5 +136,5 @@ def pair_examples(documents: DataFrame, answers: DataFrame, n: int | None = 3) -
 
 
 def data_url(content: Column, mime: str = "application/pdf") -> Column:
-    """Bytes as a data URL."""
-    return F.concat(F.lit(f"data:{mime};base64,"), F.base64(content))
+    """Bytes as a data URL; the line breaks that base64 puts in are not allowed there."""
+    return F.concat(F.lit(f"data:{mime};base64,"), F.translate(F.base64(content), "\r\n", ""))
