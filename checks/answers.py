@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from checks.shared import once, response_rows
 from checks.workload_sql import VIEW
 from orderlore.operators import execution, responses, selection, stability
 from orderlore.plans.pipelines import question_summary
 from orderlore.plans.star import SALES_COLUMNS, read_table, sales_view
-from orderlore.plans.test_views import RESPONSE_LOG_SQL, response_log
-from orderlore.session import fresh_path, materialise
+from orderlore.plans.test_views import RESPONSE_LOG_SQL
+from orderlore.session import fresh_path
 from orderlore.sources import responses as stored
 
 COLUMNS = ["region", "sales", "profit", "product_name", "order_id", "order_date", "segment", "category", "discount", "quantity"]
@@ -23,24 +24,8 @@ TEMPLATE = "Context: {dataset_context} Examples: {few_shot_examples} Question: {
 INVALID = ["SELECT missing_column FROM dataset", "SELEC region FORM dataset"]
 STAMP = "2024-02-01 00:00:00"
 
-# outcomes of the log's SQL texts, written once per session and data folder
-_written: dict[tuple, DataFrame] = {}
-
-
-def _once(spark: SparkSession, sf_dir: str, what: str, make) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, what)
-    if key not in _written:
-        _written[key] = make()
-    return _written[key]
-
-
-def response_rows(spark, sf_dir) -> DataFrame:
-    """The log as a stored table, as a run of the answering step leaves it."""
-    return _once(spark, sf_dir, "log", lambda: materialise(response_log(spark, sf_dir), "response-log"))
-
-
 def _checked(spark, sf_dir) -> DataFrame:
-    return _once(
+    return once(
         spark, sf_dir, "checked", lambda: execution.check_sql(response_rows(spark, sf_dir), sales_view(spark, sf_dir))
     )
 
@@ -50,7 +35,7 @@ def _successful(spark, sf_dir) -> DataFrame:
 
 
 def _executed(spark, sf_dir) -> DataFrame:
-    return _once(
+    return once(
         spark, sf_dir, "executed", lambda: execution.execute_batch(_successful(spark, sf_dir), sales_view(spark, sf_dir))
     )
 

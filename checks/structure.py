@@ -6,19 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks import quality
+from checks.shared import document_rows
 from orderlore.operators import clean, describe, documents, profile
 from orderlore.plans.star import read_table
 from orderlore.plans.test_views import DIRTY_SQL, DOCUMENTS_SQL, dirty_orders
-from orderlore.plans.test_views import documents as document_texts
 
 
 def _predictions(s, d) -> DataFrame:
-    rows = document_texts(s, d)
+    rows = document_rows(s, d)
     return rows.select("prediction_file", "origin_file", documents.lenient_document(F.col("predicted_text")).alias("document"))
 
 
 def _pairs(s, d) -> DataFrame:
-    truths = document_texts(s, d).where("has_truth")
+    truths = document_rows(s, d).where("has_truth")
     truths = truths.select(F.col("truth_path").alias("path"), F.parse_json("truth_text").alias("document"))
     return documents.pair_documents(_predictions(s, d), truths)
 

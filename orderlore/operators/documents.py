@@ -14,7 +14,7 @@ from orderlore.functions.text import strip
 
 NUMBER_TOLERANCE = 0.01
 PARTIAL_RATIO = 0.80
-MAX_DEPTH = 12
+MAX_DEPTH = 10
 TRUTH_KEYS = ("0_expected", "expected")
 
 
@@ -65,22 +65,20 @@ def flatten(df: DataFrame, key: str, document: str, max_depth: int = MAX_DEPTH)
             ),
         )
         itself = F.array(F.struct(F.col("path").alias("path"), F.col("leaf").alias("leaf")))
-        rows = rows.select(
-            key, F.explode(F.when(opened(F.col("leaf")).isNotNull(), fields).otherwise(itself)).alias("_f")
-        ).select(key, "_f.path", "_f.leaf")
-    too_deep = F.raise_error(F.lit(f"a document is nested deeper than {max_depth} levels"))
-    leaf = F.when(opened(F.col("leaf")).isNotNull(), too_deep.cast("string")).otherwise(F.to_json("leaf"))
-    kind = F.schema_of_variant("leaf")
-    number = (
-        F.when(kind == "BOOLEAN", F.try_variant_get("leaf", "$", "boolean").cast("int").cast("double"))
-        .when(kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$"), F.try_variant_get("leaf", "$", "double"))
+        # `fields` is NULL for anything but an object
+        rows = rows.select(key, F.explode(F.coalesce(fields, itself)).alias("_f")).select(key, "_f.path", "_f.leaf")
+    texts = rows.select(
+        key, "path", F.to_json("leaf").alias("json"), F.try_variant_get("leaf", "$", "string").alias("_text")
     )
-    return rows.select(
+    # the first character of the JSON tells the kind of a leaf
+    first = F.left("json", F.lit(1))
+    too_deep = F.raise_error(F.lit(f"a document is nested deeper than {max_depth} levels")).cast("string")
+    return texts.select(
         key,
         "path",
-        leaf.alias("json"),
-        F.when(kind == "STRING", F.try_variant_get("leaf", "$", "string")).alias("text"),
-        number.alias("number"),
+        F.when(first == "{", too_deep).otherwise(F.col("json")).alias("json"),
+        F.when(first == '"', F.col("_text")).alias("text"),
+        F.when(first == "t", 1.0).when(first == "f", 0.0).when(first.rlike("[-0-9]"), F.col("json").try_cast("double")).alias("number"),
     )
 
 
