@@ -51,22 +51,24 @@ def flatten(df: DataFrame, key: str, document: str, max_depth: int = MAX_DEPTH)
     """(key, path, leaf) with dotted paths. Objects are opened, everything else is a leaf, and an
     empty object leaves nothing.
 
-    Each step replaces objects by their fields and keeps leaves, so all levels run in one pass over
-    the documents without a shuffle. Deeper documents than `max_depth` raise an error.
+    The leaves of a document are built inside its row: each step replaces the objects of a list by
+    their fields and keeps the leaves, so there is one explode, no shuffle, and a step that finds
+    nothing to open costs little. Deeper documents than `max_depth` raise an error.
     """
     opened = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
-    rows = df.select(F.col(key), F.lit("").alias("path"), F.col(document).alias("leaf"))
-    for _ in range(max_depth):
-        fields = F.transform(
-            F.map_entries(opened(F.col("leaf"))),
-            lambda e: F.struct(
-                F.when(F.col("path") == "", e["key"]).otherwise(F.concat_ws(".", F.col("path"), e["key"])).alias("path"),
-                e["value"].alias("leaf"),
-            ),
+
+    def fields(node: Column) -> Column:
+        """The fields of an object with their paths; NULL for anything else."""
+        path = lambda k: F.when(node["path"] == "", k).otherwise(F.concat_ws(".", node["path"], k))
+        return F.transform(
+            F.map_entries(opened(node["leaf"])),
+            lambda e: F.struct(path(e["key"]).alias("path"), e["value"].alias("leaf")),
         )
-        itself = F.array(F.struct(F.col("path").alias("path"), F.col("leaf").alias("leaf")))
-        # `fields` is NULL for anything but an object
-        rows = rows.select(key, F.explode(F.coalesce(fields, itself)).alias("_f")).select(key, "_f.path", "_f.leaf")
+
+    nodes = F.array(F.struct(F.lit("").alias("path"), F.col(document).alias("leaf")))
+    for _ in range(max_depth):
+        nodes = F.flatten(F.transform(nodes, lambda node: F.coalesce(fields(node), F.array(node))))
+    rows = df.select(key, F.explode(nodes).alias("_f")).select(key, "_f.path", "_f.leaf")
     texts = rows.select(
         key, "path", F.to_json("leaf").alias("json"), F.try_variant_get("leaf", "$", "string").alias("_text")
     )
