@@ -11,7 +11,7 @@ from orderlore.operators import execution, responses, selection, stability
 from orderlore.plans.pipelines import question_summary
 from orderlore.plans.star import SALES_COLUMNS, read_table, sales_view
 from orderlore.plans.test_views import RESPONSE_LOG_SQL
-from orderlore.session import fresh_path
+from orderlore.session import fresh_path, materialise
 from orderlore.sources import responses as stored
 
 COLUMNS = ["region", "sales", "profit", "product_name", "order_id", "order_date", "segment", "category", "discount", "quantity"]
@@ -24,9 +24,14 @@ TEMPLATE = "Context: {dataset_context} Examples: {few_shot_examples} Question: {
 INVALID = ["SELECT missing_column FROM dataset", "SELEC region FORM dataset"]
 STAMP = "2024-02-01 00:00:00"
 
+def _dataset(spark, sf_dir) -> DataFrame:
+    """The table the generated SQL runs over, loaded once as a warehouse table would be."""
+    return once(spark, sf_dir, "dataset", lambda: materialise(sales_view(spark, sf_dir), "dataset"))
+
+
 def _checked(spark, sf_dir) -> DataFrame:
     return once(
-        spark, sf_dir, "checked", lambda: execution.check_sql(response_rows(spark, sf_dir), sales_view(spark, sf_dir))
+        spark, sf_dir, "checked", lambda: execution.check_sql(response_rows(spark, sf_dir), _dataset(spark, sf_dir))
     )
 
 
@@ -36,7 +41,7 @@ def _successful(spark, sf_dir) -> DataFrame:
 
 def _executed(spark, sf_dir) -> DataFrame:
     return once(
-        spark, sf_dir, "executed", lambda: execution.execute_batch(_successful(spark, sf_dir), sales_view(spark, sf_dir))
+        spark, sf_dir, "executed", lambda: execution.execute_batch(_successful(spark, sf_dir), _dataset(spark, sf_dir))
     )
 
 
@@ -106,14 +111,14 @@ def _trials(s, d) -> DataFrame:
 
 
 def _limited(s, d) -> DataFrame:
-    execution.bind_dataset(sales_view(s, d))
+    execution.bind_dataset(_dataset(s, d))
     return execution.run_query(
         s, "SELECT order_id, product_id, round(sales, 4) AS sales FROM dataset ORDER BY order_id, product_id, sales;"
     )
 
 
 def _bound(s, d) -> DataFrame:
-    execution.bind_dataset(sales_view(s, d))
+    execution.bind_dataset(_dataset(s, d))
     return execution.as_query(s, "SELECT region, COUNT(*) AS line_count FROM dataset GROUP BY region")
 
 

@@ -5,21 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: the date patterns tried, in order
-DATE_PATTERNS = (
-    "yyyy-M-d",
-    "M/d/yyyy",
-    "d/M/yyyy",
-    "yyyy-M-d H:m:s",
-    "M/d/yyyy H:m:s",
-    "d-M-yyyy",
-    "yyyy/M/d",
-)
+# fixed values: the date patterns tried, in order, each with the shape a fitting text has
+DATE_PATTERNS = {
+    "yyyy-M-d": r"^\d{4}-\d{1,2}-\d{1,2}$",
+    "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "d/M/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "yyyy-M-d H:m:s": r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$",
+    "M/d/yyyy H:m:s": r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$",
+    "d-M-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
+    "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
+}
 
 
 def parses(text: Column) -> list[Column]:
-    """One timestamp attempt per pattern, then the engine's own date syntax."""
-    attempts = [F.try_to_timestamp(text, F.lit(p)) for p in DATE_PATTERNS]
+    """One timestamp attempt per pattern, then the engine's own date syntax.
+
+    A failed pattern costs an exception inside the parser, so only texts of the right shape get there.
+    """
+    attempts = [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(p))) for p, shape in DATE_PATTERNS.items()]
     return [*attempts, text.try_cast("timestamp")]
 
 

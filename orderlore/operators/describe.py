@@ -10,6 +10,7 @@ from orderlore.functions.text import first_label, has_any
 from orderlore.operators.profile import (
     column_roles,
     date_ranges,
+    frequencies,
     kind_of,
     numeric_statistics,
     numeric_summary,
@@ -105,9 +106,9 @@ def cardinality_band() -> Column:
     )
 
 
-def column_facts(df: DataFrame, approx: bool = False) -> DataFrame:
+def column_facts(df: DataFrame, approx: bool = False, freq: DataFrame | None = None) -> DataFrame:
     """One row per column."""
-    roles = column_roles(df, approx)
+    roles = column_roles(df, approx, freq)
     return roles.select(
         "ordinal",
         "column",
@@ -140,10 +141,12 @@ def column_ranges(df: DataFrame) -> DataFrame:
     return numbers.unionByName(dates)
 
 
-def sample_values(df: DataFrame, facts: DataFrame, k: int = SAMPLE_VALUES) -> DataFrame:
+def sample_values(
+    df: DataFrame, facts: DataFrame, k: int = SAMPLE_VALUES, freq: DataFrame | None = None
+) -> DataFrame:
     """the commonest values of the low-cardinality columns."""
     wanted = facts.where("is_low_cardinality").select("ordinal")
-    return top_values(df, k).join(wanted, "ordinal").select("ordinal", "column", "value", "count", "place")
+    return top_values(df, k, freq=freq).join(wanted, "ordinal").select("ordinal", "column", "value", "count", "place")
 
 
 def statistics(df: DataFrame) -> DataFrame:
@@ -189,12 +192,13 @@ def relationships(facts: DataFrame, limit: int = PAIR_LIMIT) -> DataFrame:
 
 
 def metadata(df: DataFrame, dataset_name: str, approx: bool = False) -> DataFrame:
-    """one row with every part; the column facts are computed once and written."""
-    facts = materialise(column_facts(df, approx), "column-facts")
+    """one row with every part; frequencies and column facts are computed once and written."""
+    freq = materialise(frequencies(df), "frequencies")
+    facts = materialise(column_facts(df, approx, freq), "column-facts")
     ordered = lambda frame, *cols: frame.agg(
         F.array_sort(F.collect_list(F.struct(*cols))).alias("a")
     ).scalar()
-    samples = sample_values(df, facts)
+    samples = sample_values(df, facts, freq=freq)
     return facts.agg(F.max("row_count").alias("row_count"), F.count("*").alias("column_count")).select(
         F.lit(dataset_name).alias("table_name"),
         "row_count",

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from orderlore.functions.dates import parses, to_datetime
 from orderlore.functions.numeric import is_datetime, is_fractional, is_integral, is_number, nan_to_null, percent, ratio
 from orderlore.functions.quantiles import exact_quantiles
+from orderlore.session import materialise
 
 # fixed values: words that mark a column as sensitive
 SENSITIVE_KEYWORDS = (
@@ -79,10 +80,11 @@ def frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     return cells(nan_to_null(df), columns).groupBy("ordinal", "value").agg(F.count("*").alias("count"))
 
 
-def column_counts(df: DataFrame, approx: bool = False) -> DataFrame:
+def column_counts(df: DataFrame, approx: bool = False, freq: DataFrame | None = None) -> DataFrame:
     """Rows, nulls, distinct values and best date parse rate per column.
 
-    `approx` replaces exact distinct counts by HyperLogLog++, which needs no shuffle of cells.
+    `approx` replaces exact distinct counts by HyperLogLog++, which needs no shuffle of cells; `freq`
+    is a stored `frequencies(df)` that several operators share.
     """
     if approx:
         return named(_approximate_counts(df), df)
@@ -92,7 +94,7 @@ def column_counts(df: DataFrame, approx: bool = False) -> DataFrame:
     weight = F.sum(F.when(present, F.col("count")).otherwise(0))
     rates = [ratio(F.sum(F.when(p.isNotNull(), F.col("count")).otherwise(0)), weight) for p in parses(text)]
     counted = (
-        frequencies(df)
+        (frequencies(df) if freq is None else freq)
         .groupBy("ordinal")
         .agg(
             F.sum("count").alias("row_count"),
@@ -148,8 +150,8 @@ def role_of() -> Column:
     )
 
 
-def column_roles(df: DataFrame, approx: bool = False) -> DataFrame:
-    counts = column_counts(df, approx)
+def column_roles(df: DataFrame, approx: bool = False, freq: DataFrame | None = None) -> DataFrame:
+    counts = column_counts(df, approx, freq)
     return counts.select(
         "*",
         role_of().alias("role"),
@@ -200,7 +202,15 @@ def numeric_statistics(df: DataFrame, columns: Sequence[str] | None = None) -> D
     return named(numeric_summary(df, columns).join(quartiles, "ordinal", "left"), df)
 
 
-def top_values(df: DataFrame, k: int = 5, columns: Sequence[str] | None = None) -> DataFrame:
+def _of_columns(df: DataFrame, columns: Sequence[str] | None, freq: DataFrame | None) -> DataFrame:
+    if freq is None:
+        return frequencies(df, columns)
+    return freq if columns is None else freq.where(F.col("ordinal").isin([df.columns.index(c) for c in columns]))
+
+
+def top_values(
+    df: DataFrame, k: int = 5, columns: Sequence[str] | None = None, freq: DataFrame | None = None
+) -> DataFrame:
     """(column, value, count, place) of the k commonest values, ties by value.
 
     The filter on row_number becomes a partial top-k before the shuffle, so no column's distinct
@@ -208,7 +218,7 @@ def top_values(df: DataFrame, k: int = 5, columns: Sequence[str] | None = None)
     """
     order = Window.partitionBy("ordinal").orderBy(F.col("count").desc(), "value")
     best = (
-        frequencies(df, columns)
+        _of_columns(df, columns, freq)
         .where(F.col("value").isNotNull())
         .withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= k)
@@ -216,10 +226,14 @@ def top_values(df: DataFrame, k: int = 5, columns: Sequence[str] | None = None)
     return named(best.withColumn("place", F.col("place").cast("bigint")), df)
 
 
-def date_ranges(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def date_ranges(df: DataFrame, columns: Sequence[str] | None = None, freq: DataFrame | None = None) -> DataFrame:
     """First and last moment of the date columns, text dates parsed once per distinct value."""
     moment = to_datetime(F.col("value"))
-    found = frequencies(df, columns).groupBy("ordinal").agg(F.min(moment).alias("min_date"), F.max(moment).alias("max_date"))
+    found = (
+        _of_columns(df, columns, freq)
+        .groupBy("ordinal")
+        .agg(F.min(moment).alias("min_date"), F.max(moment).alias("max_date"))
+    )
     return named(found.where(F.col("min_date").isNotNull()), df)
 
 
@@ -288,17 +302,21 @@ def dtype_counts(df: DataFrame) -> DataFrame:
 
 
 def profile(df: DataFrame, dataset_name: str, approx: bool = False) -> DataFrame:
-    """One row per column with everything above; store it with `sources.reports`."""
-    roles = column_roles(df, approx)
+    """One row per column with everything above; store it with `sources.stages.write_report`.
+
+    The frequencies feed the counts, the top values and the date ranges, so they are written once.
+    """
+    freq = materialise(frequencies(df), "frequencies")
+    roles = column_roles(df, approx, freq)
     stats = numeric_statistics(df).select("ordinal", "min", "max", "mean", "median", "std")
     top = (
-        top_values(df)
+        top_values(df, freq=freq)
         .groupBy("ordinal")
         .agg(F.array_sort(F.collect_list(F.struct("place", "value", "count"))).alias("top"))
         .select("ordinal", F.transform("top", lambda t: F.struct(t["value"].alias("value"), t["count"].alias("count"))).alias("top_values"))
     )
     texts = [f.name for f in df.schema.fields if kind_of(f.dataType) in ("string", "datetime")]
-    dates = date_ranges(df, texts).select("ordinal", "min_date", "max_date")
+    dates = date_ranges(df, texts, freq).select("ordinal", "min_date", "max_date")
     numeric, dated = F.col("role").isin(*NUMERIC_ROLES), F.col("role") == "datetime"
     protected = F.lower("column").rlike("|".join(SENSITIVE_KEYWORDS)) | (
         (F.col("kind") == "string") & F.col("unique_count").between(2, 20)
