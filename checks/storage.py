@@ -242,7 +242,7 @@ def _sql() -> dict[str, str]:
     return {
         "S01": "SELECT p_partkey, ['csv', 'excel', 'json', 'parquet', 'text', 'unknown'][CAST(p_partkey % 6 AS INT) + 1] AS format FROM part",
         "S02": _ORDERS,
-        "S03": "SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS nation, CASE WHEN c_nationkey % 4 = 0 THEN 'latin-1' ELSE 'utf-8' END AS encoding FROM customer",
+        "S03": "SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS nation, CASE WHEN c_nationkey % 4 = 0 THEN 'iso-8859-1' ELSE 'utf-8' END AS encoding FROM customer",
         "S04": "SELECT * FROM customer",
         "S05": "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity > 45",
         "S08": "SELECT 'orders' AS dataset_name, count(*) AS rows, CAST(6 AS BIGINT) AS columns FROM orders",

@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _edge(index: int, outermost: bool, unbounded: float, accuracy: int) -> Column:
+    """An edge of a bracket. It is open at the ends of the scale, so that rank 0 and rank n-1 are always
+    inside, and for groups so small that the margin is less than the neighbours it has to cover."""
+    if outermost:
+        return F.lit(unbounded)
+    return F.when(F.col("_n") <= 2 * accuracy, F.lit(unbounded)).otherwise(F.col("_edges")[index])
+
+
 def exact_quantiles(
     values: DataFrame,
     keys: Sequence[str],
@@ -37,9 +45,8 @@ def exact_quantiles(
         *[
             F.struct(
                 F.lit(i).alias("slot"),
-                # the outermost brackets are open, so that rank 0 and rank n-1 are always inside
-                (F.lit(float("-inf")) if edges[2 * i] <= 0.0 else F.col("_edges")[2 * i]).alias("low"),
-                (F.lit(float("inf")) if edges[2 * i + 1] >= 1.0 else F.col("_edges")[2 * i + 1]).alias("high"),
+                _edge(2 * i, edges[2 * i] <= 0.0, float("-inf"), accuracy).alias("low"),
+                _edge(2 * i + 1, edges[2 * i + 1] >= 1.0, float("inf"), accuracy).alias("high"),
                 (F.lit(float(p)) * (F.col("_n") - 1)).alias("rank"),
             )
             for i, p in enumerate(probabilities)

@@ -24,16 +24,22 @@ def build_session(cpus: str = "*", shuffle_partitions: int = 8, app_name: str =
     )
 
 
+# temporary folders of sessions that name none, by application
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, named by spark.checkpoint.dir.
 
-    Only where the session leaves the setting unset (local tests) a temporary folder is made,
-    and it is recorded in the session so that later calls agree on it.
+    The setting is read from the session; only where it is unset, as in local tests, a temporary
+    folder is made.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="orderlore-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        application = spark.sparkContext.applicationId
+        if application not in _local_folders:
+            _local_folders[application] = tempfile.mkdtemp(prefix="orderlore-")
+        folder = _local_folders[application]
     return folder.rstrip("/")
 
 

@@ -74,21 +74,21 @@ def listing(spark: SparkSession, *folders: str, pattern: str = "*", recursive: b
 
 
 def encodings(spark: SparkSession, *paths: str, pattern: str = "*") -> DataFrame:
-    """(path, encoding) per file: a UTF-16 mark, valid UTF-8, else Latin-1, which reads any bytes."""
+    """(path, encoding) per file: a UTF-16 mark, valid UTF-8, else Latin-1 (iso-8859-1), which reads any bytes."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(list(paths))
     mark = F.hex(F.substring("content", 1, 2))
     return files.select(
         "path",
         F.when(mark.isin("FFFE", "FEFF"), "utf-16")
         .when(F.is_valid_utf8(F.col("content").cast("string")), "utf-8")
-        .otherwise("latin-1")
+        .otherwise("iso-8859-1")
         .alias("encoding"),
     )
 
 
 def probe_encoding(spark: SparkSession, path: str) -> str:
     """One encoding for a data set: the least permissive that fits all of its files."""
-    order = F.array(*map(F.lit, ["utf-8", "utf-16", "latin-1"]))
+    order = F.array(*map(F.lit, ["utf-8", "utf-16", "iso-8859-1"]))
     found = encodings(spark, path).agg(F.max_by("encoding", F.array_position(order, F.col("encoding")))).first()
     return found[0] or "utf-8"
 

@@ -15,8 +15,7 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     A question file is one short hand-written document, so it is read whole; the numbers come from the
     position inside its array of lines, without a global sort.
     """
-    text = spark.read.option("wholetext", True).text(path)
-    return questions_of(text)
+    return questions_of(spark.read.text(path, wholetext=True))
 
 
 def questions_of(text: DataFrame) -> DataFrame:
