@@ -255,7 +255,7 @@ QUERIES = {
     "M09": lambda s, d: _joined(selection.bias_gate(_bias(s, d)), "errors"),
     "M11": lambda s, d: selection.previous_version(_versions(s, d)).select("version", "kind", "composite_score"),
     "M12": lambda s, d: _rounded(
-        selection.promotion(_versions(s, d), keys=("user_id",)).select(
+        selection.promotion(_versions(s, d), keys=("user_id",), slice_by=F.date_trunc("hour", "updated")).select(
             "user_id", "version", "previous_score", "improvement", "should_deploy",
             F.regexp_extract("reason", r"^(Model \w+|\w+ \w+)", 1).alias("reason"),
         ),

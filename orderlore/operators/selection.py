@@ -151,11 +151,36 @@ def previous_version(versions: DataFrame) -> DataFrame:
     return recent.where((F.col("kind") == wanted) & (F.col("_n") == 2)).drop("_n")
 
 
+def with_previous(versions: DataFrame, keys: Sequence[str], slice_by: Column | None = None) -> DataFrame:
+    """Each version with the score of the one before it in its history (`keys`).
+
+    `slice_by`, a period of the update time, bounds what one task has to sort: inside a slice the
+    previous version is a neighbour, and the first version of a slice takes the last one of the nearest
+    earlier slice, found among one row per slice. Without it a whole history is one task's work.
+    """
+    order = ["updated", "version"]
+    if slice_by is None:
+        return versions.withColumn("previous_score", F.lag("composite_score").over(Window.partitionBy(*keys).orderBy(*order)))
+    sliced = versions.withColumn("_slice", slice_by)
+    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    rows = sliced.withColumns({"previous_score": F.lag("composite_score").over(inside), "_n": F.row_number().over(inside)})
+    lasts = sliced.groupBy(*keys, "_slice").agg(F.max_by("composite_score", F.struct(*order)).alias("_last"))
+    carried = lasts.withColumn("_carried", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_slice"))).drop("_last")
+    return (
+        rows.join(carried, [*keys, "_slice"])
+        .withColumn("previous_score", F.when(F.col("_n") == 1, F.col("_carried")).otherwise(F.col("previous_score")))
+        .drop("_n", "_carried", "_slice")
+    )
+
+
 def promotion(
-    versions: DataFrame, enabled: bool = True, min_improvement: float = 0.0, keys: Sequence[str] = ()
+    versions: DataFrame,
+    enabled: bool = True,
+    min_improvement: float = 0.0,
+    keys: Sequence[str] = (),
+    slice_by: Column | None = None,
 ) -> DataFrame:
     """Whether each version may replace the one before it."""
-    before = F.lag("composite_score").over(Window.partitionBy(*keys).orderBy("updated", "version"))
     gain = F.col("improvement")
     allowed = F.col("previous_score").isNull() | F.lit(not enabled) | (gain >= min_improvement)
     reason = (
@@ -165,7 +190,7 @@ def promotion(
         .otherwise(F.format_string("Model degraded by %.2f points", F.abs(gain)))
     )
     return (
-        versions.withColumn("previous_score", before)
+        with_previous(versions, keys, slice_by)
         .withColumn("improvement", F.col("composite_score") - F.col("previous_score"))
         .withColumn("should_deploy", allowed)
         .withColumn("reason", reason)

@@ -1,4 +1,8 @@
-"""Bias and stability of logged answers, per model (L)."""
+"""Bias and stability of logged answers, per model (L).
+
+A log has few models, so each analysis is one aggregate that folds the answers on the map side, and
+limits on the number of answers are applied to its result rows instead of being joined to the log.
+"""
 
 from __future__ import annotations
 
@@ -32,13 +36,6 @@ QUESTION_TYPES = {
 }
 
 
-def _successes(log: DataFrame, at_least: int = 1) -> DataFrame:
-    """Successful answers; `per_model` carries how many of them each model has."""
-    counts = log.where(succeeded()).groupBy("model_name").agg(F.count("*").alias("successes"))
-    enough = counts.where(F.col("successes") >= at_least)
-    return log.where(succeeded()).join(enough, "model_name")
-
-
 def chart_distribution(log: DataFrame) -> DataFrame:
     """Share of each chart type within its model."""
     kind = F.coalesce("visualization.type", F.lit("unknown")).alias("chart_type")
@@ -103,11 +100,14 @@ def column_usage(log: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
     sql = F.coalesce("sql_query", F.lit(""))
     mentioned = F.filter(F.array(*[F.lit(c) for c in columns]), lambda c: F.contains(sql, c))
-    answers = _successes(log).select("model_name", "successes", F.explode(mentioned).alias("column"))
+    # the empty name stands for the answer itself, so one aggregate also counts the answers
+    named = F.explode(F.concat(F.array(F.lit("")), mentioned))
+    counts = log.where(succeeded()).select("model_name", named.alias("column")).groupBy("model_name", "column").count()
+    answers = F.max(F.when(F.col("column") == "", F.col("count"))).over(Window.partitionBy("model_name"))
     return (
-        answers.groupBy("model_name", "column")
-        .agg(F.count("*").alias("count"), F.first("successes").alias("successes"))
-        .select("model_name", "column", "count", percent(F.col("count"), F.col("successes")).alias("usage_pct"))
+        counts.withColumn("_answers", answers)
+        .where(F.col("column") != "")
+        .select("model_name", "column", "count", percent(F.col("count"), F.col("_answers")).alias("usage_pct"))
     )
 
 
@@ -221,11 +221,14 @@ def by_question_type(log: DataFrame) -> DataFrame:
             F.array_position(F.array(*map(F.lit, ["aggregation", "filtering", "sorting", "listing"])), F.col("question_type")),
         )
     )
+    answers = F.sum("count").over(Window.partitionBy("model_name"))
     return (
-        _successes(log, MIN_FOR_STABILITY)
+        log.where(succeeded())
         .groupBy("model_name", question_type().alias("question_type"))
         .agg(F.count("*").alias("count"), F.avg(F.coalesce("response_time", F.lit(0.0))).alias("avg_response_time"))
-        .withColumn("is_most_common", rank == 1)
+        .withColumns({"is_most_common": rank == 1, "_answers": answers})
+        .where(F.col("_answers") >= MIN_FOR_STABILITY)
+        .drop("_answers")
     )
 
 
@@ -234,16 +237,18 @@ def response_time_stability(log: DataFrame) -> DataFrame:
     time = F.when(F.col("response_time") > 0, F.col("response_time"))
     cv = F.when(F.col("mean_time") > 0, F.col("std_time") / F.col("mean_time")).otherwise(0.0)
     return (
-        _successes(log, MIN_FOR_STABILITY)
+        log.where(succeeded())
         .groupBy("model_name")
         .agg(
+            F.count("*").alias("_answers"),
             F.count(time).alias("timed"),
             F.avg(time).alias("mean_time"),
             F.stddev_pop(time).alias("std_time"),
             F.min(time).alias("min_time"),
             F.max(time).alias("max_time"),
         )
-        .where(F.col("timed") >= 2)
+        .where((F.col("_answers") >= MIN_FOR_STABILITY) & (F.col("timed") >= 2))
+        .drop("_answers")
         .withColumn("time_cv", cv)
         .withColumn(
             "stability_rating",
@@ -257,9 +262,16 @@ def output_consistency(log: DataFrame) -> DataFrame:
     size = F.length(F.coalesce("sql_query", F.lit("")))
     kinds = F.count_distinct(F.coalesce("visualization.type", F.lit("none")))
     return (
-        _successes(log, MIN_FOR_STABILITY)
+        log.where(succeeded())
         .groupBy("model_name")
-        .agg(kinds.alias("visualization_variety"), F.stddev_pop(size).alias("sql_length_std"), F.avg(size).alias("avg_sql_length"))
+        .agg(
+            F.count("*").alias("_answers"),
+            kinds.alias("visualization_variety"),
+            F.stddev_pop(size).alias("sql_length_std"),
+            F.avg(size).alias("avg_sql_length"),
+        )
+        .where(F.col("_answers") >= MIN_FOR_STABILITY)
+        .drop("_answers")
         .withColumn("consistency_score", 100 - ratio(F.col("sql_length_std"), F.col("avg_sql_length")) * 100)
     )
 

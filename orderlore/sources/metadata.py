@@ -6,7 +6,7 @@ folder that is being rewritten.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = (
@@ -16,11 +16,17 @@ SCHEMA = (
 
 
 def upsert(current: DataFrame, changes: DataFrame) -> DataFrame:
-    """The newest record per data set, with the time the first one was created."""
-    newest = Window.partitionBy("dataset_name").orderBy(F.col("updated_at").desc(), F.col("metadata").desc())
-    created = F.min("created_at").over(Window.partitionBy("dataset_name"))
-    merged = current.unionByName(changes).withColumn("created_at", created)
-    return merged.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+    """The newest record per data set, with the time the first one was created.
+
+    An aggregate, not a window, so that many changes of one data set are folded before the shuffle.
+    """
+    both = current.unionByName(changes)
+    kept = [c for c in both.columns if c not in ("dataset_name", "created_at")]
+    newest = both.groupBy("dataset_name").agg(
+        F.max_by(F.struct(*kept), F.struct("updated_at", "metadata", "llm_context")).alias("_r"),
+        F.min("created_at").alias("created_at"),
+    )
+    return newest.select("dataset_name", "_r.*", "created_at").select(*both.columns)
 
 
 def lookup(table: DataFrame, dataset_name: str) -> DataFrame:

@@ -125,14 +125,8 @@ def table_info(spark: SparkSession, table: str) -> DataFrame:
             "table string, exists boolean, num_rows bigint, num_columns bigint, num_bytes bigint, schema string",
         )
     df = spark.table(table)
-    # the size is a per-file fact: one value per file, found from metadata columns without reading data
-    size = (
-        df.select("_metadata.file_path", "_metadata.file_size")
-        .groupBy("file_path")
-        .agg(F.max("file_size").alias("bytes"))
-        .agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b"))
-        .scalar()
-    )
+    where = spark.sql(f"DESCRIBE EXTENDED {table}").where("col_name = 'Location'").first()["data_type"]
+    size = listing(spark, where).select(F.coalesce(F.sum("length"), F.lit(0))).scalar()
     return df.agg(F.count("*").alias("num_rows")).select(
         F.lit(table).alias("table"),
         F.lit(True).alias("exists"),
