@@ -72,7 +72,7 @@ def ranked(inner: str, measure: str, fn: str = "rank") -> str:
 
 
 def share(inner: str, measure: str, name: str) -> str:
-    return f"SELECT *, {measure} / SUM({measure}) OVER () * 100 AS {name} FROM ({inner})"
+    return f"SELECT *, {measure} / CAST(SUM(CAST({measure} AS DECIMAL(18,4))) OVER () AS DOUBLE) * 100 AS {name} FROM ({inner})"
 
 
 def running(inner: str, key: str, measure: str, name: str) -> str:

@@ -47,13 +47,11 @@ def truth_body(document: Column) -> Column:
     return F.coalesce(*[F.try_variant_get(document, f"$['{k}']", "variant") for k in TRUTH_KEYS])
 
 
-def flatten(df: DataFrame, key: str, document: str, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(key, path, leaf) with dotted paths. Objects are opened, everything else is a leaf, and an
-    empty object leaves nothing.
+def leaf_nodes(document: Column, max_depth: int = MAX_DEPTH) -> Column:
+    """The leaves of a document as an array of (path, leaf), built inside its row.
 
-    The leaves of a document are built inside its row: each step replaces the objects of a list by
-    their fields and keeps the leaves, so there is one explode, no shuffle, and a step that finds
-    nothing to open costs little. Deeper documents than `max_depth` raise an error.
+    Each step replaces the objects of the list by their fields and keeps the leaves, so a step that
+    finds nothing to open costs little.
     """
     opened = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
 
@@ -65,25 +63,34 @@ def flatten(df: DataFrame, key: str, document: str, max_depth: int = MAX_DEPTH)
             lambda e: F.struct(path(e["key"]).alias("path"), e["value"].alias("leaf")),
         )
 
-    nodes = F.array(F.struct(F.lit("").alias("path"), F.col(document).alias("leaf")))
+    nodes = F.array(F.struct(F.lit("").alias("path"), document.alias("leaf")))
     for _ in range(max_depth):
         nodes = F.flatten(F.transform(nodes, lambda node: F.coalesce(fields(node), F.array(node))))
-    rows = df.select(key, F.explode(nodes).alias("_f")).select(key, "_f.path", "_f.leaf")
-    texts = rows.select(
-        key, "path", F.to_json("leaf").alias("json"), F.try_variant_get("leaf", "$", "string").alias("_text")
-    )
+    return nodes
+
+
+def typed_leaves(rows: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """Replace the column `leaf` by its JSON and, where it is one, its text or number."""
+    others = [c for c in rows.columns if c != "leaf"]
+    texts = rows.select(*others, F.to_json("leaf").alias("json"), F.try_variant_get("leaf", "$", "string").alias("_text"))
     # the first character of the JSON tells the kind of a leaf
     first = F.left("json", F.lit(1))
     too_deep = F.raise_error(F.lit(f"a document is nested deeper than {max_depth} levels")).cast("string")
     return texts.select(
-        key,
-        "path",
+        *others,
         F.when(first == "{", too_deep).otherwise(F.col("json")).alias("json"),
         F.when(first == '"', F.col("_text")).alias("text"),
         F.when(first == "t", 1.0).when(first == "f", 0.0).when(first.rlike("[-0-9]"), F.col("json").try_cast("double")).alias("number"),
     )
 
 
+def flatten(df: DataFrame, key: str, document: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """(key, path, json, text, number) with dotted paths. Objects are opened, everything else is a
+    leaf, and an empty object leaves nothing. Deeper documents than `max_depth` raise an error."""
+    nodes = df.select(key, F.explode(leaf_nodes(F.col(document), max_depth)).alias("_f"))
+    return typed_leaves(nodes.select(key, "_f.path", "_f.leaf"), max_depth)
+
+
 def match_class(truth: str = "t", predicted: str = "p") -> Column:
     """Exact, partial or wrong. Numbers agree within 1 % of the larger, texts after trimming and
     lower-casing, or partially when similar; arrays agree as whole lists."""
@@ -101,18 +108,25 @@ def match_class(truth: str = "t", predicted: str = "p") -> Column:
     )
 
 
-def compare_fields(pairs: DataFrame, key: str = "prediction_file") -> DataFrame:
-    """D06, row level: (key, path, outcome) with outcome exact, partial, wrong, missing or extra."""
-    truths = flatten(pairs.withColumn("_truth", truth_body(F.col("truth"))), key, "_truth").alias("t")
-    found = flatten(pairs, key, "document").alias("p")
-    same = (F.col(f"t.{key}") == F.col(f"p.{key}")) & (F.col("t.path") == F.col("p.path"))
-    joined = truths.join(found, same, "full_outer")
-    outcome = (
-        F.when(F.col("p.path").isNull(), "missing").when(F.col("t.path").isNull(), "extra").otherwise(match_class())
+def compare_fields(pairs: DataFrame, key: str = "prediction_file", max_depth: int = MAX_DEPTH) -> DataFrame:
+    """D06, row level: (key, path, outcome) with outcome exact, partial, wrong, missing or extra.
+
+    Both documents of a pair are opened in one pass. Their leaves meet in an aggregate on (key, path),
+    which joins most of them before the shuffle, and the leaves of one long document are spread over
+    many tasks.
+    """
+    side = lambda document, is_truth: F.transform(
+        leaf_nodes(document, max_depth),
+        lambda n: F.struct(F.lit(is_truth).alias("is_truth"), n["path"].alias("path"), n["leaf"].alias("leaf")),
     )
-    return joined.select(
-        F.coalesce(f"t.{key}", f"p.{key}").alias(key), F.coalesce("t.path", "p.path").alias("path"), outcome.alias("outcome")
+    both = F.concat(side(truth_body(F.col("truth")), True), side(F.col("document"), False))
+    leaves = typed_leaves(pairs.select(key, F.explode(both).alias("_f")).select(key, "_f.*"), max_depth)
+    leaf = F.struct("json", "text", "number")
+    met = leaves.groupBy(key, "path").agg(
+        F.max(F.when(F.col("is_truth"), leaf)).alias("t"), F.max(F.when(~F.col("is_truth"), leaf)).alias("p")
     )
+    outcome = F.when(F.col("p").isNull(), "missing").when(F.col("t").isNull(), "extra").otherwise(match_class())
+    return met.select(key, "path", outcome.alias("outcome"))
 
 
 def report(fields: DataFrame, key: str = "prediction_file") -> DataFrame:

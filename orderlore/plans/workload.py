@@ -98,7 +98,7 @@ def _ranked(df: DataFrame, measure: str, rank: Callable[[], Column] = F.rank) ->
 
 def _share(df: DataFrame, measure: str, name: str = "share_pct") -> DataFrame:
     """Share of the grand total, over already aggregated groups; the total is a scalar subquery."""
-    whole = df.select(F.sum(measure)).scalar()
+    whole = df.select(F.sum(F.col(measure).cast("decimal(38,4)")).cast("double")).scalar()
     return df.select("*", (ratio(F.col(measure), whole) * 100).alias(name))
 
 
@@ -740,8 +740,7 @@ def _sold_in_every_region(s: Sales) -> DataFrame:
 def _running(df: DataFrame, period: str, measure: str, name: str) -> DataFrame:
     """Running total over already aggregated periods: one row per period of the calendar."""
     window = Window.orderBy(period).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    units = F.rint(F.col(measure) * 10000).cast("bigint").cast("decimal(18,0)")
-    return df.withColumn(name, (F.sum(units).over(window) / F.lit(10000)).cast("double"))
+    return df.withColumn(name, F.sum(F.col(measure).cast("decimal(38,4)")).over(window).cast("double"))
 
 
 def _top_product_per_region(s: Sales) -> DataFrame:

@@ -138,6 +138,15 @@ def test_versions(spark):
     ]
 
 
+def test_sliced_history_equals_whole_history(spark):
+    v = spark.range(400).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 5)).alias("model"),
+        F.col("id").alias("version"), (F.col("id") * 7919 % 97).alias("updated"), (F.col("id") * 31 % 50).cast("double").alias("composite_score"),
+    )
+    whole = rows(selection.with_previous(v, ["model"]), "version", "previous_score")
+    assert whole == rows(selection.with_previous(v, ["model"], F.floor(F.col("updated") / 10)), "version", "previous_score")
+
+
 def test_tuning_marks_first_best_or_none(spark):
     good, half = '{"sql_query": "S", "visualization": {}}', "{}"
     trials = spark.createDataFrame(
