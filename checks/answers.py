@@ -622,6 +622,9 @@ _EXEC_SQL = {
     "X18": f"SELECT total_queries, successfully_executed, valid_results, round(execution_success_rate, 6) AS execution_success_rate, "
     f"round(result_validity_rate, 6) AS result_validity_rate, round(overall_accuracy, 6) AS overall_accuracy FROM {_ACCURACY}",
     "X19": "SELECT model_name, query_number, status, execution_status, results_valid, n AS result_count FROM answers",
+    "X20": f"SELECT 'orders' AS dataset_name, models_evaluated, best_model, total_queries, successfully_executed, valid_results, "
+    f"round(overall_accuracy, 6) AS overall_accuracy FROM {_ACCURACY}, "
+    f"({_LOG} SELECT count(*) AS models_evaluated, max(model_name) FILTER (rank = 1) AS best_model FROM scores)",
 }
 
 SQL = {

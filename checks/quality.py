@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlore.operators import clean, fairness, profile, validate
+from orderlore.plans.pipelines import dataset_summary
 from orderlore.plans.test_views import DIRTY_SQL, dirty_orders
 
 COLUMNS = {
@@ -68,6 +69,14 @@ def _summary(df: DataFrame) -> DataFrame:
     return clean.summary(df, clean.clean(df, ROLES))
 
 
+def _run_summary(df: DataFrame) -> DataFrame:
+    row = dataset_summary(df, clean.clean(df, ROLES), "dirty_orders", ATTRIBUTES, METRICS)
+    return row.select(
+        "dataset_name", "rows", "columns", "validation.overall_valid", "cleaning.final_rows", "cleaning.final_columns",
+        "bias.total_tests", "bias.bias_flags",
+    )
+
+
 OPERATORS = {
     "P01": lambda d: profile.column_roles(d).select("column", "role"),
     "P02": lambda d: profile.column_roles(d).where("dtype = 'boolean'").select("column", "role", "unique_count"),
@@ -168,6 +177,7 @@ OPERATORS = {
     "B11": lambda d: fairness.summarise(d, ATTRIBUTES, METRICS).select(
         "bias_flags", F.explode("recommendations").alias("recommendation")
     ),
+    "X20.dataset": _run_summary,
 }
 
 
@@ -401,6 +411,10 @@ _SQL = {
     "B10": f"SELECT bias_flags, CASE WHEN bias_flags = 0 THEN '{fairness.ASSESSMENT_NONE}' WHEN bias_flags / 9 < 0.2 THEN '{fairness.ASSESSMENT_MINOR}' "
     f"WHEN bias_flags / 9 < 0.5 THEN '{fairness.ASSESSMENT_MODERATE}' ELSE '{fairness.ASSESSMENT_SIGNIFICANT}' END AS overall_assessment FROM {_FLAGS}",
     "B11": _ADVICE,
+    "X20.dataset": f"SELECT 'dirty_orders' AS dataset_name, row_count AS rows, CAST(13 AS BIGINT) AS columns, row_count >= 10 AND "
+    f"duplicate_rows / row_count <= 0.05 AND (SELECT count(*) FILTER (null_count / row_count > 0.15) = 0 FROM counts) AS overall_valid, "
+    f"row_count - duplicate_rows AS final_rows, 13 - (SELECT count(*) FROM counts WHERE unique_count <= 1) AS final_columns, "
+    f"CAST(9 AS BIGINT) AS total_tests, bias_flags FROM {_QUALITY}, {_FLAGS}",
 }
 
-SQL = {k: (_BIAS if k.startswith("B") else _DIRTY) + body for k, body in _SQL.items()}
+SQL = {k: (_BIAS if k[0] in "BX" else _DIRTY) + body for k, body in _SQL.items()}
