@@ -26,24 +26,31 @@ HEADLINES = [
 ]
 
 
+_stored: dict[str, str] = {}
+
+
 def _stage_profile(spark, sf_dir):
     """Acquire and profile: read, store, describe every column."""
-    path = fresh_path(spark, "bench-raw")
-    dirty_orders(spark, sf_dir).write.parquet(path)
-    return profile.profile(spark.read.parquet(path), "orders")
+    _stored["path"] = fresh_path(spark, "bench-raw")
+    dirty_orders(spark, sf_dir).write.parquet(_stored["path"])
+    return profile.profile(_raw(spark), "orders")
+
+
+def _raw(spark):
+    """The stored table, which each later stage reads."""
+    return spark.read.parquet(_stored["path"])
 
 
 def _stage_validate(spark, sf_dir):
-    return validate.verdict(dirty_orders(spark, sf_dir))
+    return validate.verdict(_raw(spark))
 
 
 def _stage_clean(spark, sf_dir):
-    return clean.clean(dirty_orders(spark, sf_dir))
+    return clean.clean(_raw(spark))
 
 
 def _stage_bias(spark, sf_dir):
-    df = dirty_orders(spark, sf_dir)
-    return fairness.sweep(df, ["segment", "priority", "region"], ["customer_id", "total", "balance", "points"])
+    return fairness.sweep(_raw(spark), ["segment", "priority", "region"], ["customer_id", "total", "balance", "points"])
 
 
 STAGES = {
