@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlore.llm import bpe, decontaminate, simhash, token_counts, token_files
+from orderlore.llm import bpe, decontaminate, ranking, simhash, token_counts, token_files
 from orderlore.llm.tables import read_table
 
 BYTE_VOCABULARY, WORD_VOCABULARY = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -36,12 +36,17 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_bpe": op3_bpe,
     "op4_simhash": op4_simhash,
     "op5_token_files": op5_token_files,
     "op9_token_counts": op9_token_counts,
+    "op10_quality": op10_quality,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
