@@ -113,8 +113,8 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, **options: float
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality").cast(pa.int32()), pa.array(own, pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
     sample = labelled_sample(docs, labels, size).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("quality").cast("int").alias("quality"))
-    table = sample.mapInArrow(rows, "doc_id bigint, quality int, x array<double>").toArrow().to_pandas()
-    table = table.sort_values("doc_id", kind="stable").head(2 * size)
+    shapes = sample.mapInArrow(rows, "doc_id bigint, quality int, x array<double>")
+    table = shapes.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).toArrow().to_pandas().sort_values("doc_id")
     x = np.array(table["x"].tolist()).reshape(len(table), -1) if len(table) else np.empty((0, 1))
     return train(x, table["quality"].to_numpy(), **options)
 
