@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlore.llm import bpe, decontaminate, quality_rules, ranking, simhash, token_counts, token_files
+from orderlore.llm import bpe, decontaminate, line_dedup, quality_rules, ranking, simhash, token_counts, token_files
 from orderlore.llm.tables import read_table
 
 BYTE_VOCABULARY, WORD_VOCABULARY = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -18,6 +18,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", items, "contaminated")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.remove_repeated_lines(read_table(spark, sf_dir, "documents"))
+    kept = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    return left.select("doc_id", F.col("lines_total").alias("n_lines"), F.col("lines_removed").alias("n_removed"), kept)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY)))
 
@@ -47,6 +53,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_line_dedup": op2_line_dedup,
     "op3_bpe": op3_bpe,
     "op4_simhash": op4_simhash,
     "op5_token_files": op5_token_files,
@@ -75,4 +82,29 @@ hit_items AS (
 SELECT docs.doc_id AS doc_id, len(w) AS n_words, coalesce(hit_words.n, 0) AS n_hit, coalesce(hit_items.n, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(hit_words.n, 0) > 0 AS contaminated
 FROM docs LEFT JOIN hit_words ON docs.doc_id = hit_words.doc_id LEFT JOIN hit_items ON docs.doc_id = hit_items.doc_id""",
+    "op2_line_dedup": r"""
+WITH lines AS (
+  SELECT doc_id, i, line, md5(trim(line)) AS h, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w
+  FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))),
+ahead AS (
+  SELECT doc_id, i, w, h, lead(w, 1) OVER d AS w2, lead(w, 2) OVER d AS w3, lead(w, 3) OVER d AS w4,
+    lead(h, 1) OVER d AS h2, lead(h, 2) OVER d AS h3, lead(h, 3) OVER d AS h4
+  FROM lines WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+windows AS (
+  SELECT doc_id, i AS s, CASE WHEN w >= 50 THEN 1 WHEN w + w2 >= 50 THEN 2 WHEN w + w2 + w3 >= 50 THEN 3 WHEN h4 IS NOT NULL THEN 4 END AS k,
+    CASE WHEN w >= 50 THEN h WHEN w + w2 >= 50 THEN h || h2 WHEN w + w2 + w3 >= 50 THEN h || h2 || h3 ELSE h || h2 || h3 || h4 END AS c
+  FROM ahead),
+firsts AS (SELECT c, min({'d': doc_id, 's': s}) AS q FROM windows WHERE k IS NOT NULL GROUP BY c HAVING count(*) > 1),
+pairs AS (SELECT doc_id, s, q.d AS q_id, s - q.s AS shift FROM windows JOIN firsts USING (c) WHERE k IS NOT NULL AND {'d': doc_id, 's': s} > q),
+diagonals AS (SELECT DISTINCT doc_id, q_id, shift FROM pairs),
+equal AS (
+  SELECT p.doc_id, d.q_id, d.shift, p.i, p.i - row_number() OVER (PARTITION BY p.doc_id, d.q_id, d.shift ORDER BY p.i) AS run
+  FROM diagonals d JOIN lines p ON p.doc_id = d.doc_id JOIN lines g ON g.doc_id = d.q_id AND g.i = p.i - d.shift AND g.h = p.h),
+runs AS (SELECT DISTINCT e.doc_id, e.q_id, e.shift, e.run FROM equal e JOIN pairs p ON p.doc_id = e.doc_id AND p.q_id = e.q_id AND p.shift = e.shift AND p.s = e.i),
+gone AS (SELECT DISTINCT e.doc_id, e.i FROM equal e JOIN runs r ON r.doc_id = e.doc_id AND r.q_id = e.q_id AND r.shift = e.shift AND r.run = e.run),
+left_over AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed, string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL) AS kept
+  FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id)
+SELECT documents.doc_id AS doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN left_over ON documents.doc_id = left_over.doc_id""",
 }
