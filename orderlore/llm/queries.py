@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlore.llm import bpe, decontaminate, line_dedup, quality_rules, ranking, simhash, token_counts, token_files
+from orderlore.llm import bpe, decontaminate, line_dedup, pii, quality_rules, ranking, simhash, token_counts, token_files
 from orderlore.llm.tables import read_table
 
 BYTE_VOCABULARY, WORD_VOCABULARY = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -38,6 +38,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(token_files.read_tokens(*token_files.write_tokens(docs, public_tokenizers.path(BYTE_VOCABULARY))))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find_personal_data(read_table(spark, sf_dir, "documents")))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(read_table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -57,6 +61,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_simhash": op4_simhash,
     "op5_token_files": op5_token_files,
+    "op6_personal_data": op6_personal_data,
     "op7_quality_rules": op7_quality_rules,
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
