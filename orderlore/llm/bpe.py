@@ -49,6 +49,7 @@ class WordEncoder:
         self.last = [of.get(x + self.suffix) for x in letters]
         self.cache = PieceCache(lambda words: [np.asarray(self.word(w), "<i4").tobytes() for w in words])
         self.split_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
+        self.raw: dict[int, bytes] = {}
         self.names = {i: t for t, i in [*self.vocabulary.items(), *self.special.items()]}
 
     def word(self, word: str) -> list[int]:
@@ -97,15 +98,16 @@ class WordEncoder:
 
     def text(self, ids: list[int]) -> str:
         """Readable text: bytes of the letters, word ends as spaces."""
-        of = {x: b for b, x in enumerate(byte_letters())}
-        out = bytearray()
-        for token in self.tokens(ids):
-            if token in self.special:
-                out += token.encode() + b" "
-                continue
-            ends = bool(self.suffix) and token.endswith(self.suffix)
-            out += bytes(of[c] for c in (token[: -len(self.suffix)] if ends else token)) + b" " * ends
-        return out.decode("utf-8", "replace").rstrip(" ")
+        if not self.raw:
+            of = {x: b for b, x in enumerate(byte_letters())}
+            for i, token in self.names.items():
+                if token in self.special:
+                    self.raw[i] = token.encode() + b" "
+                    continue
+                ends = bool(self.suffix) and token.endswith(self.suffix)
+                self.raw[i] = bytes(of[c] for c in (token[: -len(self.suffix)] if ends else token)) + b" " * ends
+        known = self.raw
+        return b"".join(known[i] for i in ids if i in known).decode("utf-8", "replace").rstrip(" ")
 
 
 @lru_cache(maxsize=2)

@@ -70,21 +70,22 @@ def repeated_runs(lines: DataFrame, min_lines: int = MIN_LINES, min_words: int =
     return both.select("doc_id", "key", (F.expr(left) + 1).alias("a"), (F.expr(right) - 1).alias("b"))
 
 
-def remove_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """All rows and columns, with `text` freed of later repeated runs, and lines_removed and lines_total added.
+def remove_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, removed: str = "lines_removed", total: str = "lines_total") -> DataFrame:
+    """All rows and columns, with `text` freed of later repeated runs, and the counts `removed` and `total` added.
 
     Lines are split at line feeds and compared after blanks at their ends are cut. Null texts stay null and have no
     lines; empty texts stay as they are. Null ids come before all others. Rows equal in id and text are one document and
-    lose the same lines. An empty table gives an empty result. Columns named lines_removed or lines_total are replaced.
+    lose the same lines. An empty table gives an empty result. Columns that have the names of the counts are replaced.
     """
     lines = line_digests(docs)
     runs = repeated_runs(lines, min_lines, min_words)
     by_doc = stored(runs.groupBy("doc_id", "key").agg(F.collect_set(F.struct("a", "b")).alias("runs")), "line-removals")
-    kept = [c for c in docs.columns if c not in ("text", "lines_removed", "lines_total")]
     same = docs["doc_id"].eqNullSafe(by_doc["doc_id"]) & (text_key(docs["text"]) == by_doc["key"])
-    joined = docs.join(by_doc, same, "left").select(*[docs[c] for c in kept], docs["text"].alias("text"), by_doc["runs"].alias("lines_removed"))
-    total = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.expr(_LINES)))
-    stay = F.expr(f"filter({_LINES}, (x, i) -> not exists(lines_removed, r -> i + 1 between r.a and r.b))")
-    cut = F.when(F.col("lines_removed").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
-    gone = F.when(F.col("lines_removed").isNull(), 0).otherwise(total - F.size(stay))
-    return joined.select(*kept, cut.alias("text"), gone.cast("bigint").alias("lines_removed"), total.cast("bigint").alias("lines_total"))
+    others = [docs[c] for c in docs.columns if c not in ("text", removed, total)]
+    joined = docs.join(by_doc, same, "left").select(F.struct(*others).alias("row"), docs["text"].alias("text"), by_doc["runs"].alias("runs"))
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.expr(_LINES)))
+    stay = F.expr(f"filter({_LINES}, (x, i) -> not exists(runs, r -> i + 1 between r.a and r.b))")
+    cut = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
+    gone = F.when(F.col("runs").isNull(), 0).otherwise(n - F.size(stay))
+    columns = [cut.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c not in (removed, total)]
+    return joined.select(*columns, gone.cast("bigint").alias(removed), n.cast("bigint").alias(total))

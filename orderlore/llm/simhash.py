@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlore.llm.components import components
-from orderlore.llm.tables import LOWER, UPPER, stored
+from orderlore.llm.tables import LOWER, UPPER, stored, text_key
 
 SEED, SHINGLE, DISTANCE, CROWD = 42, 3, 2, 256
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -51,14 +51,15 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fingerprint (its 64 bits as a signed bigint) of every row; a null text counts as empty."""
+    """doc_id, key and fingerprint (its 64 bits as a signed bigint) of every row; a null text counts as empty."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = [fingerprint(t.as_py() or "", shingle) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(bits, np.uint64).view(np.int64))], ["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(np.array(bits, np.uint64).view(np.int64))], ["doc_id", "key", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(rows, "doc_id bigint, fingerprint bigint")
+    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key(F.col("text")).alias("key"), "text")
+    return keyed.mapInArrow(rows, "doc_id bigint, key binary, fingerprint bigint")
 
 
 def _buckets(distinct: DataFrame) -> DataFrame:
@@ -86,6 +87,14 @@ def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
     return pairs.union(tied.distinct())
 
 
+def _grouped(docs: DataFrame, shingle: int, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of the rows, and the root fingerprint of each distinct one with the smallest doc_id that has it."""
+    marked = stored(fingerprints(docs, shingle), "simhash")
+    distinct = stored(marked.groupBy(F.col("fingerprint").alias("f")).agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
+    roots = components(links(distinct.select("f"), crowd))
+    return marked, distinct.join(roots, distinct["f"] == roots["node"], "left").select("f", "first_id", F.coalesce("root", "f").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, crowd: int = CROWD) -> DataFrame:
     """doc_id, fingerprint (signed bigint) and component_id, the smallest doc_id reachable over links, of every row.
 
@@ -94,10 +103,33 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, crowd: int = CROWD)
     null id never names a component (a component of null ids only has a null component_id). An empty table gives an
     empty result; other columns are ignored.
     """
-    marked = stored(fingerprints(docs, shingle), "simhash")
-    distinct = stored(marked.groupBy(F.col("fingerprint").alias("f")).agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    roots = components(links(distinct.select("f"), crowd))
-    rooted = distinct.join(roots, distinct["f"] == roots["node"], "left").select("f", "first_id", F.coalesce("root", "f").alias("root"))
+    marked, rooted = _grouped(docs, shingle, crowd)
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     membership = stored(rooted.join(named, "root").select(F.col("f").alias("fingerprint"), "component_id"), "simhash-groups")
     return marked.join(membership, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, crowd: int = CROWD) -> DataFrame:
+    """All columns of one row of each component: the one with the smallest doc_id, then the smallest digest of its text.
+
+    A null id is taken only if the component has no other. Of rows equal in id and text any one stays.
+    """
+    marked, rooted = _grouped(docs, shingle, crowd)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("best")
+    firsts = marked.groupBy(F.col("fingerprint").alias("f")).agg(best, F.count("*").alias("n"))
+    chosen = rooted.select("f", "root").join(firsts, "f").groupBy("root").agg(F.min("best").alias("best")).select("best.doc_id", "best.key")
+    chosen = stored(chosen, "simhash-chosen")
+    rows = marked.groupBy("doc_id", "key").agg(F.count("*").alias("n"))
+    sized = chosen.alias("c").join(rows.alias("r"), F.expr("c.doc_id <=> r.doc_id and c.key = r.key")).select("c.*", "r.n")
+    sized = stored(sized, "simhash-chosen")
+
+    def among(picked: DataFrame) -> DataFrame:
+        return docs.join(picked, docs["doc_id"].eqNullSafe(picked["doc_id"]) & (text_key(docs["text"]) == picked["key"]), "left_semi")
+
+    single, several = sized.where("n = 1"), sized.where("n > 1")
+    if several.isEmpty():
+        return among(single)
+    # repeated rows are numbered within their own task and id; the first of the first task stays
+    numbered = among(several).select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("at"))
+    numbered = numbered.withColumn("key", text_key(F.col("row.text"))).groupBy(F.col("row.doc_id").alias("id"), "key").agg(F.min_by("row", "at").alias("row"))
+    return among(single).unionByName(numbered.select("row.*"))
