@@ -9,7 +9,7 @@ from checks import quality
 from checks.shared import document_rows
 from orderlore.operators import clean, describe, documents, profile
 from orderlore.plans.star import read_table
-from orderlore.plans.test_views import DIRTY_SQL, DOCUMENTS_SQL, dirty_orders
+from orderlore.plans.test_views import DEEP_PATH, DIRTY_SQL, DOCUMENTS_SQL, dirty_orders
 
 
 def _predictions(s, d) -> DataFrame:
@@ -19,7 +19,7 @@ def _predictions(s, d) -> DataFrame:
 
 def _pairs(s, d) -> DataFrame:
     truths = document_rows(s, d).where("has_truth")
-    truths = truths.select(F.col("truth_path").alias("path"), F.parse_json("truth_text").alias("document"))
+    truths = truths.select(F.col("truth_path").alias("path"), documents.document(F.col("truth_text")).alias("document"))
     return documents.pair_documents(_predictions(s, d), truths)
 
 
@@ -117,7 +117,7 @@ def queries() -> dict:
 
 _DOCS = f"""WITH docs AS (SELECT *, CAST(regexp_extract(prediction_file, '(\\d+)', 1) AS BIGINT) AS o FROM ({DOCUMENTS_SQL})),
 paired AS (SELECT * FROM docs WHERE has_truth AND origin_file <> ''),
-outcomes AS (SELECT prediction_file, unnest([
+outcomes AS (SELECT * FROM (SELECT prediction_file, unnest([
  {{'path': 'order', 'outcome': 'exact'}},
  {{'path': 'customer.name', 'outcome': CASE WHEN o % 7 = 3 THEN 'wrong' WHEN o % 7 = 2 THEN 'partial' ELSE 'exact' END}},
  {{'path': 'customer.address.nation', 'outcome': 'exact'}},
@@ -126,15 +126,17 @@ outcomes AS (SELECT prediction_file, unnest([
  {{'path': 'status', 'outcome': CASE WHEN o % 11 = 0 THEN 'missing' ELSE 'exact' END}},
  {{'path': 'items', 'outcome': CASE WHEN o % 13 = 0 THEN 'wrong' ELSE 'exact' END}},
  {{'path': 'note', 'outcome': CASE WHEN o % 17 = 0 THEN 'wrong' ELSE 'exact' END}},
+ {{'path': 'tags', 'outcome': CASE WHEN o % 37 = 0 THEN 'wrong' ELSE 'exact' END}},
+ {{'path': '{DEEP_PATH}', 'outcome': CASE WHEN o % 29 = 0 THEN 'exact' END}},
  {{'path': 'document_type', 'outcome': 'extra'}},
- {{'path': 'origin_file', 'outcome': 'extra'}}], recursive := true) FROM paired),
+ {{'path': 'origin_file', 'outcome': 'extra'}}], recursive := true) FROM paired) WHERE outcome IS NOT NULL),
 counts AS (SELECT prediction_file, count(*) FILTER (outcome = 'exact') AS tp, count(*) FILTER (outcome IN ('partial', 'wrong')) AS fp,
  count(*) FILTER (outcome = 'missing') AS fn, count(*) FILTER (outcome = 'wrong') AS wrong_fields,
  count(*) FILTER (outcome = 'partial') AS partial_matches, count(*) FILTER (outcome = 'extra') AS extra_fields FROM outcomes GROUP BY 1),
 scored AS (SELECT *, tp / (tp + fp) AS p, tp / (tp + fn) AS r FROM counts)
 """
 _SCORES = "round_even(p, 3) AS precision, round_even(r, 3) AS recall, round_even(2 * p * r / (p + r), 3) AS f1"
-_LEAVES = """SELECT prediction_file, unnest([
+_LEAVES = """SELECT * FROM (SELECT prediction_file, unnest([
  {'path': 'order', 'json': CAST(o AS VARCHAR)},
  {'path': 'customer.name', 'json': CAST(json_extract(truth_text, '$."0_expected".customer.name') AS VARCHAR)},
  {'path': 'customer.address.nation', 'json': CAST(json_extract(truth_text, '$."0_expected".customer.address.nation') AS VARCHAR)},
@@ -142,7 +144,9 @@ _LEAVES = """SELECT prediction_file, unnest([
  {'path': 'total.currency', 'json': '"USD"'},
  {'path': 'status', 'json': CAST(json_extract(truth_text, '$."0_expected".status') AS VARCHAR)},
  {'path': 'items', 'json': replace(CAST(json_extract(truth_text, '$."0_expected".items') AS VARCHAR), ' ', '')},
- {'path': 'note', 'json': 'null'}], recursive := true) FROM paired"""
+ {'path': 'tags', 'json': '["x1.0, y",{"k":[1]}]'},
+ {'path': 'DEEP', 'json': CASE WHEN o % 29 = 0 THEN '1' END},
+ {'path': 'note', 'json': 'null'}], recursive := true) FROM paired) WHERE json IS NOT NULL""".replace("DEEP", DEEP_PATH)
 
 _BASE = quality._DIRTY.replace(f"dirty AS ({DIRTY_SQL})", f"dirty AS (SELECT DISTINCT * FROM ({DIRTY_SQL}))")
 _NAMES = {

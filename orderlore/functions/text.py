@@ -6,10 +6,15 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
+def allow_repeated_keys() -> None:
+    """Let JSON with a repeated key parse, its last value counting; else such a text would be no JSON at all."""
+    SparkSession.active().conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def has_any(text: Column, words: Sequence[str]) -> Column:
     """Whether any of the words occurs in the text, also inside other words."""
     return reduce(or_, [F.contains(text, F.lit(w)) for w in words])

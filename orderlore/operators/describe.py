@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlore.functions.numeric import ratio
-from orderlore.functions.text import first_label, has_any
+from orderlore.functions.text import allow_repeated_keys, first_label, has_any
 from orderlore.operators.profile import (
     column_roles,
     date_ranges,
@@ -34,6 +34,7 @@ AGGREGATIONS = ["SUM", "AVG", "COUNT", "MIN", "MAX"]
 def parse_profile(profiles: DataFrame, text: str = "profile") -> DataFrame:
     """(name, description) of the columns of a stored JSON profile, which lists them as objects,
     as names, or as an object keyed by name."""
+    allow_repeated_keys()
     rows = profiles.select(F.try_parse_json(text).alias("_j"))
     listed = F.try_variant_get("_j", "$.columns", "array<variant>")
     keyed = F.try_variant_get("_j", "$.columns", "map<string,variant>")

@@ -10,16 +10,23 @@ from pyspark.sql import functions as F
 
 from orderlore.functions.numeric import ratio
 from orderlore.functions.similarity import indel_ratio_above
-from orderlore.functions.text import strip
+from orderlore.functions.text import allow_repeated_keys, strip
 
 NUMBER_TOLERANCE = 0.01
 PARTIAL_RATIO = 0.80
-MAX_DEPTH = 10
+LEVELS_AT_ONCE, LIST_LEVELS = 4, 16
 TRUTH_KEYS = ("0_expected", "expected")
 
 
+def document(text: Column) -> Column:
+    """Text as a document. Of a key that occurs twice the last value counts, whatever the session's own setting."""
+    allow_repeated_keys()
+    return F.parse_json(text)
+
+
 def lenient_document(text: Column) -> Column:
     """The text as JSON, else its part from the first to the last brace, else an empty object."""
+    allow_repeated_keys()
     inner = F.regexp_extract(text, r"(?s)\{.*\}", 0)
     return F.coalesce(F.try_parse_json(text), F.try_parse_json(inner), F.parse_json(F.lit("{}")))
 
@@ -47,81 +54,155 @@ def truth_body(document: Column) -> Column:
     return F.coalesce(*[F.try_variant_get(document, f"$['{k}']", "variant") for k in TRUTH_KEYS])
 
 
-def leaf_nodes(document: Column, max_depth: int = MAX_DEPTH) -> Column:
-    """The leaves of a document as an array of (path, leaf), built inside its row.
+def depth(document: Column) -> Column:
+    """Levels of objects and lists in a document and, of these, from the outermost list on (all, in_lists), counted on
+    the brackets of its JSON outside of strings."""
+    bare = F.regexp_replace(F.to_json(document), r'"(?:[^"\\]++|\\.)*+"|[^\[\]{}"]++', "")
 
-    Each step replaces the objects of the list by their fields and keeps the leaves, so a step that
-    finds nothing to open costs little.
-    """
-    opened = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
-
-    def fields(node: Column) -> Column:
-        """The fields of an object with their paths; NULL for anything else."""
-        path = lambda k: F.when(node["path"] == "", k).otherwise(F.concat_ws(".", node["path"], k))
-        return F.transform(
-            F.map_entries(opened(node["leaf"])),
-            lambda e: F.struct(path(e["key"]).alias("path"), e["value"].alias("leaf")),
+    def step(at: Column, c: Column) -> Column:
+        now = at["now"] + F.when(c.isin("{", "["), 1).otherwise(-1)
+        # the level of the outermost open list, 0 outside of lists
+        list_at = F.when((at["list_at"] == 0) & (c == "["), now).when(now < at["list_at"], 0).otherwise(at["list_at"])
+        inside = F.when(list_at > 0, now - list_at + 1).otherwise(0)
+        return F.struct(
+            now.alias("now"), list_at.alias("list_at"), F.greatest(at["all"], now).alias("all"), F.greatest(at["in_lists"], inside).alias("in_lists")
         )
 
+    start = F.struct(*[F.lit(0).alias(n) for n in ("now", "list_at", "all", "in_lists")])
+    most = lambda at: F.struct(at["all"].alias("all"), at["in_lists"].alias("in_lists"))
+    flat = F.struct(F.lit(0).alias("all"), F.lit(0).alias("in_lists"))
+    return F.when(bare == "", flat).otherwise(F.aggregate(F.split(bare, "(?<=.)(?=.)"), start, step, most))
+
+
+def depth_of(df: DataFrame, *documents: str) -> tuple[int, int]:
+    """The deepest nesting in any of the columns, and the deepest inside lists, from one aggregate over the documents."""
+    levels = df.select(F.explode(F.array(*[depth(F.col(d)) for d in documents])).alias("d"))
+    return tuple(levels.agg(*[F.coalesce(F.max(f"d.{n}"), F.lit(0)) for n in ("all", "in_lists")]).first())
+
+
+def _opened(node: Column, lists: bool) -> Column:
+    """The fields of an object (and the elements of a list, if asked for) with their paths; NULL for anything else."""
+    separator = "\u0000" if lists else "."
+    path = lambda k: F.when(node["path"] == "", k).otherwise(F.concat_ws(separator, node["path"], k))
+    fields = F.transform(
+        F.map_entries(F.try_variant_get(node["leaf"], "$", "map<string,variant>")),
+        lambda e: F.struct(path(e["key"]).alias("path"), e["value"].alias("leaf")),
+    )
+    if not lists:
+        return fields
+    kept = lambda part: F.when(F.size(part) > 0, part)
+    elements = F.transform(
+        F.try_variant_get(node["leaf"], "$", "array<variant>"),
+        lambda v, i: F.struct(path(F.format_string("%09d", i)).alias("path"), v.alias("leaf")),
+    )
+    return F.coalesce(kept(fields), kept(elements))
+
+
+def leaf_nodes(document: Column, levels: int, lists: bool = False) -> Column:
+    """The leaves of a document as an array of (path, leaf), built inside its row.
+
+    Each step replaces the objects of the list by their fields and keeps the leaves. `levels` is the number of steps:
+    what is nested deeper stays closed.
+    """
     nodes = F.array(F.struct(F.lit("").alias("path"), document.alias("leaf")))
-    for _ in range(max_depth):
-        nodes = F.flatten(F.transform(nodes, lambda node: F.coalesce(fields(node), F.array(node))))
+    for _ in range(levels):
+        nodes = F.flatten(F.transform(nodes, lambda node: F.coalesce(_opened(node, lists), F.array(node))))
     return nodes
 
 
-def typed_leaves(rows: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Replace the column `leaf` by its JSON and, where it is one, its text or number."""
+def _all_leaves(rows: DataFrame, nodes: str, levels: int) -> DataFrame:
+    """Rows of an array of nodes (path, leaf and others), opened until `levels` levels are done.
+
+    The plan grows with the depth of the data, in rounds of LEVELS_AT_ONCE steps that each start from rows.
+    """
+    others = [c for c in rows.columns if c != nodes]
+    flat = rows.select(*others, F.explode(nodes).alias("_f")).select(*others, "_f.*")
+    for done in range(LEVELS_AT_ONCE, levels, LEVELS_AT_ONCE):
+        kept = [c for c in flat.columns if c not in ("path", "leaf")]
+        # what is no object any more is not looked into again
+        closed = F.array(F.struct(F.lit("").alias("path"), F.col("leaf").alias("leaf")))
+        nodes = F.when(F.schema_of_variant("leaf").startswith("OBJECT"), leaf_nodes(F.col("leaf"), min(LEVELS_AT_ONCE, levels - done))).otherwise(closed)
+        deeper = flat.select(*kept, F.col("path").alias("_at"), F.explode(nodes).alias("_f"))
+        path = F.when(F.col("_f.path") == "", F.col("_at")).when(F.col("_at") == "", F.col("_f.path"))
+        flat = deeper.select(*kept, path.otherwise(F.concat_ws(".", "_at", "_f.path")).alias("path"), F.col("_f.leaf").alias("leaf"))
+    return flat
+
+
+def _typed(leaf: Column, json: Column) -> tuple[Column, Column]:
+    """Text and number of a leaf, where it is one; the first character of its JSON tells the kind."""
+    first = F.left(json, F.lit(1))
+    text = F.when(first == '"', F.try_variant_get(leaf, "$", "string"))
+    number = F.when(first == "t", 1.0).when(first == "f", 0.0).when(first.rlike("[-0-9]"), json.try_cast("double"))
+    return text, number
+
+
+def _canonical(json: Column) -> Column:
+    """JSON in which whole numbers have no decimals; strings are taken as units and stay as they are."""
+    return F.regexp_replace(json, r'("(?:[^"\\]++|\\.)*+")|(?<=[\d])\.0+(?=[,\]}]|$)', "$1")
+
+
+def typed_leaves(rows: DataFrame, levels: int) -> DataFrame:
+    """Replace the column `leaf` by its JSON, its text or number, and for a list its typed elements, in order of place.
+
+    Lists are opened for `levels` levels, LIST_LEVELS at most; what is deeper inside a list is an element as a whole,
+    compared by its JSON, whose keys VARIANT keeps in order.
+    """
+    levels = min(levels, LIST_LEVELS)
     others = [c for c in rows.columns if c != "leaf"]
-    texts = rows.select(*others, F.to_json("leaf").alias("json"), F.try_variant_get("leaf", "$", "string").alias("_text"))
-    # the first character of the JSON tells the kind of a leaf
-    first = F.left("json", F.lit(1))
-    too_deep = F.raise_error(F.lit(f"a document is nested deeper than {max_depth} levels")).cast("string")
-    return texts.select(
-        *others,
-        F.when(first == "{", too_deep).otherwise(F.col("json")).alias("json"),
-        F.when(first == '"', F.col("_text")).alias("text"),
-        F.when(first == "t", 1.0).when(first == "f", 0.0).when(first.rlike("[-0-9]"), F.col("json").try_cast("double")).alias("number"),
-    )
+    rows = rows.select(*others, "leaf", F.to_json("leaf").alias("json"))
+    text, number = _typed(F.col("leaf"), F.col("json"))
+
+    def element(node: Column) -> Column:
+        json = F.to_json(node["leaf"])
+        text, number = _typed(node["leaf"], json)
+        other = F.when(text.isNull() & number.isNull(), _canonical(json))
+        return F.struct(node["path"].alias("path"), text.alias("text"), number.alias("number"), other.alias("other"))
+
+    elements = F.array_sort(F.transform(leaf_nodes(F.col("leaf"), levels, lists=True), element))
+    items = F.when(F.left("json", F.lit(1)) == "[", elements)
+    return rows.select(*others, "json", text.alias("text"), number.alias("number"), items.alias("items"))
 
 
-def flatten(df: DataFrame, key: str, document: str, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(key, path, json, text, number) with dotted paths. Objects are opened, everything else is a
-    leaf, and an empty object leaves nothing. Deeper documents than `max_depth` raise an error."""
-    nodes = df.select(key, F.explode(leaf_nodes(F.col(document), max_depth)).alias("_f"))
-    return typed_leaves(nodes.select(key, "_f.path", "_f.leaf"), max_depth)
+def flatten(df: DataFrame, key: str, document: str) -> DataFrame:
+    """(key, path, json, text, number, items) with dotted paths, for documents of any depth. Objects are opened,
+    everything else is a leaf, and an empty object leaves nothing."""
+    levels, in_lists = depth_of(df, document)
+    nodes = df.select(key, leaf_nodes(F.col(document), min(levels, LEVELS_AT_ONCE)).alias("_nodes"))
+    return typed_leaves(_all_leaves(nodes, "_nodes", levels), in_lists)
 
 
 def match_class(truth: str = "t", predicted: str = "p") -> Column:
     """Exact, partial or wrong. Numbers agree within 1 % of the larger, texts after trimming and
-    lower-casing, or partially when similar; arrays agree as whole lists."""
+    lower-casing, or partially when similar; lists agree if all their elements do, number by number and text by text."""
     t, p = (lambda c: F.col(f"{truth}.{c}")), (lambda c: F.col(f"{predicted}.{c}"))
-    whole = lambda c: F.regexp_replace(c, r"(\d)\.0+(?=[,\]}]|$)", "$1")
     close = F.abs(t("number") - p("number")) <= NUMBER_TOLERANCE * F.greatest(F.abs(t("number")), F.abs(p("number")))
     a, b = F.lower(strip(t("text"))), F.lower(strip(p("text")))
     other = t("text").isNull() & p("text").isNull() & t("number").isNull() & p("number").isNull()
     return (
         F.when(F.coalesce(close | (t("number") == p("number")), F.lit(False)), "exact")
-        .when(F.coalesce(other & (whole(t("json")) == whole(p("json"))), F.lit(False)), "exact")
+        .when(F.coalesce(t("items") == p("items"), F.lit(False)), "exact")
+        .when(F.coalesce(other & (t("json") == p("json")), F.lit(False)), "exact")
         .when(F.coalesce(a == b, F.lit(False)), "exact")
         .when(F.coalesce(indel_ratio_above(a, b, PARTIAL_RATIO), F.lit(False)), "partial")
         .otherwise("wrong")
     )
 
 
-def compare_fields(pairs: DataFrame, key: str = "prediction_file", max_depth: int = MAX_DEPTH) -> DataFrame:
+def compare_fields(pairs: DataFrame, key: str = "prediction_file") -> DataFrame:
     """D06, row level: (key, path, outcome) with outcome exact, partial, wrong, missing or extra.
 
-    Both documents of a pair are opened in one pass. Their leaves meet in an aggregate on (key, path),
-    which joins most of them before the shuffle, and the leaves of one long document are spread over
-    many tasks.
+    Both documents of a pair are opened in one pass, after one that finds how deep any document is. Their leaves meet in
+    an aggregate on (key, path), which joins most of them before the shuffle, and the leaves of one long document are
+    spread over many tasks.
     """
+    levels, in_lists = depth_of(pairs, "truth", "document")
     side = lambda document, is_truth: F.transform(
-        leaf_nodes(document, max_depth),
+        leaf_nodes(document, min(levels, LEVELS_AT_ONCE)),
         lambda n: F.struct(F.lit(is_truth).alias("is_truth"), n["path"].alias("path"), n["leaf"].alias("leaf")),
     )
     both = F.concat(side(truth_body(F.col("truth")), True), side(F.col("document"), False))
-    leaves = typed_leaves(pairs.select(key, F.explode(both).alias("_f")).select(key, "_f.*"), max_depth)
-    leaf = F.struct("json", "text", "number")
+    leaves = typed_leaves(_all_leaves(pairs.select(key, both.alias("_nodes")), "_nodes", levels), in_lists)
+    leaf = F.struct("json", "text", "number", "items")
     met = leaves.groupBy(key, "path").agg(
         F.max(F.when(F.col("is_truth"), leaf)).alias("t"), F.max(F.when(~F.col("is_truth"), leaf)).alias("p")
     )

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlore.functions.numeric import percent, ratio
-from orderlore.functions.text import first_label, has_any, labels_where, strip
+from orderlore.functions.text import allow_repeated_keys, first_label, has_any, labels_where, strip
 
 # fixed values: chart types and the fields each needs
 CHART_FIELDS = {
@@ -107,6 +107,7 @@ def unfenced(text: Column) -> Column:
 
 def lenient_json(text: Column) -> Column:
     """The whole text as JSON, else its outermost braces, else NULL; code fences are removed."""
+    allow_repeated_keys()
     clean = unfenced(text)
     return F.coalesce(F.try_parse_json(clean), F.try_parse_json(F.regexp_extract(clean, r"(?s)\{.*\}", 0)))
 

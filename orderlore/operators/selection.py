@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlore.functions.numeric import ratio
+from orderlore.functions.text import allow_repeated_keys
 from orderlore.operators.responses import unfenced
 
 # fixed values: weights of the composite score
@@ -212,6 +213,7 @@ def tune(trials: DataFrame) -> DataFrame:
     Half the score is the share of answers that parse as JSON, half the share that also hold a query
     and a chart. Nothing is marked when every score is zero.
     """
+    allow_repeated_keys()
     parsed = F.try_parse_json(unfenced(F.coalesce("raw_response", F.lit(""))))
     field = lambda path: F.try_variant_get("_json", path, "variant").isNotNull()
     scored = (

@@ -88,24 +88,30 @@ FROM events) templated) written
 
 # Extracted documents beside their truth: order documents with nested parts, some fields changed, one
 # missing, an empty object, numbers written differently, and text around the JSON.
+# a leaf far down in some of the documents
+DEEP_PATH = "deep" + ".n" * 19
+_DEEP = ', "deep": ' + '{"n": ' * 19 + "1" + "}" * 19
+
 DOCUMENTS_SQL = """
 SELECT 'out_' || key || '.json' AS prediction_file, CASE WHEN o_orderkey % 19 = 0 THEN '' ELSE 'in/doc_' || key || '.pdf' END AS origin_file,
  'truth/doc_' || key || '.json' AS truth_path, o_orderkey % 23 <> 0 AS has_truth,
  '{"fname": "doc", "0_expected": {"order": ' || key || ', "customer": {"name": "' || c_name || '", "address": {"nation": "' || n_name
  || '"}}, "total": {"amount": ' || CAST(o_totalprice AS STRING) || ', "currency": "USD"}, "status": "' || o_orderstatus
- || '", "items": [' || cust || ', -1], "note": null, "extra": {}}}' AS truth_text,
- CASE WHEN o_orderkey % 2 = 1 THEN 'Result: ' ELSE '' END || '{"order": ' || key || ', "customer": {"name": "'
+ || '", "items": [' || cust || ', -1], "tags": ["x1.0, y", {"k": [1]}], "note": null, "extra": {}' || CASE WHEN o_orderkey % 29 = 0 THEN 'DEEP' ELSE '' END || '}}' AS truth_text,
+ CASE WHEN o_orderkey % 2 = 1 THEN 'Result: ' ELSE '' END || '{' || CASE WHEN o_orderkey % 31 = 0 THEN '"order": -1, ' ELSE '' END || '"order": ' || key || ', "customer": {"name": "'
  || CASE WHEN o_orderkey % 7 = 3 THEN 'unknown' ELSE
   substring(CASE WHEN o_orderkey % 3 = 0 THEN upper(c_name) ELSE c_name END, 1, length(c_name) - CASE WHEN o_orderkey % 7 = 2 THEN 3 ELSE 0 END) END
  || '", "address": {"nation": "' || n_name || '"}}, "total": {"amount": '
  || CAST(o_totalprice * CASE o_orderkey % 5 WHEN 0 THEN CAST(1.005 AS DOUBLE) WHEN 1 THEN CAST(1.02 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS STRING)
  || ', "currency": "USD"}' || CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE ', "status": "' || o_orderstatus || '"' END || ', "items": '
  || CASE o_orderkey % 13 WHEN 0 THEN '[-1, ' || cust || ']' WHEN 1 THEN '[' || cust || '.0, -1]' ELSE '[' || cust || ', -1]' END
+ || CASE WHEN o_orderkey % 37 = 0 THEN ', "tags": ["x1, y", {"k": [1]}]' ELSE ', "tags": ["x1.0, y", {"k": [1.0]}]' END
+ || CASE WHEN o_orderkey % 29 = 0 THEN 'DEEP' ELSE '' END
  || ', "note": ' || CASE WHEN o_orderkey % 17 = 0 THEN '"x"' ELSE 'null' END
  || ', "document_type": "order", "origin_file": "doc"}' || CASE WHEN o_orderkey % 2 = 1 THEN ' (end)' ELSE '' END AS predicted_text
 FROM (SELECT *, CAST(o_orderkey AS STRING) AS key, CAST(o_custkey AS STRING) AS cust FROM orders
  JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey) joined
-""".strip()
+""".strip().replace("DEEP", _DEEP)
 
 
 def _over(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:

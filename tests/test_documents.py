@@ -22,7 +22,9 @@ def outcomes(spark, truth, predicted):
         (1, 1.0, "exact"), (100, 100.9, "exact"), (100, 102, "wrong"), (0, 0, "exact"), (True, 1, "exact"), (None, None, "exact"),
         (None, "x", "wrong"), ("A b ", " a B", "exact"), ("customer 12", "customer 13", "partial"), ("abc", "xyz", "wrong"),
         ("1", 1, "wrong"), ([1, "x"], [1.0, "x"], "exact"), ([1, 2], [2, 1], "wrong"), ([{"b": 1, "a": 2}], [{"a": 2, "b": 1}], "exact"),
-        ("", "", "exact"), ("v1.0, x", "v1, x", "partial"),
+        ("", "", "exact"), ("v1.0, x", "v1, x", "partial"), (["x1.0, y"], ["x1, y"], "wrong"), (["x1.0, y"], ["x1.0, y"], "exact"),
+        ([[], 1], [[], 1.0], "exact"), ([[]], [], "wrong"), ([{}], [[]], "wrong"), ([{"a": [1, {"b": 2.0}]}], [{"a": [1.0, {"b": 2}]}], "exact"),
+        ([None], [None], "exact"), (["1"], [1], "wrong"), ([], [], "exact"), ([], {}, "missing"), ([True], [1], "exact"),
     ],
 )
 def test_matching(spark, a, b, expected):
@@ -37,12 +39,36 @@ def test_nested_paths_missing_and_extra(spark):
     assert (r["tp"], r["fp"], r["fn"], r["extra_fields"], r["precision"], r["recall"], r["f1"]) == (2, 0, 1, 1, 1.0, 0.667, 0.8)
 
 
-def test_too_deep_documents_are_refused(spark):
-    deep = {"a": 1}
-    for _ in range(documents.MAX_DEPTH + 1):
-        deep = {"n": deep}
-    with pytest.raises(Exception, match="nested deeper"):
-        documents.compare_fields(pairs(spark, deep, deep)).collect()
+@pytest.mark.parametrize("levels", [3, documents.LEVELS_AT_ONCE, documents.LEVELS_AT_ONCE + 1, 40])
+def test_documents_of_any_depth(spark, levels):
+    deep, other = 1, 2
+    for _ in range(levels):
+        deep, other = {"n": deep}, {"n": other}
+    path = ".".join("n" * levels)
+    assert outcomes(spark, deep, deep) == {path: "exact"}
+    assert outcomes(spark, deep, other) == {path: "wrong"}
+    assert outcomes(spark, {"a": 1}, {"a": 1, "b": deep}) == {"a": "exact", f"b.{path}": "extra"}
+
+
+def test_depth_counts_brackets_outside_of_strings(spark):
+    df = spark.createDataFrame([('{"a{{": "}]\\"{", "b": [{"c": []}]}',), ("1",), ("{}",), (None,)], "t string")
+    got = df.select(documents.depth(documents.document(F.col("t"))).alias("d")).select("d.*").collect()
+    assert [tuple(r) for r in got] == [(4, 3), (0, 0), (1, 0), (None, None)]
+    assert documents.depth_of(df.withColumn("d", documents.document(F.col("t"))), "d") == (4, 3)
+
+
+def test_deep_lists(spark):
+    one, other = 1, 1.0
+    for _ in range(20):
+        one, other = [one, "1.0"], [other, "1.0"]
+    assert outcomes(spark, {"l": one}, {"l": other}) == {"l": "exact"}
+    assert outcomes(spark, {"l": one}, {"l": [other]}) == {"l": "wrong"}
+
+
+def test_the_last_of_repeated_keys_counts(spark):
+    df = spark.createDataFrame([('{"a": 1, "a": 2, "b": 3}',)], "t string")
+    got = df.select(F.to_json(documents.lenient_document(F.col("t"))).alias("j")).first()["j"]
+    assert json.loads(got) == {"a": 2, "b": 3}
 
 
 def test_lenient_parse_and_pairing(spark):
