@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orderlore.session import materialise
+
 
 def _edge(index: int, outermost: bool, unbounded: float, accuracy: int) -> Column:
     """An edge of a bracket. It is open at the ends of the scale, so that rank 0 and rank n-1 are always
@@ -16,26 +20,8 @@ def _edge(index: int, outermost: bool, unbounded: float, accuracy: int) -> Colum
     return F.when(F.col("_n") <= 2 * accuracy, F.lit(unbounded)).otherwise(F.col("_edges")[index])
 
 
-def exact_quantiles(
-    values: DataFrame,
-    keys: Sequence[str],
-    probabilities: Sequence[float],
-    value: str = "value",
-    accuracy: int = 50_000,
-    few_keys: bool = True,
-) -> DataFrame:
-    """Linearly interpolated quantiles of `value` per key, as `keys, n, quantiles array<double>`.
-
-    The built-in exact percentile merges every distinct value of a group in one task. Here a first
-    pass asks percentile_approx for a bracket around each wanted rank, a second pass counts the rows
-    below the bracket and keeps only the values inside it (about 4/accuracy of the rows), and the
-    ranks are found among those. Both passes combine on the map side. The brackets, one row per key,
-    are broadcast when `few_keys` says that their number is bounded (columns of a table, counted
-    groups); otherwise the join is left to the optimiser, which splits hot keys (skew join).
-    """
-    keys = list(keys)
-    clean = values.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    margin = 2.0 / accuracy
+def _attempt(clean: DataFrame, keys: list[str], probabilities: Sequence[float], margin: float, accuracy: int, few_keys: bool) -> DataFrame:
+    """keys, n, quantiles with brackets of `margin` of the ranks to both sides; NULL where a rank is outside of its own."""
     edges = [min(1.0, max(0.0, p + d)) for p in probabilities for d in (-margin, margin)]
     brackets = clean.groupBy(*keys).agg(
         F.count("*").alias("_n"),
@@ -78,10 +64,8 @@ def exact_quantiles(
         F.min(F.when(F.col("_upto") > F.ceil("_rank"), F.struct("_upto", "_v"))).alias("_hi"),
     )
     weight = F.col("_rank") - F.floor("_rank")
-    found = F.when(
-        F.col("_lo._v").isNull() | F.col("_hi._v").isNull(),
-        F.raise_error(F.lit("a wanted rank fell outside its bracket")).cast("double"),
-    ).otherwise(F.col("_lo._v") + (F.col("_hi._v") - F.col("_lo._v")) * weight)
+    # NULL if the rank is outside of its bracket
+    found = F.col("_lo._v") + (F.col("_hi._v") - F.col("_lo._v")) * weight
     return (
         placed.select(*keys, "_n", "_slot", found.alias("_q"))
         .groupBy(*keys)
@@ -90,3 +74,36 @@ def exact_quantiles(
             F.transform(F.array_sort(F.collect_list(F.struct("_slot", "_q"))), lambda s: s["_q"]).alias("quantiles"),
         )
     )
+
+def exact_quantiles(
+    values: DataFrame,
+    keys: Sequence[str],
+    probabilities: Sequence[float],
+    value: str = "value",
+    accuracy: int = 50_000,
+    few_keys: bool = False,
+) -> DataFrame:
+    """Linearly interpolated quantiles of `value` per key, as `keys, n, quantiles array<double>`.
+
+    The built-in exact percentile merges every distinct value of a group in one task. Here a first
+    pass asks percentile_approx for a bracket around each wanted rank, a second pass counts the rows
+    below the bracket and keeps only the values inside it (about 4/accuracy of the rows), and the
+    ranks are found among those. Both passes combine on the map side. The brackets, one row per key,
+    are broadcast only when `few_keys` says that their number is bounded (columns of a table, counted
+    groups); otherwise the join is left to the optimiser, which splits hot keys (skew join). Keys of which
+    a rank falls outside its bracket, as the approximation may miss, get brackets ten times as wide and
+    finally open ones, so the result is exact in any case.
+    """
+    keys = list(keys)
+    clean = values.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    margin, todo, done = 2.0 / accuracy, clean, []
+    missed = F.exists("quantiles", lambda q: q.isNull()) | (F.size("quantiles") < len(probabilities))
+    while True:
+        tried = materialise(_attempt(todo, keys, probabilities, margin, accuracy, few_keys), "quantiles")
+        done.append(tried.where(~missed))
+        if margin >= 1 or tried.where(missed).isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        again = tried.where(missed).select(*[F.col(k).alias(f"_{k}") for k in keys])
+        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+        todo = clean.join(again, same, "left_semi")
+        margin = min(1.0, margin * 100)

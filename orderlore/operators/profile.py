@@ -188,7 +188,7 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 def column_quantiles(df: DataFrame, probabilities: Sequence[float], columns: Sequence[str] | None = None) -> DataFrame:
     """(ordinal, n, quantiles) of the numeric columns."""
     columns = numeric_columns(df) if columns is None else list(columns)
-    return exact_quantiles(cells(nan_to_null(df), columns, "double"), ["ordinal"], probabilities)
+    return exact_quantiles(cells(nan_to_null(df), columns, "double"), ["ordinal"], probabilities, few_keys=True)
 
 
 def numeric_statistics(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -24,22 +27,28 @@ def build_session(cpus: str = "*", shuffle_partitions: int = 8, app_name: str =
     )
 
 
-# temporary folders of sessions that name none, by application
+# temporary folders of local sessions that name none, by application
 _local_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach, named by spark.checkpoint.dir.
+    """Folder every executor can reach: spark.checkpoint.dir, else the one given to setCheckpointDir.
 
-    The setting is read from the session; only where it is unset, as in local tests, a temporary
-    folder is made.
+    A local session that names neither gets a temporary folder, which goes when the program ends. On a cluster a folder
+    of the driver's machine would lose data, so there a missing setting is an error.
     """
+    context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        application = spark.sparkContext.applicationId
-        if application not in _local_folders:
-            _local_folders[application] = tempfile.mkdtemp(prefix="orderlore-")
-        folder = _local_folders[application]
+        given = context._jsc.sc().getCheckpointDir()
+        folder = given.get() if given.isDefined() else None
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if context.applicationId not in _local_folders:
+            _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="orderlore-")
+            atexit.register(shutil.rmtree, _local_folders[context.applicationId], ignore_errors=True)
+        folder = _local_folders[context.applicationId]
     return folder.rstrip("/")
 
 

@@ -56,6 +56,25 @@ def test_quantiles_of_one_hot_value_and_without_broadcast(spark):
     assert got == pytest.approx(np.quantile(values, (0.05, 0.5)))
 
 
+def test_quantiles_with_a_missed_bracket(spark, monkeypatch):
+    from orderlore.functions import quantiles
+
+    first, margins = quantiles._attempt, []
+
+    def narrow(clean, keys, probabilities, margin, accuracy, few_keys):
+        margins.append(margin)
+        out = first(clean, keys, probabilities, margin, accuracy, few_keys)
+        # as if the first bracket of key 1 had missed
+        lost = F.when((F.col("k") == 1) & (F.lit(len(margins)) == 1), F.array(F.lit(None).cast("double")))
+        return out.withColumn("quantiles", F.coalesce(lost, "quantiles"))
+
+    monkeypatch.setattr(quantiles, "_attempt", narrow)
+    df = spark.range(1000).select((F.col("id") % 2).alias("k"), F.col("id").cast("double").alias("value"))
+    got = {r["k"]: r["quantiles"] for r in quantiles.exact_quantiles(df, ["k"], (0.5,), accuracy=100).collect()}
+    assert got == {0: [499.0], 1: [500.0]} and len(margins) == 2 and margins[1] > margins[0]
+
+
+
 def test_f_tail_known_values():
     assert f_tail(4.0, 1, 18) == pytest.approx(0.0608215, abs=1e-7)
     assert f_tail(0.0, 3, 10) == 1.0

@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from conftest import rows
@@ -101,3 +102,22 @@ def test_metadata_table(spark):
 def test_materialise_keeps_rows_and_uses_the_shared_folder(spark):
     df = materialise(spark.range(10), "rows")
     assert df.count() == 10 and df.inputFiles()[0].replace("file://", "").startswith(shared_folder(spark))
+
+
+def test_the_shared_folder_is_never_local_to_a_cluster_driver(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from orderlore import session
+
+    def fake(master, setting=None, given=None):
+        option = SimpleNamespace(isDefined=lambda: given is not None, get=lambda: given)
+        context = SimpleNamespace(master=master, applicationId=f"app-{master}", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: option)))
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default=None: setting or default))
+
+    assert session.shared_folder(fake("spark://host:7077", setting="hdfs://x/shared/")) == "hdfs://x/shared"
+    assert session.shared_folder(fake("spark://host:7077", given="hdfs://x/given")) == "hdfs://x/given"
+    for master in ("spark://host:7077", "local-cluster[3,2,1024]", "yarn"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            session.shared_folder(fake(master))
+    local = session.shared_folder(fake("local[4]"))
+    assert os.path.isdir(local) and local == session.shared_folder(fake("local[4]"))
