@@ -65,6 +65,11 @@ def _as_text(df: DataFrame, column: str = "order_date") -> DataFrame:
     return df.withColumn(column, F.date_format(column, "yyyy-MM-dd"))
 
 
+def _day_first(df: DataFrame) -> DataFrame:
+    """The order dates as an export with the day in front has them."""
+    return df.withColumn("order_date", F.date_format(F.to_date("order_date"), "d/M/yyyy"))
+
+
 def _summary(df: DataFrame) -> DataFrame:
     return clean.summary(df, clean.clean(df, ROLES))
 
@@ -125,6 +130,10 @@ OPERATORS = {
         "order_id", "total_anomaly", "points_anomaly", "customer_id_anomaly", "is_anomaly"
     ),
     "C01": lambda d: clean.normalize_column_names(d.toDF(*MESSY)),
+    "C02.day_first": lambda d: _as_text(clean.standardize_types(_day_first(d), ROLES).select("order_id", "order_date")),
+    "P07.day_first": lambda d: profile.date_ranges(_day_first(d), ["order_date"]).select(
+        "column", *[F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("min_date", "max_date")]
+    ),
     "C02": lambda d: _as_text(clean.standardize_types(d, ROLES).select("order_id", "order_date")),
     "C03": lambda d: clean.standardize_types(_numeric_text(d), {"amount": "continuous_numeric"}),
     "C04": lambda d: profile.column_roles(clean.standardize_types(d, ROLES))
@@ -338,6 +347,7 @@ _SQL = {
     "P05": f"SELECT * FROM {_STATS}",
     "P06": _union(_top, ["segment", "priority", "region", "item_count", "channel"]),
     "P07": f"SELECT * FROM {_DATES}",
+    "P07.day_first": f"SELECT * FROM {_DATES}",
     "P08": "SELECT role, string_agg(\"column\", ',' ORDER BY \"column\") AS columns FROM roles GROUP BY role",
     "P09": f'SELECT "column", {_KEYWORD} AS by_keyword, unique_count FROM roles WHERE {_PROTECTED}',
     "P10": f'SELECT "column", role FROM roles WHERE {_METRIC}',
@@ -371,6 +381,7 @@ _SQL = {
     + " FROM dirty)",
     "C01": "SELECT " + ", ".join(f"{old} AS {new}" for old, new in zip(COLUMNS, _CLEAN_NAMES)) + " FROM dirty",
     "C02": "SELECT order_id, order_date FROM dirty",
+    "C02.day_first": "SELECT order_id, order_date FROM dirty",
     "C03": "SELECT order_id, CASE WHEN points % 50 <> 0 THEN total END AS amount FROM dirty",
     "C04": "SELECT \"column\", unique_count FROM roles WHERE role = 'categorical'",
     "C05": "SELECT order_id, trim(segment) AS segment FROM dirty",

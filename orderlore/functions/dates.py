@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: the date patterns tried, in order, each with the shape a fitting text has
@@ -26,6 +26,31 @@ def parses(text: Column) -> list[Column]:
     return [*attempts, text.try_cast("timestamp")]
 
 
-def to_datetime(text: Column) -> Column:
-    """First pattern that fits; NULL when none does."""
-    return F.coalesce(*parses(text))
+def best_reading(text: Column, weight: Column | None = None) -> Column:
+    """Aggregate over a column: the attempt that parses most values (the first of equals) as a struct of its number of
+    values, place in `parses`, first and last moment. One pattern is a column's format, so that 03/04 is never read as
+    March in one row and as 3 April, as other rows of the column demand, in the next."""
+    weight = F.lit(1) if weight is None else weight
+    rated = [
+        F.struct(
+            F.sum(F.when(p.isNotNull(), weight).otherwise(0)).alias("values"),
+            F.lit(-i).alias("place"),
+            F.min(p).alias("min_date"),
+            F.max(p).alias("max_date"),
+        )
+        for i, p in enumerate(parses(text))
+    ]
+    return F.array_max(F.array(*rated))
+
+
+def to_datetime(text: Column, place: int) -> Column:
+    """The attempt at `place`; NULL for texts that don't fit it."""
+    return parses(text)[place]
+
+
+def places_of(df: DataFrame, columns: list[str]) -> dict[str, int]:
+    """The best attempt of each text column, from one aggregate; one row reaches the driver."""
+    if not columns:
+        return {}
+    found = df.agg(*[best_reading(F.col(f"`{c}`"))["place"].alias(f"p{i}") for i, c in enumerate(columns)]).first()
+    return {c: -(found[i] or 0) for i, c in enumerate(columns)}

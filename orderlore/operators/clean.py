@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderlore.functions.dates import to_datetime
+from orderlore.functions.dates import places_of, to_datetime
 from orderlore.functions.numeric import is_number, nan_to_null, percent
 from orderlore.operators.profile import (
     NUMERIC_ROLES,
@@ -56,13 +56,17 @@ def _with_role(df: DataFrame, roles: Mapping[str, str], *wanted: str) -> list[st
 
 
 def standardize_types(df: DataFrame, roles: Mapping[str, str]) -> DataFrame:
-    """Parse dates and numbers, tag categories, trim other text. Unparsable cells become NULL."""
-    new = []
+    """Parse dates and numbers, tag categories, trim other text. Unparsable cells become NULL.
+
+    A text column of dates is read with the one pattern that fits most of its values.
+    """
+    dated = [f.name for f in df.schema.fields if roles.get(f.name) == "datetime" and isinstance(f.dataType, T.StringType)]
+    places, new = places_of(df, dated), []
     for field in df.schema.fields:
         c, role = F.col(f"`{field.name}`"), roles.get(field.name)
         is_text = isinstance(field.dataType, T.StringType)
         if role == "datetime" and is_text:
-            c = to_datetime(c)
+            c = to_datetime(c, places[field.name])
         elif role in NUMERIC_ROLES and not is_number(field.dataType):
             c = c.try_cast("double")
         elif is_text and role != "categorical":

@@ -7,6 +7,7 @@ text is kept. The rows of a result stay in Spark.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from itertools import islice
@@ -57,9 +58,10 @@ def as_query(spark: SparkSession, text: str) -> DataFrame:
 
 
 def run_query(spark: SparkSession, text: str, limit: int = SAFETY_LIMIT) -> DataFrame:
-    """The result, limited when the text itself sets no limit."""
+    """The result, limited when its plan has no limit of its own; the word alone, as in a name, is none."""
     result = as_query(spark, text)
-    return result if "LIMIT" in text.upper() else result.limit(limit)
+    plan = result._jdf.queryExecution().analyzed().toString()
+    return result if re.search(r"^\W*(Global|Local)Limit\b", plan, re.MULTILINE) else result.limit(limit)
 
 
 def _batches(rows: Iterator[Row]) -> Iterator[list[Row]]:

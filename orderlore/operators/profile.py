@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderlore.functions.dates import parses, to_datetime
+from orderlore.functions.dates import best_reading, parses
 from orderlore.functions.numeric import is_datetime, is_fractional, is_integral, is_number, nan_to_null, percent, ratio
 from orderlore.functions.quantiles import exact_quantiles
 from orderlore.session import materialise
@@ -227,13 +227,9 @@ def top_values(
 
 
 def date_ranges(df: DataFrame, columns: Sequence[str] | None = None, freq: DataFrame | None = None) -> DataFrame:
-    """First and last moment of the date columns, text dates parsed once per distinct value."""
-    moment = to_datetime(F.col("value"))
-    found = (
-        _of_columns(df, columns, freq)
-        .groupBy("ordinal")
-        .agg(F.min(moment).alias("min_date"), F.max(moment).alias("max_date"))
-    )
+    """First and last moment of the date columns, text dates parsed once per distinct value, with one pattern a column."""
+    read = _of_columns(df, columns, freq).groupBy("ordinal").agg(best_reading(F.col("value"), F.col("count")).alias("r"))
+    found = read.select("ordinal", "r.min_date", "r.max_date")
     return named(found.where(F.col("min_date").isNotNull()), df)
 
 

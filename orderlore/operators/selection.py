@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orderlore.functions.numeric import ratio
 from orderlore.functions.text import allow_repeated_keys
@@ -157,11 +158,14 @@ def with_previous(versions: DataFrame, keys: Sequence[str], slice_by: Column | N
 
     `slice_by`, a period of the update time, bounds what one task has to sort: inside a slice the
     previous version is a neighbour, and the first version of a slice takes the last one of the nearest
-    earlier slice, found among one row per slice. Without it a whole history is one task's work.
+    earlier slice, found among one row per slice. By default a slice is a month; with keys that bound a history,
+    `slice_by=F.lit(0)` leaves it whole.
     """
     order = ["updated", "version"]
     if slice_by is None:
-        return versions.withColumn("previous_score", F.lag("composite_score").over(Window.partitionBy(*keys).orderBy(*order)))
+        kind = versions.schema["updated"].dataType
+        # numbers are seconds
+        slice_by = F.floor(F.col("updated") / 2_592_000) if isinstance(kind, T.NumericType) else F.date_trunc("month", "updated")
     sliced = versions.withColumn("_slice", slice_by)
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
     rows = sliced.withColumns({"previous_score": F.lag("composite_score").over(inside), "_n": F.row_number().over(inside)})

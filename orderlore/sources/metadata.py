@@ -6,6 +6,8 @@ folder that is being rewritten.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,20 +52,28 @@ def delete(table: DataFrame, dataset_name: str) -> DataFrame:
     return table.where(~F.col("dataset_name").eqNullSafe(dataset_name))
 
 
-def write_version(table: DataFrame, root: str, version: int) -> str:
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the committed versions: those whose folder has the mark that a finished write leaves."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    marks = hadoop.Path(f"{root.rstrip('/')}/version=*/_SUCCESS")
+    found = marks.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(marks) or []
+    return sorted(int(m[1]) for f in found if (m := re.search(r"/version=(\d+)/", f.getPath().toString())))
+
+
+def write_version(table: DataFrame, root: str, version: int, keep: int = 3) -> str:
+    """Write a new version and prune all but the `keep` newest committed ones."""
     path = f"{root.rstrip('/')}/version={version}"
     table.write.mode("errorifexists").parquet(path)
+    spark = table.sparkSession
+    for old in _versions(spark, root)[:-keep]:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/version={old}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
     return path
 
 
 def read_latest(spark: SparkSession, root: str) -> DataFrame:
-    """The highest complete version; a version without its success mark is ignored."""
-    done = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.parquet")
-        .load(root)
-        .select(F.regexp_extract("path", r"/version=(\d+)/", 1).cast("int").alias("v"))
-    )
-    version = done.agg(F.max("v")).first()[0]
-    return spark.read.schema(SCHEMA).parquet(f"{root.rstrip('/')}/version={version}")
+    """The highest committed version; one without its success mark, as a broken write leaves it, is ignored."""
+    committed = _versions(spark, root)
+    if not committed:
+        return spark.createDataFrame([], SCHEMA)
+    return spark.read.schema(SCHEMA).parquet(f"{root.rstrip('/')}/version={committed[-1]}")

@@ -225,3 +225,13 @@ def test_relationships_are_the_first_twenty_pairs(spark):
                [tuple("v" if c[0] == "d" else float(i * 60 + j) for j, c in enumerate(columns)) for i in range(60)])
     got = describe.relationships(describe.column_facts(df)).orderBy("place").collect()
     assert len(got) == 20 and (got[0]["dimension"], got[0]["measure"]) == ("d0", "m0") and got[-1]["dimension"] == "d3"
+
+
+@pytest.mark.parametrize("pattern, text", [("d/M/yyyy", "{d}/{m}/{y}"), ("M/d/yyyy", "{m}/{d}/{y}"), ("d-M-yyyy", "{d}-{m}-{y}"), ("yyyy/M/d", "{y}/{m}/{d}")])
+def test_a_column_of_dates_has_one_pattern(spark, pattern, text):
+    dates = [(2024, m, d) for m in range(1, 13) for d in (1, 4, 9, 12, 13, 20, 28)]
+    df = spark.createDataFrame([("%d-%02d-%02d" % x, text.format(y=x[0], m=x[1], d=x[2])) for x in dates] + [(None, "soon"), (None, None)], "expected string, day string")
+    read = clean.standardize_types(df, {"day": "datetime"}).select("expected", F.date_format("day", "yyyy-MM-dd").alias("day"))
+    assert len(dates) == 84 and all(r["expected"] == r["day"] for r in read.collect())
+    span = profile.date_ranges(df, ["day"]).first()
+    assert (str(span["min_date"])[:10], str(span["max_date"])[:10]) == ("2024-01-01", "2024-12-28")

@@ -121,3 +121,15 @@ def test_the_shared_folder_is_never_local_to_a_cluster_driver(spark, monkeypatch
             session.shared_folder(fake(master))
     local = session.shared_folder(fake("local[4]"))
     assert os.path.isdir(local) and local == session.shared_folder(fake("local[4]"))
+
+
+def test_only_committed_versions_are_read_and_old_ones_pruned(spark):
+    root = fresh_path(spark, "metadata")
+    assert metadata.read_latest(spark, root).count() == 0
+    one = spark.createDataFrame([("x", "{}", "c", n, 1, None, None) for n in range(3)], metadata.SCHEMA)
+    for version in range(1, 6):
+        metadata.write_version(one.where(f"row_count < {version}"), root, version, keep=2)
+    assert sorted(os.listdir(root.removeprefix("file://"))) == ["version=4", "version=5"]
+    broken = metadata.write_version(one.limit(1), root, 6, keep=9)
+    os.remove(broken.removeprefix("file://") + "/_SUCCESS")
+    assert metadata.read_latest(spark, root).count() == 3
