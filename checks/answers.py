@@ -263,7 +263,10 @@ QUERIES = {
     ),
     "M13": lambda s, d: _rounded(selection.tune(_trials(s, d)), 6, "score"),
     "X01": _bound,
-    "X02": lambda s, d: _executed(s, d).select("sql_query", "execution_status", "result_count").distinct(),
+    "X02": lambda s, d: _executed(s, d).select(
+        "sql_query", "execution_status", "result_count", (F.col("elapsed_seconds") > 0).alias("timed"),
+        F.coalesce(F.json_array_length("first_rows"), F.lit(0)).cast("bigint").alias("kept_rows"),
+    ).distinct(),
     "X03": _limited,
     "X04": _flags("not_empty"),
     "X05": _flags("reasonable_count"),
@@ -603,7 +606,7 @@ _EXEC_SQL = {
     "M08": f"SELECT coalesce(list_aggregate(e, 'string_agg', ','), '') AS errors, len(e) = 0 AS passed FROM "
     f"(SELECT *, {_gate_sql(selection.EXECUTION_GATE, 'accuracy')} AS e FROM {_ACCURACY})",
     "X01": "SELECT region, COUNT(*) AS line_count FROM dataset GROUP BY region",
-    "X02": "SELECT DISTINCT sql_query, execution_status, n AS result_count FROM judged",
+    "X02": "SELECT DISTINCT sql_query, execution_status, n AS result_count, true AS timed, CAST(least(n, 100) AS BIGINT) AS kept_rows FROM judged",
     "X03": "SELECT order_id, product_id, round(sales, 4) AS sales FROM dataset ORDER BY 1, 2, 3 LIMIT 10000",
     **{
         k: f"SELECT user_query, sql_query, chart, {c} FROM judged"

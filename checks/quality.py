@@ -41,7 +41,8 @@ ROLES = {
 }
 NUMBERS = [c for c, k in COLUMNS.items() if k in ("integral", "fractional")]
 ATTRIBUTES = ["segment", "priority", "region"]
-METRICS = ["customer_id", "total", "points"]
+METRICS = ["customer_id", "total", "balance", "points"]
+TESTS = len(ATTRIBUTES) * len(METRICS)
 MESSY = [
     "Order ID", "Customer-ID", " Segment ", "Priority!", "Region", "Order  Date", "Total ($)", "Balance", "Item Count",
     "Points", "points", "Channel", "Gift?",
@@ -124,10 +125,10 @@ OPERATORS = {
     "V02": lambda d: _rounded(validate.null_shares(d), 8, "null_share"),
     "V02.table": lambda d: _rounded(validate.nulls(d), 8, "null_pct_overall"),
     "V03": lambda d: _rounded(validate.duplicates(d), 8, "duplicate_share"),
-    "V04": lambda d: _rounded(validate.anomalies(d, METRICS), 6, "outlier_pct", "lower_bound", "upper_bound"),
+    "V04": lambda d: _rounded(validate.anomalies(d, NUMBERS), 6, "outlier_pct", "lower_bound", "upper_bound"),
     "V05": validate.verdict,
-    "V06": lambda d: validate.anomaly_flags(d, METRICS).select(
-        "order_id", "total_anomaly", "points_anomaly", "customer_id_anomaly", "is_anomaly"
+    "V06": lambda d: validate.anomaly_flags(d, NUMBERS).select(
+        "order_id", *[f"{c}_anomaly" for c in NUMBERS], "is_anomaly"
     ),
     "C01": lambda d: clean.normalize_column_names(d.toDF(*MESSY)),
     "C02.day_first": lambda d: _as_text(clean.standardize_types(_day_first(d), ROLES).select("order_id", "order_date")),
@@ -141,21 +142,22 @@ OPERATORS = {
     .select("column", "unique_count"),
     "C05": lambda d: clean.standardize_types(d, {"segment": "text"}).select("order_id", "segment"),
     "C06": lambda d: clean.drop_missing_identifiers(d, {"customer_id": "identifier"}).select("order_id", "customer_id"),
-    "C07": lambda d: clean.fill_missing(d.select("order_id", "segment", "priority"), ROLES),
-    "C08": lambda d: clean.fill_missing(d.select("order_id", "customer_id", "balance"), ROLES),
+    "C07": lambda d: clean.fill_missing(d.select("order_id", "segment", "priority", "region", "item_count", "channel"), ROLES),
+    "C08": lambda d: clean.fill_missing(d.select("order_id", "customer_id", "balance", "total"), ROLES),
     "C09": lambda d: clean.fill_missing(_gappy_points(d), ROLES),
     "C10": clean.remove_duplicates,
-    "C11": lambda d: _rounded(clean.cap_outliers(d.select("order_id", "total", "customer_id"), ROLES), 6, "total"),
+    "C11": lambda d: _rounded(clean.cap_outliers(d.select("order_id", *METRICS), ROLES), 6, *METRICS),
     "C11.report": lambda d: _rounded(
         clean.outlier_report(d, ROLES), 6, "outlier_pct", "lower_bound", "upper_bound"
     ),
     "C12": lambda d: _rounded(
-        clean.cap_outliers(d.select("order_id", "total", "points"), ROLES, "zscore"), 4, "total"
+        clean.cap_outliers(d.select("order_id", *METRICS), ROLES, "zscore"), 4, *METRICS
     ),
     "C14": lambda d: clean.constant_columns(d),
     "C15": lambda d: _rounded(_summary(d), 8, "rows_retained_pct", "data_quality_score"),
     "C16": lambda d: _rounded(clean.quality(d), 8, "null_pct", "duplicate_pct", "completeness_score"),
     "C17": lambda d: _rounded(_as_text(clean.clean(d, ROLES)), 6, "total", "balance", "points", "customer_id"),
+    "C17.detected": lambda d: _rounded(_as_text(clean.clean(d)), 6, "total", "balance", "points", "customer_id"),
     "C18": lambda d: _rounded(clean.high_null_alert(clean.quality(d)), 8, "null_pct"),
     "B01": lambda d: profile.column_roles(d.select(*fairness.choose_attributes(d))).select("column", "unique_count"),
     "B02": lambda d: fairness.unprofiled_metrics(d),
@@ -370,13 +372,13 @@ _SQL = {
     "count(*) FILTER (null_count / row_count > 0.15) AS columns_exceeding, count(*) FILTER (null_count / row_count > 0.15) = 0 AS valid FROM counts",
     "V03": f"SELECT duplicate_rows AS duplicate_count, round(duplicate_rows / row_count, 8) AS duplicate_share, "
     f"duplicate_rows / row_count <= 0.05 AS valid FROM {_QUALITY}",
-    "V04": _union(_anomaly, METRICS),
+    "V04": _union(_anomaly, NUMBERS),
     "V05": f"SELECT s AND n AND d AS overall_valid, s AS structure_valid, n AS nulls_valid, d AS duplicates_valid FROM "
     f"(SELECT row_count >= 10 AS s, duplicate_rows / row_count <= 0.05 AS d, "
     f"(SELECT count(*) FILTER (null_count / row_count > 0.15) = 0 FROM counts) AS n FROM {_QUALITY})",
-    "V06": "SELECT order_id, t AS total_anomaly, p AS points_anomaly, c AS customer_id_anomaly, t OR p OR c AS is_anomaly FROM (SELECT order_id, "
-    + ", ".join(
-        f"coalesce({c} < (SELECT lo FROM {_bounds(c)}) OR {c} > (SELECT hi FROM {_bounds(c)}), false) AS {c[0]}" for c in METRICS
+    "V06": "SELECT order_id, " + ", ".join(f"{c[0]} AS {c}_anomaly" for c in NUMBERS) + ", " + " OR ".join(c[0] for c in NUMBERS)
+    + " AS is_anomaly FROM (SELECT order_id, " + ", ".join(
+        f"coalesce({c} < (SELECT lo FROM {_bounds(c)}) OR {c} > (SELECT hi FROM {_bounds(c)}), false) AS {c[0]}" for c in NUMBERS
     )
     + " FROM dirty)",
     "C01": "SELECT " + ", ".join(f"{old} AS {new}" for old, new in zip(COLUMNS, _CLEAN_NAMES)) + " FROM dirty",
@@ -386,16 +388,16 @@ _SQL = {
     "C04": "SELECT \"column\", unique_count FROM roles WHERE role = 'categorical'",
     "C05": "SELECT order_id, trim(segment) AS segment FROM dirty",
     "C06": "SELECT order_id, customer_id FROM dirty WHERE customer_id IS NOT NULL",
-    "C07": f"SELECT order_id, coalesce(segment, {_mode('segment')}) AS segment, priority FROM dirty",
+    "C07": f"SELECT order_id, coalesce(segment, {_mode('segment')}) AS segment, priority, region, item_count, channel FROM dirty",
     "C08": f"SELECT order_id, coalesce(CAST(customer_id AS DOUBLE), {_median('customer_id')}) AS customer_id, "
-    f"coalesce(balance, {_median('balance')}) AS balance FROM dirty",
+    f"coalesce(balance, {_median('balance')}) AS balance, total FROM dirty",
     "C09": "SELECT order_id, CASE WHEN order_id % 13 <> 0 THEN points ELSE "
     + _mode("points", "(SELECT * FROM dirty WHERE order_id % 13 <> 0)")
     + " END AS points FROM dirty",
     "C10": "SELECT DISTINCT * FROM dirty",
-    "C11": f"SELECT order_id, round({_cap('total', _bounds('total'))}, 6) AS total, {_cap('customer_id', _bounds('customer_id'))} AS customer_id FROM dirty",
+    "C11": "SELECT order_id, " + ", ".join(f"round({_cap(c, _bounds(c))}, 6) AS {c}" for c in METRICS) + " FROM dirty",
     "C11.report": f"SELECT \"column\", outlier_count, outlier_pct, lower_bound, upper_bound FROM ({_union(_anomaly, ['customer_id', 'total', 'balance', 'points'])})",
-    "C12": f"SELECT order_id, round({_cap('total', _zscore('total'))}, 4) AS total, {_cap('points', _zscore('points'))} AS points FROM dirty",
+    "C12": "SELECT order_id, " + ", ".join(f"round({_cap(c, _zscore(c))}, 4) AS {c}" for c in METRICS) + " FROM dirty",
     "C14": _union(
         lambda c: f"SELECT '{c}' AS \"column\", count({c}) = 0 AS all_missing FROM dirty HAVING count(DISTINCT {c}) <= 1", COLUMNS
     ),
@@ -407,6 +409,9 @@ _SQL = {
     "C17": f", filled AS MATERIALIZED ({_FILLED}) SELECT order_id, segment, priority, region, order_date, item_count, remark, gift, "
     + ", ".join(f"round({_cap(c, _bounds(c, 'filled'))}, 6) AS {c}" for c in ("customer_id", "total", "balance", "points"))
     + " FROM filled",
+    "C17.detected": f", filled AS MATERIALIZED ({_FILLED}) SELECT order_id, segment, priority, region, order_date, item_count, remark, gift, "
+    + ", ".join(f"round({_cap(c, _bounds(c, 'filled'))}, 6) AS {c}" for c in ("customer_id", "total", "balance", "points"))
+    + " FROM filled",
     "C18": f"SELECT round(null_pct, 8) AS null_pct, null_pct > 15 AS alert FROM {_QUALITY}",
     "B01": f'SELECT "column", unique_count FROM roles WHERE {_PROTECTED}',
     "B02": "SELECT \"column\", unique_count FROM counts WHERE kind IN ('integral', 'fractional') AND unique_count / row_count < 0.95",
@@ -418,14 +423,14 @@ _SQL = {
     "B07": f'SELECT attribute, "group", count, round(percentage, 8) AS percentage, percentage < 10 AS under_represented FROM {_REPRESENTATION}',
     "B08": f"SELECT attribute, metric, groups, f_statistic, ratio, round(mean_cv, 6) AS mean_cv FROM {_ANOVA} JOIN {_IMPACT} USING (attribute, metric) "
     f"JOIN {_VARIATION} USING (attribute, metric)",
-    "B09": f"SELECT 'completed' AS status, CAST(9 AS BIGINT) AS total_tests, bias_flags, round(bias_flags / 9 * 100, 8) AS bias_flag_pct FROM {_FLAGS}",
+    "B09": f"SELECT 'completed' AS status, CAST({TESTS} AS BIGINT) AS total_tests, bias_flags, round(bias_flags / {TESTS} * 100, 8) AS bias_flag_pct FROM {_FLAGS}",
     "B10": f"SELECT bias_flags, CASE WHEN bias_flags = 0 THEN '{fairness.ASSESSMENT_NONE}' WHEN bias_flags / 9 < 0.2 THEN '{fairness.ASSESSMENT_MINOR}' "
     f"WHEN bias_flags / 9 < 0.5 THEN '{fairness.ASSESSMENT_MODERATE}' ELSE '{fairness.ASSESSMENT_SIGNIFICANT}' END AS overall_assessment FROM {_FLAGS}",
     "B11": _ADVICE,
     "X20.dataset": f"SELECT 'dirty_orders' AS dataset_name, row_count AS rows, CAST(13 AS BIGINT) AS columns, row_count >= 10 AND "
     f"duplicate_rows / row_count <= 0.05 AND (SELECT count(*) FILTER (null_count / row_count > 0.15) = 0 FROM counts) AS overall_valid, "
     f"row_count - duplicate_rows AS final_rows, 13 - (SELECT count(*) FROM counts WHERE unique_count <= 1) AS final_columns, "
-    f"CAST(9 AS BIGINT) AS total_tests, bias_flags FROM {_QUALITY}, {_FLAGS}",
+    f"CAST({TESTS} AS BIGINT) AS total_tests, bias_flags FROM {_QUALITY}, {_FLAGS}",
 }
 
 SQL = {k: (_BIAS if k[0] in "BX" else _DIRTY) + body for k, body in _SQL.items()}

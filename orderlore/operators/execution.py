@@ -7,7 +7,9 @@ text is kept. The rows of a result stay in Spark.
 
 from __future__ import annotations
 
+import json
 import re
+import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from itertools import islice
@@ -19,7 +21,7 @@ from pyspark.sql import types as T
 from orderlore.functions.numeric import is_datetime, is_number
 from orderlore.functions.numeric import percent
 from orderlore.functions.text import first_label, has_any
-from orderlore.session import fresh_path, materialise
+from orderlore.session import fresh_path
 
 VIEW = "dataset"
 CHECK_LIMIT = 100
@@ -239,15 +241,16 @@ def sentences(schema: T.StructType, n: Column, top: Column) -> dict[str, Column]
     return texts
 
 
-def assess(result: DataFrame, question: str, chart: str) -> DataFrame:
+def assess(result: DataFrame, question: str, chart: str, head: DataFrame | None = None) -> DataFrame:
     """One row with the checks and the sentence for a result.
 
-    `result` must already be written (it is read three times) and carry `_row`, the row's place.
+    `result` carries `_row`, the row's place. One aggregate reads it; `head` holds its first rows, which are sought in
+    the result itself if not given.
     """
     fields = T.StructType([f for f in result.schema.fields if f.name != "_row"])
     n, q, c = F.count("*"), F.lit(question), F.lit(chart)
     first_three = (
-        result.orderBy("_row").limit(3).agg(F.array_sort(F.collect_list(F.struct("_row", *fields.names))).alias("top"))
+        (result if head is None else head).orderBy("_row").limit(3).agg(F.array_sort(F.collect_list(F.struct("_row", *fields.names))).alias("top"))
     )
     kind = answer_kind(q)
     texts = sentences(fields, n, F.any_value(F.col("_top")))
@@ -274,22 +277,30 @@ def assess(result: DataFrame, question: str, chart: str) -> DataFrame:
 OUTCOME = (
     "user_query string, sql_query string, chart string, execution_status string, result_count bigint, not_empty boolean, "
     "reasonable_count boolean, visualization_compatible boolean, values_reasonable boolean, intent_aligned boolean, "
-    "results_valid boolean, answer_kind string, answer string, error string"
+    "results_valid boolean, answer_kind string, answer string, error string, elapsed_seconds double, first_rows string"
 )
 
 
 def execute_and_validate(spark: SparkSession, question: str, text: str, chart: str) -> tuple:
-    """Run one text, write its rows once, and assess them."""
+    """Run one text, assess its rows in one aggregate over its plan, and keep the first of them as JSON.
+
+    The result is never written: the first rows and the aggregate are all that leaves the executors.
+    """
+    start = time.perf_counter()
     try:
-        rows = as_query(spark, text).withColumn("_row", F.monotonically_increasing_id())
-        r = assess(materialise(rows, "result"), question, chart).first()
+        result = as_query(spark, text)
+        kept = first_rows(result).collect()
+        numbered = [(i, *r) for i, r in enumerate(kept[:3])]
+        head = spark.createDataFrame(numbered, T.StructType([T.StructField("_row", T.LongType()), *result.schema.fields]))
+        r = assess(result.withColumn("_row", F.monotonically_increasing_id()), question, chart, head).first()
+        rows = json.dumps([row.asDict(True) for row in kept], default=str)
         return (
             question, text, chart, "success", r["result_count"], r["not_empty"], r["reasonable_count"],
             r["visualization_compatible"], r["values_reasonable"], r["intent_aligned"], r["results_valid"],
-            r["answer_kind"], r["answer"], None,
+            r["answer_kind"], r["answer"], None, time.perf_counter() - start, rows,
         )
     except Exception as error:  # a generated text that fails is an outcome, not a failure of the run
-        return (question, text, chart, "failed", 0, *[None] * 5, False, None, "", type(error).__name__)
+        return (question, text, chart, "failed", 0, *[None] * 5, False, None, "", type(error).__name__, time.perf_counter() - start, None)
 
 
 def execute_batch(log: DataFrame, dataset: DataFrame, parallel: int = 4) -> DataFrame:
