@@ -23,14 +23,14 @@ MIN_LINES, MIN_WORDS = 4, 50
 
 # lines of `text`, their digests and their numbers of words
 _LINES = "split(coalesce(text, ''), '\n', -1)"
-_DIGESTS = f"transform({_LINES}, x -> unhex(md5(trim(x))))"
-_WORDS = f"transform({_LINES}, x -> regexp_count(x, '[^\\\\x20\\\\x09-\\\\x0D]+'))"
+_DIGESTS = "transform(lines, x -> unhex(md5(trim(x))))"
+_WORDS = "transform(lines, x -> regexp_count(x, '[^\\\\x20\\\\x09-\\\\x0D]+'))"
 
 
 def line_digests(docs: DataFrame) -> DataFrame:
     """doc_id, key and the digests h and numbers of words w of the lines; rows equal in id and text are one."""
-    lines = docs.select("doc_id", text_key(F.col("text")).alias("key"), F.expr(_DIGESTS).alias("h"), F.expr(_WORDS).alias("w"))
-    return stored(lines, "line-digests")
+    lines = docs.select("doc_id", text_key(F.col("text")).alias("key"), F.expr(_LINES).alias("lines"))
+    return stored(lines.select("doc_id", "key", F.expr(_DIGESTS).alias("h"), F.expr(_WORDS).alias("w")), "line-digests")
 
 
 def windows(lines: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
@@ -82,7 +82,8 @@ def remove_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words
     by_doc = stored(runs.groupBy("doc_id", "key").agg(F.collect_set(F.struct("a", "b")).alias("runs")), "line-removals")
     same = docs["doc_id"].eqNullSafe(by_doc["doc_id"]) & (text_key(docs["text"]) == by_doc["key"])
     others = [docs[c] for c in docs.columns if c not in ("text", removed, total)]
-    joined = docs.join(by_doc, same, "left").select(F.struct(*others).alias("row"), docs["text"].alias("text"), by_doc["runs"].alias("runs"))
+    # one small row a document on the right: hashed, so that the texts need not be sorted
+    joined = docs.join(by_doc.hint("shuffle_hash"), same, "left").select(F.struct(*others).alias("row"), docs["text"].alias("text"), by_doc["runs"].alias("runs"))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.expr(_LINES)))
     stay = F.expr(f"filter({_LINES}, (x, i) -> not exists(runs, r -> i + 1 between r.a and r.b))")
     cut = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))

@@ -40,9 +40,12 @@ def text_key(text: Column) -> Column:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read back: computed once, and still there when executors are lost."""
+    """Write to the shared folder and read back: computed once, and still there when executors are lost.
+
+    Zstandard instead of Snappy, whose buffers outside of the heap stay until the next collection.
+    """
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
