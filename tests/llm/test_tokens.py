@@ -43,10 +43,10 @@ def test_readable_text_round_trip():
 
 
 def test_cache_is_bounded_and_right():
-    cache = PieceCache(lambda pieces: [p.upper() for p in pieces], limit=3, longest=4)
-    for pieces in (["a", "b", "a"], ["c", "d", "longer"], ["a", "longer", "e"], []):
+    cache = PieceCache(lambda pieces: [p.upper() for p in pieces], limit=4, longest=4)
+    for pieces in (["a", "b", "a"], ["c", "d", "longer"], ["a", "longer", "e"], [], ["a", "b", "c", "d", "e", "f", "g"], ["f", "a"]):
         assert cache(pieces) == [p.upper() for p in pieces]
-        assert len(cache.known) <= 3 and "longer" not in cache.known
+        assert len(cache.known) + len(cache.older) <= 4 and "longer" not in {**cache.known, **cache.older}
 
 
 def test_encode_and_decode_keep_rows_and_columns(corpus, empty, texts, libraries):
