@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlore.llm.pieces import WORD_PIECES, PieceCache, plain, special_strings, tokenizer
+from orderlore.llm.pieces import PieceCache, plain, special_strings, tokenizer, word_pieces
 from orderlore.llm.tables import map_arrow
 
 NO_RANK = 1 << 62
@@ -73,12 +73,11 @@ class WordEncoder:
 
     def words(self, text: str) -> list[str]:
         """Words of a text without special strings: canonical composition, lower case, split."""
-        if plain(text):
-            if not text.isascii():
-                text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-            text = text.lower()
-            if text.isascii() or plain(text):
-                return WORD_PIECES.findall(text)
+        if text.isascii() or plain(text):
+            lower = text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            pieces = word_pieces(lower.lower())
+            if pieces is not None:
+                return pieces
         normal = self.library.normalizer.normalize_str(text)
         return [normal[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 

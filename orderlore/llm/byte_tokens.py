@@ -6,7 +6,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from orderlore.llm.pieces import BYTE_PIECES, PieceCache, plain, special_strings, tokenizer
+from orderlore.llm.pieces import PieceCache, byte_pieces, special_strings, tokenizer
 
 END_ID = 2
 
@@ -20,13 +20,14 @@ class ByteEncoder:
         self.cache = PieceCache(self._missing)
 
     def _missing(self, pieces: list[str]) -> list[bytes]:
-        encoded = self.library.encode_batch(pieces, add_special_tokens=False)
+        encoded = self.library.encode_batch_fast(pieces, add_special_tokens=False)
         return [np.asarray(e.ids, self.dtype).tobytes() for e in encoded]
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned integers of `dtype`."""
-        if plain(text) and not any(s in text for s in self.special):
-            return b"".join(self.cache(BYTE_PIECES.findall(text)))
+        pieces = None if any(s in text for s in self.special) else byte_pieces(text)
+        if pieces is not None:
+            return b"".join(self.cache(pieces))
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
 

@@ -8,6 +8,7 @@ strings take the library's own splitting; `plain` decides.
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 from collections.abc import Callable
@@ -17,17 +18,19 @@ from tokenizers import Tokenizer
 
 # fixed values: the split patterns of the two public vocabularies, in Python's character classes
 _LETTERS, _DIGITS, _OTHER = r"[^\W\d_]", r"\d", r"(?:[^\s\w]+|_+)+"
-BYTE_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?{_LETTERS}+| ?{_DIGITS}+| ?{_OTHER}|\s+(?!\S)|\s+")
-WORD_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{_LETTERS}+|{_DIGITS}|{_OTHER}")
+BYTE_PIECES = re.compile(rf" ?{_LETTERS}+|'s|'t|'re|'ve|'m|'ll|'d| ?{_DIGITS}+| ?{_OTHER}|\s+(?!\S)|\s+")
+WORD_PIECES = re.compile(rf"{_LETTERS}+|'s|'t|'re|'ve|'m|'ll|'d|{_DIGITS}|{_OTHER}")
+# the same for texts below U+0100, whose classes are a bitmap
+_LATIN = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
+LATIN_BYTE_PIECES = re.compile(rf" ?[{_LATIN}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\s0-9{_LATIN}]+|\s+(?!\S)|\s+")
+LATIN_WORD_PIECES = re.compile(rf"[{_LATIN}]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\s0-9{_LATIN}]+")
 
 _plain: set[str] = set()
+_latin = {chr(i) for i in range(256) if unicodedata.category(chr(i)) != "No" and not 0x1C <= i <= 0x1F}
 
 
 def _is_plain(character: str) -> bool:
-    category = unicodedata.category(character)
-    if category in ("Cn", "Nl", "No") or "\x1c" <= character <= "\x1f":
-        return False
-    return not (category == "Lo" and unicodedata.numeric(character, None) is not None and not character.isalpha())
+    return unicodedata.category(character) not in ("Cn", "Nl", "No") and not "\x1c" <= character <= "\x1f"
 
 
 def plain(text: str) -> bool:
@@ -40,9 +43,27 @@ def plain(text: str) -> bool:
     return True
 
 
+def byte_pieces(text: str) -> list[str] | None:
+    """Pieces of a text under the byte-level pattern; None if the text is not plain."""
+    if _latin.issuperset(letters := set(text)):
+        return LATIN_BYTE_PIECES.findall(text)
+    return BYTE_PIECES.findall(text) if _plain.issuperset(letters) or plain(text) else None
+
+
+def word_pieces(text: str) -> list[str] | None:
+    """The same under the word pattern, for a text in lower case."""
+    if _latin.issuperset(letters := set(text)):
+        return LATIN_WORD_PIECES.findall(text)
+    return WORD_PIECES.findall(text) if _plain.issuperset(letters) or plain(text) else None
+
+
 @lru_cache(maxsize=4)
 def tokenizer(path: str) -> Tokenizer:
-    """The library's tokenizer, once per process, with truncation and padding off."""
+    """The library's tokenizer, once per process, with truncation and padding off.
+
+    Its own threads are off, too: a task has one core, and threads that wait for short batches keep others busy.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     loaded = Tokenizer.from_file(path)
     loaded.no_truncation()
     loaded.no_padding()
@@ -55,23 +76,27 @@ def special_strings(path: str) -> dict[str, int]:
 
 
 class PieceCache:
-    """Pieces and what they encode to; emptied when `limit` entries are reached, so memory stays bounded."""
+    """Pieces and what they encode to, at most `limit` of them in two generations: what is not asked for while one
+    generation fills up is forgotten with the older one. Very long pieces are never kept."""
 
-    def __init__(self, encode: Callable[[list[str]], list], limit: int = 600_000, longest: int = 64):
-        self.encode, self.limit, self.longest, self.known = encode, limit, longest, {}
+    def __init__(self, encode: Callable[[list[str]], list], limit: int = 400_000, longest: int = 64):
+        self.encode, self.half, self.longest = encode, max(1, limit // 2), longest
+        self.known: dict = {}
+        self.older: dict = {}
 
     def __call__(self, pieces: list[str]) -> list:
         """The values of the pieces, in order."""
-        known = self.known
-        missing = set(pieces).difference(known)
-        if missing:
-            if len(known) + len(missing) > self.limit:
-                known.clear()
-                missing = set(pieces)
-            order = list(missing)
-            known.update(zip(order, self.encode(order)))
-        values = list(map(known.__getitem__, pieces))
-        for piece in missing:
-            if len(piece) > self.longest:
-                del known[piece]
+        values = list(map(self.known.get, pieces))
+        if None not in values:
+            return values
+        absent = list({p for p, v in zip(pieces, values) if v is None})
+        found = {p: v for p, v in zip(absent, map(self.older.get, absent)) if v is not None}
+        missing = [p for p in absent if p not in found]
+        found.update(zip(missing, self.encode(missing)))
+        values = [found[p] if v is None else v for p, v in zip(pieces, values)]
+        for piece, value in found.items():
+            if len(piece) <= self.longest:
+                if len(self.known) >= self.half:
+                    self.known, self.older = {}, self.known
+                self.known[piece] = value
         return values
