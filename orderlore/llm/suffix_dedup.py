@@ -6,11 +6,13 @@ of a corpus would move each byte `length` times, so only those that can matter a
     equal places, so only strings around anchors that occur twice can repeat. Anchors come from each text by itself;
  2. an anchor's context is the text that the strings around it can reach. Equal contexts are counted, not compared: all
     their strings repeat, and one of them stands for all in what follows;
- 3. the different contexts of an anchor form a group. The suffixes at the starts of its strings are ordered by deep-shallow
-    sorting (`suffixes`), and neighbours that agree on `length` bytes are repeats. A group of more than `crowd` contexts,
-    as around a phrase that many documents use, is split instead: the strings that start nearer to the anchor and those
-    that start farther off go separate ways, under what all strings of their half have in common. Halving ends after
-    eight rounds at single strings, so no group is ever too large for a task.
+ 3. the different contexts of an anchor form a group, whose strings are dealt out to four parts by how far before the
+    anchor they start. A part goes on under what all its strings have in common (at least 158 bytes), and again contexts
+    that are equal are counted and those that are alone under their common part are dropped;
+ 4. the suffixes at the starts of the strings that are left are ordered by deep-shallow sorting (`suffixes`), group by
+    group; neighbours that agree on `length` bytes are repeats. A group of more than `crowd` contexts, as at the edge of a
+    passage that many documents have, is not sorted but halved like in step 3, which ends after four rounds at single
+    strings: no group is ever too large for a task.
 Texts are stored once; contexts and results are dealt out by file (`document_store`), so no text is shuffled.
 """
 
@@ -28,7 +30,7 @@ from orderlore.llm.document_store import FILE_BITS, Store, file_of, numbers, sto
 from orderlore.llm.suffixes import sort_suffixes
 from orderlore.llm.tables import stored
 
-LENGTH, GRAM, CROWD, SHALLOW = 200, 32, 512, 64
+LENGTH, GRAM, CROWD, SHALLOW, WAYS = 200, 32, 512, 64, 4
 SEGMENT = 1 << 20
 _RANDOM = np.random.default_rng(20)
 _BYTES = _RANDOM.integers(1, 1 << 63, (2, 256), dtype=np.uint64)
@@ -112,7 +114,7 @@ def _anchor_rows(rid: int, data: np.ndarray, length: int, gram: int) -> tuple[np
 
 
 def find_anchors(texts: Store, spark, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """g (hash of the anchor), c (hash of its context), rid and pos of every anchor of every text."""
+    """g (hash of the anchor), c (hash of its context), rid, pos and size (of the text) of every anchor of every text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,54 +124,26 @@ def find_anchors(texts: Store, spark, length: int = LENGTH, gram: int = GRAM) ->
                     data = np.frombuffer(text.as_buffer(), np.uint8)
                     if len(data) >= length:
                         places, hashes, contexts = _anchor_rows(rid, data, length, gram)
-                        out.append((hashes.view(np.int64), contexts.view(np.int64), np.full(len(places), rid), places.astype(np.int32)))
+                        out.append((hashes.view(np.int64), contexts.view(np.int64), np.full(len(places), rid), places.astype(np.int32), np.full(len(places), len(data), np.int32)))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["g", "c", "rid", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["g", "c", "rid", "pos", "size"])
 
-    return texts.rows(spark).select("rid", "text").mapInArrow(rows, "g bigint, c bigint, rid bigint, pos int")
+    return texts.rows(spark).select("rid", "text").mapInArrow(rows, "g bigint, c bigint, rid bigint, pos int, size int")
 
 
 def _settle(rows: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (g, c, rid, pos, ...) whose context occurs again, and those that go on: one of each context of a group with
     several, in groups of at most `crowd` contexts and in larger ones."""
-    counts = rows.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos")).alias("first"))
-    counts = stored(counts, "contexts")
+    twice = rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    shared = stored(rows.join(twice, "g"), "context-rows")
+    counts = stored(shared.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos")).alias("first")), "contexts")
     groups = counts.groupBy("g").agg(F.count("*").alias("kinds"))
-    joined = stored(rows.join(counts, ["g", "c"]).join(groups, "g"), "context-rows")
+    joined = stored(shared.join(counts, ["g", "c"]).join(groups, "g"), "context-rows")
     again = joined.where("n > 1")
     going = joined.where("kinds > 1 and struct(rid, pos) = first").drop("n", "first")
     return again, going.where(F.col("kinds") <= crowd).drop("kinds"), going.where(F.col("kinds") > crowd).drop("kinds")
 
 
-_CONTEXT = "g bigint, c bigint, rid bigint, pos int, lo int, hi int, left int, ctx binary"
-
-
-def _with_contexts(rows: DataFrame, texts: Store, length: int, gram: int) -> DataFrame:
-    """Adds the context's bytes, read from the file that holds the row's text."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            columns: list[list] = [[] for _ in range(8)]
-            for g, c, rid, pos in zip(*(batch.column(k).to_pylist() for k in ("g", "c", "rid", "pos"))):
-                if held is None or held[0] != rid >> FILE_BITS:
-                    held = (rid >> FILE_BITS, _cursor(texts, rid >> FILE_BITS, ["rid", "text"]))
-                text = held[1](rid)
-                left = min(pos, length - gram)
-                own = text[pos - left : pos + length]
-                # places of the first byte, before the anchor, from which a whole string fits
-                values = (g, c, rid, pos, max(0, length - (len(own) - left)), left, left, own)
-                if values[4] <= values[5]:
-                    for column, value in zip(columns, values):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names)
-
-    names = [x.split()[0] for x in _CONTEXT.split(", ")]
-    kinds = [pa.int64()] * 3 + [pa.int32()] * 4 + [pa.binary()]
-    dealt = rows.select("g", "c", "rid", "pos").repartition(_parts(rows), file_of(F.col("rid"))).sortWithinPartitions("rid", "pos")
-    return dealt.mapInArrow(read, _CONTEXT)
-
-
 def _parts(rows: DataFrame) -> int:
     return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -190,40 +164,69 @@ def _cursor(texts: Store, number: int, columns: list[str]):
     return text
 
 
-def _halves(rows: DataFrame, length: int) -> DataFrame:
-    """Each context as two: the strings that start in the nearer and in the farther half of its range of places.
+# g: group, c: context; the strings that start `lo` to `hi` bytes before the anchor at `pos` of text `rid`, in a group about
+# the strings that start `from` to `to` bytes before it
+_RANGE = "g bigint, c bigint, rid bigint, pos int, lo int, hi int, from int, to int"
 
-    The halves are fixed places before the anchor, so that equal strings stay together; a half's group is what all its
-    strings share, its context what they reach. lo and hi bound the places of this context's strings.
-    """
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _at_texts(rows: DataFrame, texts: Store, schema: str, each) -> DataFrame:
+    """Rows of a range with their texts at hand: dealt out by file, in the order of the file. `each` takes the text and
+    a row's values and gives tuples of `schema`."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
-            out: list[list] = [[] for _ in range(10)]
-            for row in batch.to_pylist():
-                middle = (row["from"] + row["to"]) // 2
-                for a, b in ((row["from"], middle), (middle + 1, row["to"])):
-                    lo, hi = max(row["lo"], a), min(row["hi"], b)
-                    if lo > hi or a > b:
-                        continue
-                    ctx, left = row["ctx"], row["left"]
-                    core = ctx[left - a : left - b + length]
-                    wide = ctx[left - hi : left - lo + length]
-                    group = _digest(core, row["g"], a, b)
-                    values = (group, _digest(wide, lo, hi, 0), row["rid"], row["pos"], lo, hi, hi, wide, a, b)
-                    for column, value in zip(out, values):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names)
-
-    names = ["g", "c", "rid", "pos", "lo", "hi", "left", "ctx", "from", "to"]
-    kinds = [pa.int64()] * 3 + [pa.int32()] * 4 + [pa.binary(), pa.int32(), pa.int32()]
-    return rows.mapInArrow(split, _CONTEXT + ", from int, to int")
+            out = []
+            for row in zip(*(batch.column(n).to_pylist() for n in wanted)):
+                number = row[2] >> FILE_BITS
+                if held is None or held[0] != number:
+                    held = (number, _cursor(texts, number, ["rid", "text"]))
+                out.extend(each(held[1](row[2]), *row))
+            for at in range(0, len(out), 5000):
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[at : at + 5000]), kinds)], names)
+
+    wanted = [x.split()[0] for x in _RANGE.split(", ")]
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [{"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]] for x in schema.split(", ")]
+    dealt = rows.select(*wanted).repartition(_parts(rows), file_of(F.col("rid"))).sortWithinPartitions("rid", "pos")
+    return dealt.mapInArrow(read, schema)
+
+
+def _split(rows: DataFrame, texts: Store, length: int, ways: int) -> DataFrame:
+    """Each range as up to `ways` parts, as far as they hold strings.
+
+    The parts are fixed places before the anchor, so that equal strings stay together. A part's group is what all its
+    strings share, its context what they reach in this text.
+    """
+
+    def each(text, g, c, rid, pos, lo, hi, first, last):
+        width = -(-(last - first + 1) // ways)
+        for a in range(first, last + 1, width):
+            b = min(last, a + width - 1)
+            low, high = max(lo, a), min(hi, b)
+            if low <= high:
+                core, wide = text[pos - a : pos - b + length], text[pos - high : pos - low + length]
+                yield _digest(core, g, a, b), _digest(wide, low, high), rid, pos, low, high, a, b
+
+    return _at_texts(rows, texts, _RANGE, each)
 
 
 def _digest(data: bytes, *more: int) -> int:
     return xxhash.xxh3_64_intdigest(repr(more).encode() + data) - (1 << 63)
 
 
+_CONTEXT = "g bigint, rid bigint, pos int, lo int, hi int, ctx binary"
+
+
+def _with_contexts(rows: DataFrame, texts: Store, length: int) -> DataFrame:
+    """The ranges with the bytes that their strings reach, from the start of the farthest."""
+
+    def each(text, g, c, rid, pos, lo, hi, first, last):
+        yield g, rid, pos, lo, hi, text[pos - hi : pos - lo + length]
+
+    return _at_texts(rows, texts, _CONTEXT, each)
+
+
 def _sorted_repeats(rows: DataFrame, length: int, shallow: int) -> DataFrame:
     """rid, pos, lo, hi: places before the anchors from which strings start that equal another of their group."""
 
@@ -233,7 +236,7 @@ def _sorted_repeats(rows: DataFrame, length: int, shallow: int) -> DataFrame:
         names = {g: i for i, g in enumerate(dict.fromkeys(r["g"] for r in held))}
         for i, r in enumerate(held):
             places = np.arange(r["lo"], r["hi"] + 1)
-            starts.append(len(data) + r["left"] - places)
+            starts.append(len(data) + r["hi"] - places)
             labels.append(np.full(len(places), names[r["g"]]))
             owner.append(np.full(len(places), i))
             place.append(places)
@@ -275,30 +278,30 @@ def _sorted_repeats(rows: DataFrame, length: int, shallow: int) -> DataFrame:
         if held:
             yield from solve(held)
 
-    dealt = rows.select(*(x.split()[0] for x in _CONTEXT.split(", "))).repartition(_parts(rows), "g").sortWithinPartitions("g", "rid", "pos")
+    dealt = rows.repartition(_parts(rows), "g").sortWithinPartitions("g", "rid", "pos")
     return dealt.mapInArrow(rows_of, "rid bigint, pos int, lo int, hi int")
 
 
 def repeated_places(texts: Store, spark, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, shallow: int = SHALLOW) -> DataFrame:
     """rid, pos, lo, hi: strings that start lo to hi bytes before pos, as far as they fit, occur elsewhere, too."""
     wide = length - gram
-    all_anchors = stored(find_anchors(texts, spark, length, gram), "anchors")
-    twice = all_anchors.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
-    shared = stored(all_anchors.join(twice, "g"), "anchors")
-    again, small, large = _settle(shared, crowd)
-    found = [again.select("rid", "pos", F.lit(0).alias("lo"), F.lit(wide).alias("hi"))]
-    # the contexts of this round's groups, with the range of places that each group is about
-    small = _with_contexts(small, texts, length, gram)
-    large = stored(_with_contexts(large, texts, length, gram).withColumns({"from": F.lit(0), "to": F.lit(wide)}), "crowded")
-    found.append(stored(_sorted_repeats(small, length, shallow), "repeats"))
+    # places of the first byte, before the anchor, from which a whole string fits
+    size = F.col("size")
+    fits = {"lo": F.greatest(F.lit(0), F.col("pos") + length - size), "hi": F.least(F.col("pos"), F.lit(wide)), "from": F.lit(0), "to": F.lit(wide)}
+    going = stored(find_anchors(texts, spark, length, gram), "anchors").withColumns(fits).drop("size")
+    # two rounds narrow every range before any suffix is sorted
+    again, _, large = _settle(going, 0)
+    found = [again]
+    again, _, large = _settle(_split(large, texts, length, WAYS), 0)
+    found.append(again)
+    ways = WAYS
     while not large.isEmpty():
-        again, small, large = _settle(_halves(large, length), crowd)
-        found.append(again.select("rid", "pos", "lo", "hi"))
-        found.append(stored(_sorted_repeats(small, length, shallow), "repeats"))
-        large = stored(large, "crowded")
-    out = found[0]
+        again, small, large = _settle(_split(large, texts, length, ways), crowd)
+        found += [again, stored(_sorted_repeats(_with_contexts(small, texts, length), length, shallow), "repeats")]
+        ways = 2
+    out = found[0].select("rid", "pos", "lo", "hi")
     for more in found[1:]:
-        out = out.union(more)
+        out = out.union(more.select("rid", "pos", "lo", "hi"))
     return out
 
 
