@@ -118,10 +118,15 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, crowd: int = CROWD) ->
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("best")
     firsts = marked.groupBy(F.col("fingerprint").alias("f")).agg(best, F.count("*").alias("n"))
     chosen = rooted.select("f", "root").join(firsts, "f").groupBy("root").agg(F.min("best").alias("best")).select("best.doc_id", "best.key")
-    chosen = stored(chosen, "simhash-chosen")
+    return rows_of(docs, marked, chosen)
+
+
+def rows_of(docs: DataFrame, marked: DataFrame, chosen: DataFrame) -> DataFrame:
+    """All columns of one row for each doc_id and key of `chosen`; `marked` has doc_id and key of all rows."""
+    chosen = stored(chosen, "chosen")
     rows = marked.groupBy("doc_id", "key").agg(F.count("*").alias("n"))
     sized = chosen.alias("c").join(rows.alias("r"), F.expr("c.doc_id <=> r.doc_id and c.key = r.key")).select("c.*", "r.n")
-    sized = stored(sized, "simhash-chosen")
+    sized = stored(sized, "chosen")
 
     def among(picked: DataFrame) -> DataFrame:
         return docs.join(picked, docs["doc_id"].eqNullSafe(picked["doc_id"]) & (text_key(docs["text"]) == picked["key"]), "left_semi")
