@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlore.llm.perplexity import load_model, train
+from orderlore.llm import word_model
 from orderlore.llm.tables import stored
 
 WINDOW, LEAST_WORDS, MOST_REPEATED, GRID = 8, 20, 30, 1000
@@ -55,28 +55,22 @@ def measures(text: str) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - blanks, int(counts[_SYMBOLS].sum()), len(lines) - len(set(lines)), repeated_words(words)
 
 
-_MEASURES = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, log_perplexity double"
+_MEASURES = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
 
 
-def measure(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, lang and measures of every row, perplexity under the model in folder `model` included."""
+def measure(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, h (identity of the text) and measures of every row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded = load_model(model)
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                texts, langs = part.column("text").to_pylist(), np.array(part.column("lang").to_pylist(), object)
-                perplexity = np.zeros(len(texts))
-                for lang in set(langs):
-                    own = np.flatnonzero(langs == lang)
-                    perplexity[own] = loaded.log_perplexity(lang, [texts[i] for i in own])
-                columns = list(zip(*map(measures, texts)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), *(pa.array(c, pa.int64()) for c in columns), pa.array(perplexity)], names)
+                columns = list(zip(*map(measures, part.column("text").to_pylist())))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), part.column("h"), *(pa.array(c, pa.int64()) for c in columns)], names)
 
-    names = ["doc_id", "lang", *(c.split()[0] for c in _MEASURES.split(", "))]
-    text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    return text.mapInArrow(rows, f"doc_id bigint, lang string, {_MEASURES}")
+    names = ["doc_id", "lang", "h", *(c.split()[0] for c in _MEASURES.split(", "))]
+    text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), word_model.identity().alias("h"), F.coalesce("text", F.lit("")).alias("text"))
+    return text.mapInArrow(rows, f"doc_id bigint, lang string, h bigint, {_MEASURES}")
 
 
 def bands(measured: DataFrame) -> DataFrame:
@@ -102,11 +96,13 @@ def bands(measured: DataFrame) -> DataFrame:
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, measures, base_failed, log_perplexity, and kept: neither failed by the rules nor outside its language's band.
 
-    The language model and the bands come from all documents given. Null texts are empty and fail the rules; a null
+    The language models and the bands come from all documents given. Null texts are empty and fail the rules; a null
     language is a language of its own; null and repeated ids keep one row per input row; an empty table gives an empty
     result; other columns are ignored. A language without any document that passes the rules keeps none.
     """
-    measured = measure(docs, train(docs))
+    scored = stored(word_model.scores(docs), "perplexities")
+    measured = measure(docs).alias("m").join(scored.alias("s"), F.expr("m.h = s.h and m.n_words = s.w"), "left")
+    measured = measured.select("m.*", F.coalesce("log_perplexity", F.lit(0.0)).alias("log_perplexity")).drop("h")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     measured = stored(measured.withColumn("base_failed", failed), "quality-measures")
     banded = measured.join(bands(measured), "lang", "left")
