@@ -13,8 +13,8 @@ from orderlore.llm import word_model
 from orderlore.llm.tables import stored
 
 WINDOW, LEAST_WORDS, MOST_REPEATED, GRID = 8, 20, 30, 1000
-#: Width of the bands in interquartile ranges below the first and above the third quartile, and their least half-width.
-BELOW, ABOVE, LEAST_WIDTH = 6.0, 4.0, 0.35
+#: Width of the bands in interquartile ranges below the first and above the third quartile.
+BELOW, ABOVE = 3.0, 2.0
 _BLANKS = str.maketrans("", "", " \t\n\v\f\r")
 _SYMBOLS = [ord(c) for c in "#*$%&|<>"]
 
@@ -77,7 +77,8 @@ def bands(measured: DataFrame) -> DataFrame:
     """lang, lower, upper: the band of log perplexity of each language.
 
     Quartiles over all documents with words that pass the base rules, from a histogram with steps of 1/1000: exact on that
-    grid and the same whatever the partitions. The band reaches BELOW and ABOVE interquartile ranges beyond them.
+    grid and the same whatever the partitions. The band reaches BELOW and ABOVE interquartile ranges beyond them, and one step
+    of the grid further, since the quartiles are rounded to it.
     """
     sized = measured.where(~F.col("base_failed")).groupBy("lang", F.round(F.col("log_perplexity") * GRID).cast("bigint").alias("step")).agg(F.count("*").alias("n"))
     sized = stored(sized, "perplexity-steps")
@@ -90,7 +91,7 @@ def bands(measured: DataFrame) -> DataFrame:
 
     q = ranked.groupBy("lang").agg(quartile(0.25).alias("q1"), quartile(0.75).alias("q3"))
     width = F.col("q3") - F.col("q1")
-    return q.select("lang", (F.col("q1") - F.greatest(BELOW * width, F.lit(LEAST_WIDTH))).alias("lower"), (F.col("q3") + F.greatest(ABOVE * width, F.lit(LEAST_WIDTH))).alias("upper"))
+    return q.select("lang", (F.col("q1") - BELOW * width - 1 / GRID).alias("lower"), (F.col("q3") + ABOVE * width + 1 / GRID).alias("upper"))
 
 
 def judge(docs: DataFrame) -> DataFrame:

@@ -59,3 +59,16 @@ def test_shuffled_words_are_rejected(spark):
     inside = {r["doc_id"] for r in rows}
     assert {i for i in inside if i >= 200} and not {i for i in kept if i >= 200}
     assert len(kept) > 0.9 * len({i for i in inside if i < 200})
+
+
+def test_bands_reject_bad_documents_and_keep_clean_ones(spark):
+    sf = "/root/testdata/sf0.01"
+    judged = quality_rules.judge(spark.read.parquet(f"{sf}/documents.parquet")).where("not base_failed")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    kept = {r["quality"]: (r["n"], r["kept"]) for r in judged.join(labels, "doc_id").groupBy("quality").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert kept[1][1] > 0.9 * kept[1][0] and kept[0][1] < 0.7 * kept[0][0], kept
+
+
+def test_band_of_equal_texts(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    assert quality_rules.judge(frame(spark, [text] * 5)).where("kept").count() == 5
