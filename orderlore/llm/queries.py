@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlore.llm import bpe, decontaminate, line_dedup, pii, quality_rules, ranking, simhash, suffix_dedup, token_counts, token_files
+from orderlore.llm import bpe, decontaminate, line_dedup, pii, prefix_trie, quality_rules, ranking, simhash, suffix_dedup, token_counts, token_files, vector_codes, warc
 from orderlore.llm.tables import read_table
 
 BYTE_VOCABULARY, WORD_VOCABULARY = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -59,6 +59,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations")).drop("node")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digests(*vector_codes.compress(read_table(spark, sf_dir, "embeddings")))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_back(*warc.write_archives(read_table(spark, sf_dir, "pages")))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_line_dedup": op2_line_dedup,
@@ -70,10 +82,44 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_warc": op13_warc,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+#: Unsigned crc32 of a conversation id in decimal, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda v, k: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END))))"""
+
+
+def _codes_sql(rounds: int) -> str:
+    """The rounds of the codebooks written out one after the other."""
+    square = "list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, label, v.p AS p, any_value(v.x) AS x, min({{'d': {square}::BIGINT, 'e': c.e}}) AS best FROM parts v JOIN c{r} c ON v.p = c.p GROUP BY vec_id, label, v.p)")
+        if r < rounds:
+            steps.append(f"""m{r} AS (
+  SELECT p, e, list(m ORDER BY i) AS x FROM (
+    SELECT p, best.e AS e, i, floor(sum(x[i])::DOUBLE / count(*))::BIGINT AS m FROM a{r}, (SELECT unnest(range(1, (SELECT max(len(x)) FROM parts) + 1)) AS i) GROUP BY p, best.e, i)
+  GROUP BY p, e),
+c{r + 1} AS MATERIALIZED (SELECT c.p AS p, c.e AS e, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN m{r} m ON c.p = m.p AND c.e = m.e)""")
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, label, p, v[p * len(v) // 4 + 1:(p + 1) * len(v) // 4] AS x FROM kept, (SELECT unnest(range(4)) AS p)),
+c0 AS MATERIALIZED (
+  SELECT p, e, x FROM parts JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept) first USING (vec_id) WHERE e < 256),
+{', '.join(steps)},
+books AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds}),
+found AS (
+  SELECT vec_id, label, string_agg(lpad(to_hex(best.e), 2, '0'), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id, label)
+SELECT vec_id, lower(code) AS code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM found, books"""
+
+
 SQL: dict[str, str] = {
     "op1_decontamination": f"""
 WITH items AS (SELECT item_id, w, least(len(w), 10) AS m FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
@@ -117,4 +163,41 @@ left_over AS (
   FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id)
 SELECT documents.doc_id AS doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents LEFT JOIN left_over ON documents.doc_id = left_over.doc_id""",
+    "op11_prefix_trie": rf"""
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {_CRC} % 4 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+joined AS (
+  SELECT c.conv_id AS conv_id, i, role, text FROM convs c JOIN turns t ON t.conv_id = c.base AND i <= h
+  UNION ALL SELECT c.conv_id, 3 + i, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND i > h),
+paths AS (
+  SELECT conv_id, row_number() OVER o AS depth, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+    string_agg(len(role) || ':' || role || len(text) || ':' || text, '') OVER o AS path
+  FROM joined WINDOW o AS (PARTITION BY conv_id ORDER BY i)
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+nodes AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM paths GROUP BY path, depth),
+up AS (
+  SELECT n.path AS path, n.depth AS depth, n.n_convs AS n_convs, n.words AS words, p.path AS above, p.depth AS above_depth
+  FROM nodes n JOIN paths p ON p.conv_id = n.conv_id AND p.depth <= n.depth),
+children AS (SELECT above AS path, count(*) AS n FROM up WHERE above_depth = depth - 1 GROUP BY above),
+totals AS (
+  SELECT up.above AS path, sum((up.n_convs - 1) * up.words)::BIGINT AS saved, count(*) FILTER (children.n IS NULL) AS leaves
+  FROM up LEFT JOIN children ON children.path = up.path GROUP BY up.above),
+ends AS (
+  SELECT path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM paths
+  WHERE (conv_id, depth) IN (SELECT (conv_id, max(depth)) FROM paths GROUP BY conv_id) GROUP BY path),
+parents AS (SELECT up.path AS path, n.conv_id AS conv_id FROM up JOIN nodes n ON n.path = up.above WHERE above_depth = up.depth - 1)
+SELECT nodes.conv_id AS conv_id, nodes.depth AS depth, parents.conv_id AS parent_conv_id, n_convs, coalesce(children.n, 0) AS n_children,
+  leaves AS n_leaves, saved AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes JOIN totals USING (path) LEFT JOIN children USING (path) LEFT JOIN ends USING (path) LEFT JOIN parents USING (path)""",
+    "op12_vector_codes": _codes_sql(vector_codes.ROUNDS),
+    "op13_warc": """
+WITH rows AS (
+  SELECT page_id, coalesce(html, '') AS payload, row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id) AS n,
+    min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+  FROM pages),
+hashed AS (SELECT *, list_transform(range(8), lambda k: ('0x' || substr(sha1(payload), 5 * k::INT + 1, 5))::BIGINT) AS quads FROM rows)
+SELECT page_id, strlen(payload) AS payload_bytes, CASE WHEN n = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN n > 1 THEN first END AS refers_to,
+  array_to_string(list_transform(quads, lambda q: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((q >> s) & 31)::INT + 1, 1)), '')), '') AS payload_digest
+FROM hashed""",
 }
