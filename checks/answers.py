@@ -144,6 +144,11 @@ def _flags(*names: str):
     return lambda s, d: _executed(s, d).select("user_query", "sql_query", "chart", *names)
 
 
+def _check(name: str):
+    """Verdict and message of one check."""
+    return lambda s, d: _executed(s, d).select("user_query", "sql_query", "chart", name, F.col(f"messages.{name}").alias("message"))
+
+
 def _answers(kind: str):
     return lambda s, d: _executed(s, d).where(F.col("answer_kind") == kind).select("user_query", "sql_query", "chart", "answer")
 
@@ -268,11 +273,11 @@ QUERIES = {
         F.coalesce(F.json_array_length("first_rows"), F.lit(0)).cast("bigint").alias("kept_rows"),
     ).distinct(),
     "X03": _limited,
-    "X04": _flags("not_empty"),
-    "X05": _flags("reasonable_count"),
-    "X06": _flags("visualization_compatible"),
-    "X07": _flags("values_reasonable"),
-    "X08": _flags("intent_aligned"),
+    "X04": _check("not_empty"),
+    "X05": _check("reasonable_count"),
+    "X06": _check("visualization_compatible"),
+    "X07": _check("values_reasonable"),
+    "X08": _check("intent_aligned"),
     "X09": _flags("results_valid"),
     "X10": _on_log(lambda r: r.select("query_number", execution.answer_kind(F.col("user_query")).alias("kind"))),
     "X11": _answers("aggregation"),
@@ -437,7 +442,6 @@ fields AS (SELECT model_name, query_number, parsed_by,
  FROM parsed)
 """
 _PARSED = f"WITH log AS ({RESPONSE_LOG_SQL}), " + _PARSE
-_REQUIRED = {k: v for k, v in responses.CHART_FIELDS.items()}
 _MISSING = (
     "CASE WHEN viz_type IN ('bar_chart', 'line_chart', 'scatter_plot') AND viz_x = '' THEN 'x_axis' "
     "WHEN viz_type = 'pie_chart' THEN 'labels,values' ELSE '' END"
@@ -609,12 +613,18 @@ _EXEC_SQL = {
     "X02": "SELECT DISTINCT sql_query, execution_status, n AS result_count, true AS timed, CAST(least(n, 100) AS BIGINT) AS kept_rows FROM judged",
     "X03": "SELECT order_id, product_id, round(sales, 4) AS sales FROM dataset ORDER BY 1, 2, 3 LIMIT 10000",
     **{
-        k: f"SELECT user_query, sql_query, chart, {c} FROM judged"
-        for k, c in {
-            "X04": "not_empty", "X05": "reasonable_count", "X06": "visualization_compatible", "X07": "values_reasonable",
-            "X08": "intent_aligned", "X09": "results_valid",
+        k: f"SELECT user_query, sql_query, chart, {c}, CASE WHEN width IS NOT NULL THEN {m} END AS message FROM judged"
+        for k, (c, m) in {
+            "X04": ("not_empty", "CASE WHEN n = 0 THEN 'Query returned 0 rows - no data matches criteria' ELSE 'Query returned ' || n || ' rows' END"),
+            "X05": ("reasonable_count", "CASE WHEN contains(user_query, 'Top 5') AND n < 5 THEN 'Expected 5 results but got ' || n "
+                    "WHEN n > 100000 THEN 'Too many results (' || n || ') - query might be too broad' ELSE 'Result count (' || n || ') is reasonable' END"),
+            "X06": ("visualization_compatible", "CASE WHEN n = 0 THEN NULL WHEN chart IN ('bar_chart', 'line_chart', 'scatter_plot') AND width < 2 THEN chart || ' needs at least 2 columns, got ' || width "
+                    "WHEN chart = 'pie_chart' AND width <> 2 THEN 'Pie chart needs exactly 2 columns, got ' || width ELSE 'Results compatible with ' || chart END"),
+            "X07": ("values_reasonable", "CASE WHEN n > 0 THEN 'All values are within reasonable ranges' END"),
+            "X08": ("intent_aligned", "CASE WHEN contains(lower(user_query), 'details') AND width < 3 THEN 'User asked for details but results appear aggregated' ELSE 'Results align with user intent' END"),
         }.items()
     },
+    "X09": "SELECT user_query, sql_query, chart, results_valid FROM judged",
     "X11": _answer_sql("aggregation"),
     "X12": _answer_sql("ranking"),
     "X13": _answer_sql("comparison"),

@@ -59,13 +59,6 @@ SCORE_WEIGHTS = {
     "intent_matching_rate": 0.25,
 }
 
-# fixed values: questions with known properties of a right answer
-GROUND_TRUTH = [
-    ("What are total sales?", ["SUM(sales)", "FROM"]),
-    ("Top 5 products by revenue", ["ORDER BY", "DESC", "LIMIT 5"]),
-    ("How many orders in 2022?", ["COUNT", "2022", "WHERE"]),
-]
-
 PROMPT_TEMPLATE = """You write one SQL query over the table `dataset` and pick a chart for its result.
 
 About the data:

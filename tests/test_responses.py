@@ -1,5 +1,7 @@
 """Response log scoring, stability, selection, execution."""
 
+import json
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -169,29 +171,38 @@ def dataset(spark):
 
 
 def outcome(spark, question, sql, chart="bar_chart"):
-    return dict(zip([c.split()[0] for c in execution.OUTCOME.split(", ")], execution.execute_and_validate(spark, question, sql, chart)))
+    return execution.execute_and_validate(spark.table("dataset"), question, sql, chart)
 
 
 BY_REGION = "SELECT region, SUM(sales) AS total_sales FROM dataset GROUP BY region ORDER BY total_sales DESC"
 
 
-@pytest.mark.parametrize(
-    "question, sql, text",
-    [
-        ("total sales", "SELECT SUM(sales) AS sales FROM dataset", "The total is $35.00"),
-        ("how many rows", "SELECT COUNT(*) AS row_count FROM dataset", "The count is 3"),
-        ("total by region", BY_REGION, "Results by region: A ($30.00), B ($5.00). Total 2 categories found."),
-        ("best regions", BY_REGION, "Top results: A ($30.00), B ($5.00). Total of 2 results found."),
-        ("compare regions", BY_REGION, "Comparison shows A has the highest (30.00) while B has the lowest (5.00)"),
-        ("sales trend", "SELECT sales, year FROM dataset ORDER BY year",
-         "The trend shows values decreased from 10.00 to 5.00 (50.0% change) over 3 time periods."),
-        ("list them", BY_REGION, "Found 2 records. Showing details in table view."),
-        ("regions?", BY_REGION, "Query returned 2 rows with 2 columns."),
-        ("regions?", "SELECT * FROM dataset WHERE sales > 99", "No results found for your query."),
-    ],
-)
+ANSWERS = [
+    ("total sales", "SELECT SUM(sales) AS sales FROM dataset", "The total is $35.00"),
+    ("how many rows", "SELECT COUNT(*) AS row_count FROM dataset", "The count is 3"),
+    ("total by region", BY_REGION, "Results by region: A ($30.00), B ($5.00). Total 2 categories found."),
+    ("best regions", BY_REGION, "Top results: A ($30.00), B ($5.00). Total of 2 results found."),
+    ("compare regions", BY_REGION, "Comparison shows A has the highest (30.00) while B has the lowest (5.00)"),
+    ("sales trend", "SELECT sales, year FROM dataset ORDER BY year",
+     "The trend shows values decreased from 10.00 to 5.00 (50.0% change) over 3 time periods."),
+    ("list them", BY_REGION, "Found 2 records. Showing details in table view."),
+    ("regions?", BY_REGION, "Query returned 2 rows with 2 columns."),
+    ("regions?", "SELECT * FROM dataset WHERE sales > 99", "No results found for your query."),
+]
+_answered = {}
+
+
+def answered(spark, dataset):
+    """All cases as one log."""
+    if not _answered:
+        log = spark.createDataFrame([(q, s, ("bar_chart",)) for q, s, _ in ANSWERS], "user_query string, sql_query string, visualization struct<type: string>")
+        _answered.update({(r["user_query"], r["sql_query"]): r["answer"] for r in execution.execute_batch(log, dataset).collect()})
+    return _answered
+
+
+@pytest.mark.parametrize("question, sql, text", ANSWERS)
 def test_answers(spark, dataset, question, sql, text):
-    assert outcome(spark, question, sql)["answer"] == text
+    assert answered(spark, dataset)[question, sql] == text
 
 
 def test_result_checks(spark, dataset):
@@ -210,6 +221,56 @@ def test_only_queries_run(spark, dataset):
     assert spark.table("dataset").count() == 3
 
 
+def test_messages(spark, dataset):
+    said = outcome(spark, "top 3 regions", BY_REGION)["messages"]
+    assert said["not_empty"] == "Query returned 2 rows" and said["reasonable_count"] == "Expected 3 results but got 2"
+    assert said["visualization_compatible"] == "Results compatible with bar_chart"
+    said = outcome(spark, "show details of 2023", "SELECT 'a' AS x", "pie_chart")["messages"]
+    assert said["visualization_compatible"] == "Pie chart needs exactly 2 columns, got 1"
+    assert said["intent_aligned"] == "User asked about specific year but results have no date columns"
+    said = outcome(spark, "x", "SELECT 0 AS z, double('inf') AS y, 1 AS w")["messages"]
+    assert said["values_reasonable"] == "Column 'z' is all zeros; Column 'y' contains infinite values; Column 'y' has extreme values (>1e10)"
+    nothing = outcome(spark, "x", "SELECT * FROM dataset WHERE sales > 99")
+    assert nothing["messages"]["not_empty"].startswith("Query returned 0 rows") and nothing["messages"]["values_reasonable"] is None
+
+
+def test_first_rows_and_repeated_names(spark, dataset):
+    made = outcome(spark, "list", "SELECT region, sales, sales AS region, CAST(NULL AS INT) AS gone FROM dataset ORDER BY sales")
+    assert made["result_count"] == 3 and json.loads(made["first_rows"])[0] == {"region": 5.0, "sales": 5.0, "gone": None}
+    many = outcome(spark, "list", "SELECT id FROM range(0, 5000, 1, 300) ORDER BY id DESC")
+    assert [r["id"] for r in json.loads(many["first_rows"])] == list(range(4999, 4899, -1))
+
+
+def _executions(spark):
+    return spark._jsparkSession.sharedState().statusStore().executionsCount()
+
+
+def test_queries_of_a_batch_share_jobs(spark, dataset):
+    """Work on the driver follows the batches, not the texts, and a text that fails at run time takes no other along."""
+    texts = [f"SELECT region, SUM(sales) + {i} AS s FROM dataset GROUP BY region" for i in range(24)]
+    log = lambda texts: spark.createDataFrame([(q, t, ("table",)) for t in texts for q in ("a", "b")], "user_query string, sql_query string, visualization struct<type: string>")
+    before = _executions(spark)
+    few = execution.execute_batch(log(texts[:3]), dataset, batch=24)
+    between = _executions(spark)
+    made = execution.execute_batch(log(texts), dataset, batch=24)
+    assert few.count() == 6 and made.where("execution_status = 'success' and results_valid").count() == 48
+    assert made.where("run_texts = 24 and elapsed_seconds > 0").count() == 48
+    assert _executions(spark) - between <= between - before + 4
+    bad = [*texts[:5], "SELECT 1 / (year - 2020) AS x FROM dataset", "SELECT nothing FROM dataset", "SELECT raise_error('no') AS x"]
+    got = {r["sql_query"]: r for r in execution.execute_batch(log(bad), dataset).collect()}
+    assert {t: r["execution_status"] for t, r in got.items()} == {t: "success" if t in texts else "failed" for t in bad}
+    assert "DIVIDE_BY_ZERO" in got[bad[5]]["error"] and "nothing" in got[bad[6]]["error"]
+    checked = {r["sql_query"]: (r["syntax_valid"], r["executable"]) for r in execution.check_sql(log(bad), dataset).collect()}
+    assert checked == {t: (t != bad[6], t in texts) for t in bad}
+
+
+def test_runs_do_not_see_each_other(spark, dataset):
+    other = spark.createDataFrame([("Z", 1.0, 1999)], dataset.schema)
+    assert execution.execute_and_validate(other, "x", "SELECT * FROM dataset", "table")["result_count"] == 1
+    assert outcome(spark, "x", "SELECT * FROM dataset", "table")["result_count"] == 3
+    assert spark.table("dataset").count() == 3
+
+
 def test_check_sql_deduplicates_texts(spark, dataset):
     df = log(spark, *[answer(i, "q", BY_REGION) for i in range(3)], answer(9, "q", "SELEC"))
     got = {r["sql_query"]: (r["syntax_valid"], r["executable"]) for r in execution.check_sql(df, dataset).collect()}
