@@ -96,9 +96,15 @@ OPERATORS = {
     "P05": lambda d: _rounded(
         profile.numeric_statistics(d).select("column", "min", "max", "mean", "median", "std"), 4, "mean", "median", "std"
     ),
-    "P06": lambda d: profile.top_values(d, 5, ["segment", "priority", "region", "item_count", "channel"]).select(
+    "P06": lambda d: profile.top_values(d, 5).select("column", "value", "count", "place"),
+    "P06.sketch": lambda d: profile.top_values(d, 5, ["segment", "priority", "region", "item_count", "channel"], approx=True).select(
         "column", "value", "count", "place"
     ),
+    "P12.sketch": lambda d: profile.profile(d, "dirty_orders", approx=True).select(
+        "column", "role", "null_count", "min", "max",
+        F.array_join(F.transform("top_values", lambda t: F.concat_ws("=", t["value"], t["count"])), ";").alias("top_values"),
+        F.date_format("min_date", "yyyy-MM-dd").alias("min_date"), F.date_format("max_date", "yyyy-MM-dd").alias("max_date"),
+    ),
     "P07": lambda d: profile.date_ranges(d, ["order_date"]).select(
         "column",
         F.date_format("min_date", "yyyy-MM-dd").alias("min_date"),
@@ -347,7 +353,13 @@ _SQL = {
     "P04": 'SELECT "column", null_count, round(null_count / row_count * 100, 8) AS null_pct, unique_count, '
     "round(unique_count / row_count * 100, 8) AS unique_pct FROM counts",
     "P05": f"SELECT * FROM {_STATS}",
-    "P06": _union(_top, ["segment", "priority", "region", "item_count", "channel"]),
+    "P06": _union(_top, COLUMNS),
+    "P06.sketch": _union(_top, ["segment", "priority", "region", "item_count", "channel"]),
+    "P12.sketch": f"""SELECT "column", role, null_count, CASE WHEN {_METRIC} THEN min END AS min, CASE WHEN {_METRIC} THEN max END AS max,
+ CASE WHEN role = 'categorical' THEN tops END AS top_values, min_date, max_date
+ FROM roles LEFT JOIN {_STATS} USING ("column")
+ LEFT JOIN (SELECT "column", string_agg(value || '=' || count, ';' ORDER BY place) AS tops FROM {_TOP} GROUP BY 1) USING ("column")
+ LEFT JOIN {_DATES} USING ("column")""",
     "P07": f"SELECT * FROM {_DATES}",
     "P07.day_first": f"SELECT * FROM {_DATES}",
     "P08": "SELECT role, string_agg(\"column\", ',' ORDER BY \"column\") AS columns FROM roles GROUP BY role",

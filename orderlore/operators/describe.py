@@ -14,7 +14,9 @@ from orderlore.operators.profile import (
     kind_of,
     numeric_statistics,
     numeric_summary,
+    sketched,
     top_values,
+    with_roles,
 )
 from orderlore.session import materialise
 
@@ -107,9 +109,19 @@ def cardinality_band() -> Column:
     )
 
 
-def column_facts(df: DataFrame, approx: bool = False, freq: DataFrame | None = None) -> DataFrame:
-    """One row per column."""
-    roles = column_roles(df, approx, freq)
+def column_facts(df: DataFrame, approx: bool = False, freq: DataFrame | None = None, descriptions: DataFrame | None = None) -> DataFrame:
+    """One row per column. `descriptions` (name, description), as `parse_profile` reads them from a stored
+    profile, come before what is built from the names; of several for one name the first in order counts."""
+    return described(column_roles(df, approx, freq), descriptions)
+
+
+def described(roles: DataFrame, descriptions: DataFrame | None = None) -> DataFrame:
+    """The columns of `column_facts` from roles."""
+    if descriptions is None:
+        roles = roles.withColumn("_given", F.lit(None).cast("string"))
+    else:
+        given = descriptions.groupBy("name").agg(F.min("description").alias("_given"))
+        roles = roles.join(given, roles["column"] == given["name"], "left").drop("name")
     return roles.select(
         "ordinal",
         "column",
@@ -120,7 +132,7 @@ def column_facts(df: DataFrame, approx: bool = False, freq: DataFrame | None = N
         "null_pct",
         "unique_count",
         data_class().alias("data_class"),
-        description(F.col("column")).alias("description"),
+        description(F.col("column"), F.col("_given")).alias("description"),
         low_cardinality().alias("is_low_cardinality"),
         primary_key().alias("is_primary_key"),
         foreign_key().alias("is_foreign_key"),
@@ -192,14 +204,31 @@ def relationships(facts: DataFrame, limit: int = PAIR_LIMIT) -> DataFrame:
     )
 
 
-def metadata(df: DataFrame, dataset_name: str, approx: bool = False) -> DataFrame:
-    """one row with every part; frequencies and column facts are computed once and written."""
-    freq = materialise(frequencies(df), "frequencies")
-    facts = materialise(column_facts(df, approx, freq), "column-facts")
+def _sketched_parts(df: DataFrame, descriptions: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Facts, sample values and statistics from one pass; its result, a row for each column, goes through the driver."""
+    found = sketched(df, SAMPLE_VALUES)
+    local = df.sparkSession.createDataFrame(found.collect(), found.schema)
+    facts = described(with_roles(local), descriptions)
+    samples = local.join(facts.where("is_low_cardinality").select("ordinal"), "ordinal").select("ordinal", "column", F.posexplode("top_values").alias("place", "t"))
+    samples = samples.select("ordinal", "column", "t.value", "t.count", (F.col("place") + 1).cast("bigint").alias("place"))
+    numbers = local.where(F.col("kind").isin("integral", "fractional") & (F.col("present") > 0))
+    return facts, samples, numbers.select("ordinal", "column", "min", "max", "mean", "median", "std", "q25", "q75")
+
+
+def metadata(df: DataFrame, dataset_name: str, approx: bool = False, descriptions: DataFrame | None = None) -> DataFrame:
+    """one row with every part; frequencies and column facts are computed once and written.
+
+    With `approx` they come from sketches: one pass over the rows, no exchange of cells, nothing written.
+    """
+    if approx:
+        facts, samples, stats = _sketched_parts(df, descriptions)
+    else:
+        freq = materialise(frequencies(df), "frequencies")
+        facts = materialise(column_facts(df, freq=freq, descriptions=descriptions), "column-facts")
+        samples, stats = sample_values(df, facts, freq=freq), statistics(df)
     ordered = lambda frame, *cols: frame.agg(
         F.array_sort(F.collect_list(F.struct(*cols))).alias("a")
     ).scalar()
-    samples = sample_values(df, facts, freq=freq)
     return facts.agg(F.max("row_count").alias("row_count"), F.count("*").alias("column_count")).select(
         F.lit(dataset_name).alias("table_name"),
         "row_count",
@@ -207,7 +236,7 @@ def metadata(df: DataFrame, dataset_name: str, approx: bool = False) -> DataFram
         ordered(facts, "ordinal", "column", "dtype", "description", "unique_count", "null_count", "null_pct",
                 "data_class", "is_primary_key", "is_foreign_key", "cardinality").alias("columns"),
         ordered(samples, "ordinal", "place", "column", "value", "count").alias("sample_values"),
-        ordered(statistics(df), "ordinal", "column", "min", "max", "mean", "median", "std", "q25", "q75").alias("statistics"),
+        ordered(stats, "ordinal", "column", "min", "max", "mean", "median", "std", "q25", "q75").alias("statistics"),
         ordered(relationships(facts), "place", "dimension", "measure").alias("relationships"),
         column_lists(facts).select(F.struct("*")).scalar().alias("lists"),
     )

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from orderlore.functions.dates import best_reading, parses
 from orderlore.functions.numeric import is_datetime, is_fractional, is_integral, is_number, nan_to_null, percent, ratio
 from orderlore.functions.quantiles import exact_quantiles
+from orderlore.functions.sketches import QUANTILE_ACCURACY, distinct_values, heavy_hitters
 from orderlore.session import materialise
 
 # fixed values: words that mark a column as sensitive
@@ -83,11 +84,11 @@ def frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 def column_counts(df: DataFrame, approx: bool = False, freq: DataFrame | None = None) -> DataFrame:
     """Rows, nulls, distinct values and best date parse rate per column.
 
-    `approx` replaces exact distinct counts by HyperLogLog++, which needs no shuffle of cells; `freq`
-    is a stored `frequencies(df)` that several operators share.
+    `approx` takes them from `sketched`, which needs no shuffle of cells; `freq` is a stored `frequencies(df)` that several
+    operators share.
     """
     if approx:
-        return named(_approximate_counts(df), df)
+        return sketched(df).select("ordinal", "column", "dtype", "kind", "row_count", "null_count", "unique_count", "parse_rate")
     strings = [i for i, f in enumerate(df.schema.fields) if kind_of(f.dataType) == "string"]
     text = F.when(F.col("ordinal").isin(strings), F.col("value")) if strings else F.lit(None).cast("string")
     present = F.col("value").isNotNull()
@@ -106,23 +107,37 @@ def column_counts(df: DataFrame, approx: bool = False, freq: DataFrame | None =
     return named(counted, df)
 
 
-def _approximate_counts(df: DataFrame) -> DataFrame:
+def sketched(df: DataFrame, k: int = 5) -> DataFrame:
+    """All facts of every column from one pass over the rows, by sketches (P04-P07 and the quartiles of F06).
+
+    Distinct counts and top values are exact for columns of at most `sketches.TRACKED` values. Beyond that a count is off by
+    at most `sketches.count_error`, the number of distinct values by about a hundredth, a quartile by one rank in ten thousand.
+    """
     df = nan_to_null(df)
     structs = []
     for i, f in enumerate(df.schema.fields):
-        c = F.col(f"`{f.name}`")
-        tries = parses(c) if kind_of(f.dataType) == "string" else []
-        rates = [ratio(F.count(p), F.count(c)) for p in tries]
+        c, kind = F.col(f"`{f.name}`"), kind_of(f.dataType)
+        hitters = heavy_hitters(c, f.dataType)
+        v = c.cast("double") if is_number(f.dataType) else F.lit(None).cast("double")
+        reading = best_reading(c) if kind == "string" else F.struct(F.lit(0).alias("values"), F.lit(0).alias("place"), *[
+            (fold(c).cast("timestamp") if kind == "datetime" else F.lit(None).cast("timestamp")).alias(n) for fold, n in ((F.min, "min_date"), (F.max, "max_date"))
+        ])
         structs.append(
             F.struct(
                 F.lit(i).alias("ordinal"),
                 F.count("*").alias("row_count"),
                 F.count_if(c.isNull()).alias("null_count"),
-                F.approx_count_distinct(c, 0.01).alias("unique_count"),
-                F.coalesce(F.greatest(*rates), F.lit(0.0)).alias("parse_rate") if rates else F.lit(0.0).alias("parse_rate"),
+                distinct_values(c, hitters).alias("unique_count"),
+                F.coalesce(ratio(reading["values"], F.count(c)), F.lit(0.0)).alias("parse_rate"),
+                F.count(v).alias("present"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+                F.percentile_approx(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(QUANTILE_ACCURACY)).alias("quartiles"),
+                F.slice(hitters, 1, k).alias("top_values"),
+                reading["min_date"].alias("min_date"), reading["max_date"].alias("max_date"),
             )
-        )
-    return df.agg(F.array(*structs).alias("facts")).select(F.explode("facts").alias("f")).select("f.*")
+        )
+    facts = df.agg(F.array(*structs).alias("facts")).select(F.explode("facts").alias("f")).select("f.*")
+    quartile = {n: F.col("quartiles")[i].alias(n) for i, n in enumerate(("q25", "median", "q75"))}
+    return named(facts.select(*[c for c in facts.columns if c != "quartiles"], *quartile.values()), df)
 
 
 def role_of() -> Column:
@@ -150,8 +165,8 @@ def role_of() -> Column:
     )
 
 
-def column_roles(df: DataFrame, approx: bool = False, freq: DataFrame | None = None) -> DataFrame:
-    counts = column_counts(df, approx, freq)
+def with_roles(counts: DataFrame) -> DataFrame:
+    """Columns of `column_counts` with role and shares."""
     return counts.select(
         "*",
         role_of().alias("role"),
@@ -160,6 +175,10 @@ def column_roles(df: DataFrame, approx: bool = False, freq: DataFrame | None = N
     )
 
 
+def column_roles(df: DataFrame, approx: bool = False, freq: DataFrame | None = None) -> DataFrame:
+    return with_roles(column_counts(df, approx, freq))
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if is_number(f.dataType)]
 
@@ -209,13 +228,17 @@ def _of_columns(df: DataFrame, columns: Sequence[str] | None, freq: DataFrame |
 
 
 def top_values(
-    df: DataFrame, k: int = 5, columns: Sequence[str] | None = None, freq: DataFrame | None = None
+    df: DataFrame, k: int = 5, columns: Sequence[str] | None = None, freq: DataFrame | None = None, approx: bool = False
 ) -> DataFrame:
-    """(column, value, count, place) of the k commonest values, ties by value.
+    """(column, value, count, place) of the k commonest values, ties by value (P06, F05); by sketches if `approx`.
 
     The filter on row_number becomes a partial top-k before the shuffle, so no column's distinct
     values meet in one task.
     """
+    if approx:
+        found = sketched(df if columns is None else df.select(*[F.col(f"`{c}`") for c in columns]), k)
+        placed = found.select("ordinal", "column", "dtype", "kind", F.posexplode("top_values").alias("place", "t"))
+        return placed.select("ordinal", "column", "dtype", "kind", "t.value", "t.count", (F.col("place") + 1).cast("bigint").alias("place"))
     order = Window.partitionBy("ordinal").orderBy(F.col("count").desc(), "value")
     best = (
         _of_columns(df, columns, freq)
@@ -297,13 +320,9 @@ def dtype_counts(df: DataFrame) -> DataFrame:
     )
 
 
-def profile(df: DataFrame, dataset_name: str, approx: bool = False) -> DataFrame:
-    """One row per column with everything above; store it with `sources.stages.write_report`.
-
-    The frequencies feed the counts, the top values and the date ranges, so they are written once.
-    """
+def _exact_facts(df: DataFrame) -> DataFrame:
+    """The facts of `sketched`, exact. The frequencies feed counts, top values and date ranges, so they are written once."""
     freq = materialise(frequencies(df), "frequencies")
-    roles = column_roles(df, approx, freq)
     stats = numeric_statistics(df).select("ordinal", "min", "max", "mean", "median", "std")
     top = (
         top_values(df, freq=freq)
@@ -313,22 +332,26 @@ def profile(df: DataFrame, dataset_name: str, approx: bool = False) -> DataFrame
     )
     texts = [f.name for f in df.schema.fields if kind_of(f.dataType) in ("string", "datetime")]
     dates = date_ranges(df, texts, freq).select("ordinal", "min_date", "max_date")
+    return column_counts(df, freq=freq).join(stats, "ordinal", "left").join(top, "ordinal", "left").join(dates, "ordinal", "left")
+
+
+def profile(df: DataFrame, dataset_name: str, approx: bool = False) -> DataFrame:
+    """One row per column with everything above; store it with `sources.stages.write_report`.
+
+    With `approx` all comes from one aggregate: the rows are read once, no cell is exchanged and nothing is written.
+    """
+    roles = with_roles(sketched(df) if approx else _exact_facts(df))
     numeric, dated = F.col("role").isin(*NUMERIC_ROLES), F.col("role") == "datetime"
     protected = F.lower("column").rlike("|".join(SENSITIVE_KEYWORDS)) | (
         (F.col("kind") == "string") & F.col("unique_count").between(2, 20)
     )
-    return (
-        roles.join(stats, "ordinal", "left")
-        .join(top, "ordinal", "left")
-        .join(dates, "ordinal", "left")
-        .select(
-            F.lit(dataset_name).alias("dataset_name"),
-            *roles.columns,
-            *[F.when(numeric, F.col(c)).alias(c) for c in ("min", "max", "mean", "median", "std")],
-            F.when(F.col("role") == "categorical", F.col("top_values")).alias("top_values"),
-            F.when(dated, F.col("min_date")).alias("min_date"),
-            F.when(dated, F.col("max_date")).alias("max_date"),
-            protected.alias("is_protected"),
-            numeric.alias("is_recommended_metric"),
-        )
-    )
+    return roles.select(
+        F.lit(dataset_name).alias("dataset_name"),
+        "ordinal", "column", "dtype", "kind", "row_count", "null_count", "unique_count", "parse_rate", "role", "null_pct", "unique_pct",
+        *[F.when(numeric, F.col(c)).alias(c) for c in ("min", "max", "mean", "median", "std")],
+        F.when(F.col("role") == "categorical", F.col("top_values")).alias("top_values"),
+        F.when(dated, F.col("min_date")).alias("min_date"),
+        F.when(dated, F.col("max_date")).alias("max_date"),
+        protected.alias("is_protected"),
+        numeric.alias("is_recommended_metric"),
+    )

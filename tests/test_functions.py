@@ -57,21 +57,43 @@ def test_quantiles_of_one_hot_value_and_without_broadcast(spark):
 
 
 def test_quantiles_with_a_missed_bracket(spark, monkeypatch):
+    """Ranges that don't hold their ranks cost more passes, never a wrong value."""
     from orderlore.functions import quantiles
 
-    first, margins = quantiles._attempt, []
+    first = quantiles._first_targets
 
-    def narrow(clean, keys, probabilities, margin, accuracy, few_keys):
-        margins.append(margin)
-        out = first(clean, keys, probabilities, margin, accuracy, few_keys)
-        # as if the first bracket of key 1 had missed
-        lost = F.when((F.col("k") == 1) & (F.lit(len(margins)) == 1), F.array(F.lit(None).cast("double")))
-        return out.withColumn("quantiles", F.coalesce(lost, "quantiles"))
+    def wrong(clean, keys, probabilities, accuracy):
+        aside = lambda t: F.struct(t["slot"].alias("slot"), t["rank"].alias("rank"), F.lit(990.5).alias("low"), F.lit(2000.0).alias("high"))
+        return first(clean, keys, probabilities, accuracy).withColumn("_ts", F.transform("_ts", aside))
 
-    monkeypatch.setattr(quantiles, "_attempt", narrow)
+    monkeypatch.setattr(quantiles, "_first_targets", wrong)
     df = spark.range(1000).select((F.col("id") % 2).alias("k"), F.col("id").cast("double").alias("value"))
-    got = {r["k"]: r["quantiles"] for r in quantiles.exact_quantiles(df, ["k"], (0.5,), accuracy=100).collect()}
-    assert got == {0: [499.0], 1: [500.0]} and len(margins) == 2 and margins[1] > margins[0]
+    got = {r["k"]: r["quantiles"] for r in quantiles.exact_quantiles(df, ["k"], (0.5, 1.0), accuracy=100).collect()}
+    assert got == {0: [499.0, 998.0], 1: [500.0, 999.0]}
+
+
+def test_quantiles_look_at_few_bins(spark, monkeypatch):
+    """However many values lie around a rank, no task gets more rows for it than there are bins."""
+    from orderlore.functions import quantiles
+
+    counted, most = quantiles._counted, []
+
+    def watched(*args):
+        out = counted(*args)
+        most.append(out.groupBy("k", "_slot").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(quantiles, "_counted", watched)
+    size = F.when(F.col("id") % 3 == 0, F.pow(F.lit(10.0), F.col("id") % 60 - 30)).otherwise(F.col("id") / 7)
+    df = spark.range(6000).select(F.lit(1).alias("k"), F.when(F.col("id") % 100 == 0, -size).otherwise(size).alias("value"))
+    df = df.union(spark.createDataFrame([(1, float("inf")), (1, float("-inf")), (1, 5e-324), (1, 1.7e308), (1, -1.7e308)], "k int, value double"))
+    values = np.array([r["value"] for r in df.collect()])
+    p = (0.0, 0.0101, 0.3333, 0.99, 1.0)
+    got = quantiles.exact_quantiles(df, ["k"], p, accuracy=10, bins=128).first()["quantiles"]
+    assert got[1:-1] == pytest.approx(np.quantile(values, p)[1:-1], rel=1e-12)
+    assert (got[0], got[-1]) == (float("-inf"), float("inf"))
+    assert len(most) > 2 and max(most) <= 130
+
 
 
 

@@ -1,9 +1,12 @@
 """Profiling, validation, cleaning and group bias on the small fixtures."""
 
+import re
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from orderlore.functions import sketches
 from orderlore.operators import clean, describe, fairness, profile, validate
 
 
@@ -81,6 +84,52 @@ def test_approximate_profile_has_same_shape(spark, dirty6):
     assert {r["column"]: r["role"] for r in approx.collect()} == roles(dirty6)
 
 
+def _collected(df):
+    return {r["column"]: r.asDict(True) for r in df.collect()}
+
+
+def test_sketched_profile_agrees_where_it_is_exact(spark, dirty6):
+    """Few distinct values: counts, roles, top values, dates and extremes are those of the exact profile."""
+    exact, quick = _collected(profile.profile(dirty6, "d")), _collected(profile.profile(dirty6, "d", approx=True))
+    for column, facts in exact.items():
+        assert {k: v for k, v in quick[column].items() if k != "median"} == {k: v for k, v in facts.items() if k != "median"}
+    tops = rows(profile.top_values(dirty6, 3).select("column", "value", "count", "place"))
+    assert rows(profile.top_values(dirty6, 3, approx=True).select("column", "value", "count", "place")) == tops
+    found, want = describe.metadata(dirty6, "d", approx=True).first(), describe.metadata(dirty6, "d").first()
+    for part in ("columns", "sample_values", "relationships", "lists", "row_count", "column_count"):
+        assert found[part] == want[part], part
+
+
+def test_sketches_keep_their_error_bounds(spark):
+    n = 60_000
+    df = spark.range(0, n, 1, 7).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("v"), (F.col("id") % 20_011).cast("string"))).alias("skewed"),
+        F.when(F.col("id") % 5 != 0, F.col("id")).alias("unique"), (F.col("id") % 700).cast("double").alias("few"),
+    )
+    got = _collected(profile.sketched(df))
+    assert got["skewed"]["top_values"][0]["value"] == "hot"
+    assert abs(got["skewed"]["top_values"][0]["count"] - n / 3) <= sketches.count_error(n)
+    assert abs(got["skewed"]["unique_count"] / (20_011 + 1) - 1) < 0.05 and abs(got["unique"]["unique_count"] / (n * 0.8) - 1) < 0.05
+    assert got["unique"]["null_count"] == n / 5 and got["few"]["unique_count"] == 700
+    assert sum(abs(t["count"] - n / 700) <= 1 for t in got["few"]["top_values"]) == 5
+    assert abs(got["few"]["median"] - 350) <= 2
+
+
+def test_sketched_profile_exchanges_no_cells(spark, sf):
+    """One pass: a single exchange of one row a task, below the aggregate, and nothing written."""
+    df = spark.read.parquet(f"{sf}/orders.parquet")
+    for frame in (profile.profile(df, "orders", approx=True), profile.top_values(df, approx=True)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"Exchange ", plan)) == 1 and "SinglePartition" in plan and plan.count("Scan parquet") == 1
+
+
+def test_a_given_description_comes_first(spark, dirty6):
+    stored = spark.createDataFrame([('{"columns": [{"name": "Age", "description": "Years lived"}, {"name": "Name", "description": ""}]}',)], "profile string")
+    facts = describe.column_facts(dirty6, descriptions=describe.parse_profile(stored))
+    said = {r["column"]: r["description"] for r in facts.collect()}
+    assert said["Age"] == "Years lived" and said["Name"] == "Name" and len(said) == 7
+
+
 def test_profile_statistics(spark):
     df = frame(spark, "v double", [(10.0,), (20.0,), (None,), (30.0,), (40.0,), (40.0,)])
     r = profile.profile(df, "d").first()
