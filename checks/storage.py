@@ -52,6 +52,15 @@ def _json(s, d) -> DataFrame:
     return files.read_json(s, path, array=False)
 
 
+def _json_arrays(s, d) -> DataFrame:
+    """Files that each hold an array of a few hundred records, as an export writes them."""
+    path = fresh_path(s, "json-arrays")
+    record = F.to_json(F.struct("*"), {"ignoreNullFields": "false", "pretty": "true"})
+    arrays = read_table(s, d, "customer").groupBy(F.floor(F.col("c_custkey") / 500)).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(record), ",\n"), F.lit("\n]")).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return files.read_json(s, path)
+
+
 def _stage_roundtrip(s, d) -> DataFrame:
     root = fresh_path(s, "stages")
     stages.write_stage(_orders(s, d), root, "orders", "validated")
@@ -181,7 +190,8 @@ QUERIES = {
     "S01": _formats,
     "S02": _csv,
     "S03": _encodings,
-    "S04": _json,
+    "S04": _json_arrays,
+    "S04.lines": _json,
     "S05": lambda s, d: files.read_parquet(s, f"{d}/lineitem.parquet").where("l_quantity > 45").select("l_orderkey", "l_quantity"),
     "S07": lambda s, d: files.find_data_files(s, [d]).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name")),
     "S08": _acquire,
@@ -244,6 +254,7 @@ def _sql() -> dict[str, str]:
         "S02": _ORDERS,
         "S03": "SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS nation, CASE WHEN c_nationkey % 4 = 0 THEN 'iso-8859-1' ELSE 'utf-8' END AS encoding FROM customer",
         "S04": "SELECT * FROM customer",
+        "S04.lines": "SELECT * FROM customer",
         "S05": "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity > 45",
         "S08": "SELECT 'orders' AS dataset_name, count(*) AS rows, CAST(6 AS BIGINT) AS columns FROM orders",
         "S09": _STATUS,

@@ -8,6 +8,8 @@ from pathlib import PurePosixPath
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orderlore.sources.json_array import read_array
+
 # fixed values: file endings and the format each stands for
 FORMATS = {
     ".csv": "csv",
@@ -40,9 +42,10 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8", schema: st
 
 
 def read_json(spark: SparkSession, path: str, array: bool = True, schema: str | None = None) -> DataFrame:
-    """An array of records, or with array=False one record per line (which splits)."""
-    reader = spark.read.option("multiLine", array)
-    return (reader.schema(schema) if schema else reader).json(path)
+    """An array of records, or with array=False one record per line. Both are read in byte ranges."""
+    if array:
+        return read_array(spark, path, schema=schema)
+    return (spark.read.schema(schema) if schema else spark.read).json(path)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -74,16 +77,20 @@ def listing(spark: SparkSession, *folders: str, pattern: str = "*", recursive: b
 
 
 def encodings(spark: SparkSession, *paths: str, pattern: str = "*") -> DataFrame:
-    """(path, encoding) per file: a UTF-16 mark, valid UTF-8, else Latin-1 (iso-8859-1), which reads any bytes."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(list(paths))
-    mark = F.hex(F.substring("content", 1, 2))
-    return files.select(
-        "path",
-        F.when(mark.isin("FFFE", "FEFF"), "utf-16")
-        .when(F.is_valid_utf8(F.col("content").cast("string")), "utf-8")
-        .otherwise("iso-8859-1")
-        .alias("encoding"),
-    )
+    """(path, encoding) per file: a UTF-16 mark, valid UTF-8, else Latin-1 (iso-8859-1), which reads any bytes.
+
+    The files are read in byte ranges, line by line: no byte of a UTF-8 character is a line feed, so a file is valid if all its
+    lines are. No task holds more than a line, whatever the size of the file. Empty files, which the engine passes over, have
+    no row.
+    """
+    lines = spark.read.option("lineSep", "\n").option("pathGlobFilter", pattern).text(list(paths))
+    place = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), place.alias("place"), "value")
+    head = F.hex(F.substring(F.col("value").cast("binary"), 1, 2))
+    found = lines.groupBy("file").agg(F.min_by(head, "place").alias("mark"), F.bool_and(F.is_valid_utf8("value")).alias("valid"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(list(paths)).select("path", F.col("_metadata.file_path").alias("file"))
+    kind = F.when(F.col("mark").isin("FFFE", "FEFF"), "utf-16").when(F.col("valid"), "utf-8").otherwise("iso-8859-1")
+    return files.join(found, "file").select("path", kind.alias("encoding"))
 
 
 def probe_encoding(spark: SparkSession, path: str) -> str:

@@ -1,5 +1,6 @@
 import json
 import os
+import random
 
 import pytest
 from conftest import rows
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from orderlore.operators import profile
 from orderlore.session import fresh_path, materialise, shared_folder
-from orderlore.sources import files, metadata, responses, stages
+from orderlore.sources import files, json_array, metadata, responses, stages
 
 
 def test_formats():
@@ -133,3 +134,35 @@ def test_only_committed_versions_are_read_and_old_ones_pruned(spark):
     broken = metadata.write_version(one.limit(1), root, 6, keep=9)
     os.remove(broken.removeprefix("file://") + "/_SUCCESS")
     assert metadata.read_latest(spark, root).count() == 3
+
+
+def test_json_array_is_read_in_ranges(spark, tmp_path):
+    """Braces, quotes and escapes in strings, nested and very long records, whatever range boundary they meet."""
+    made = random.Random(4)
+    odd = ["plain", "a } b { c", 'quo"te {', "back\\slash\\", "]}[{", "é\n}", ""]
+    want = [{"id": i, "text": made.choice(odd) * made.randint(1, 4), "in": {"list": [{"x": i}, {"y": made.choice(odd)}]}} for i in range(400)]
+    want[77]["text"] = "long } record " * 2000
+    (tmp_path / "a.json").write_text(json.dumps(want[:300], indent=1))
+    (tmp_path / "b.json").write_text(json.dumps(want[300:]))
+    (tmp_path / "c.json").write_text("[]\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        lines = json_array.records(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path / "a.json")).rdd.getNumPartitions() > 10
+        got = sorted((json.loads(r["value"]) for r in lines.collect()), key=lambda r: r["id"])
+    finally:
+        for k, v in zip(("maxPartitionBytes", "openCostInBytes"), before):
+            spark.conf.set(f"spark.sql.files.{k}", v)
+    assert got == want
+    frame = files.read_json(spark, str(tmp_path / "b.json"))
+    assert sorted(frame.columns) == ["id", "in", "text"] and frame.count() == 100
+
+
+def test_encoding_probe_reads_no_content_column(spark, tmp_path):
+    (tmp_path / "late.csv").write_bytes(b"ascii line\n" * 5000 + "é".encode("latin-1"))
+    found = files.encodings(spark, str(tmp_path))
+    assert rows(found.select(F.regexp_extract("path", r"(\w+)\.csv", 1), "encoding")) == [("late", "iso-8859-1")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "content#" not in plan
