@@ -5,16 +5,20 @@ Documents are VARIANT values, which keep a field that is null apart from a field
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlore.functions.numeric import ratio
 from orderlore.functions.similarity import indel_ratio_above
 from orderlore.functions.text import allow_repeated_keys, strip
+from orderlore.session import materialise
 
 NUMBER_TOLERANCE = 0.01
 PARTIAL_RATIO = 0.80
-LEVELS_AT_ONCE, LIST_LEVELS = 4, 16
+LEVELS_AT_ONCE = 4
 TRUTH_KEYS = ("0_expected", "expected")
 
 
@@ -54,32 +58,6 @@ def truth_body(document: Column) -> Column:
     return F.coalesce(*[F.try_variant_get(document, f"$['{k}']", "variant") for k in TRUTH_KEYS])
 
 
-def depth(document: Column) -> Column:
-    """Levels of objects and lists in a document and, of these, from the outermost list on (all, in_lists), counted on
-    the brackets of its JSON outside of strings."""
-    bare = F.regexp_replace(F.to_json(document), r'"(?:[^"\\]++|\\.)*+"|[^\[\]{}"]++', "")
-
-    def step(at: Column, c: Column) -> Column:
-        now = at["now"] + F.when(c.isin("{", "["), 1).otherwise(-1)
-        # the level of the outermost open list, 0 outside of lists
-        list_at = F.when((at["list_at"] == 0) & (c == "["), now).when(now < at["list_at"], 0).otherwise(at["list_at"])
-        inside = F.when(list_at > 0, now - list_at + 1).otherwise(0)
-        return F.struct(
-            now.alias("now"), list_at.alias("list_at"), F.greatest(at["all"], now).alias("all"), F.greatest(at["in_lists"], inside).alias("in_lists")
-        )
-
-    start = F.struct(*[F.lit(0).alias(n) for n in ("now", "list_at", "all", "in_lists")])
-    most = lambda at: F.struct(at["all"].alias("all"), at["in_lists"].alias("in_lists"))
-    flat = F.struct(F.lit(0).alias("all"), F.lit(0).alias("in_lists"))
-    return F.when(bare == "", flat).otherwise(F.aggregate(F.split(bare, "(?<=.)(?=.)"), start, step, most))
-
-
-def depth_of(df: DataFrame, *documents: str) -> tuple[int, int]:
-    """The deepest nesting in any of the columns, and the deepest inside lists, from one aggregate over the documents."""
-    levels = df.select(F.explode(F.array(*[depth(F.col(d)) for d in documents])).alias("d"))
-    return tuple(levels.agg(*[F.coalesce(F.max(f"d.{n}"), F.lit(0)) for n in ("all", "in_lists")]).first())
-
-
 def _opened(node: Column, lists: bool) -> Column:
     """The fields of an object (and the elements of a list, if asked for) with their paths; NULL for anything else."""
     separator = "\u0000" if lists else "."
@@ -110,22 +88,33 @@ def leaf_nodes(document: Column, levels: int, lists: bool = False) -> Column:
     return nodes
 
 
-def _all_leaves(rows: DataFrame, nodes: str, levels: int) -> DataFrame:
-    """Rows of an array of nodes (path, leaf and others), opened until `levels` levels are done.
+def _join_paths(at: Column, below: Column, separator: str) -> Column:
+    return F.when(below == "", at).when(at == "", below).otherwise(F.concat_ws(separator, at, below))
+
 
-    The plan grows with the depth of the data, in rounds of LEVELS_AT_ONCE steps that each start from rows.
+def _level_by_level(flat: DataFrame, is_open: Column, lists: bool) -> DataFrame:
+    """Opens what `is_open` tells of the rows (path, leaf and others) until nothing is left, LEVELS_AT_ONCE levels a step.
+
+    Each step's rows are written, and only those still open are looked into again, so documents may be nested to any
+    depth; those of few levels cost one step.
     """
+    separator, done = "\u0000" if lists else ".", []
+    others = [c for c in flat.columns if c not in ("path", "leaf")]
+    while True:
+        step = materialise(flat.withColumn("_open", is_open), "document-leaves")
+        done.append(step.where("not _open").drop("_open"))
+        still = step.where("_open").drop("_open")
+        if still.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        deeper = still.select(*others, F.col("path").alias("_at"), F.explode(leaf_nodes(F.col("leaf"), LEVELS_AT_ONCE, lists)).alias("_f"))
+        flat = deeper.select(*others, _join_paths(F.col("_at"), F.col("_f.path"), separator).alias("path"), F.col("_f.leaf").alias("leaf"))
+
+
+def _all_leaves(rows: DataFrame, nodes: str) -> DataFrame:
+    """Rows of an array of nodes (path, leaf and others), objects of any depth opened."""
     others = [c for c in rows.columns if c != nodes]
     flat = rows.select(*others, F.explode(nodes).alias("_f")).select(*others, "_f.*")
-    for done in range(LEVELS_AT_ONCE, levels, LEVELS_AT_ONCE):
-        kept = [c for c in flat.columns if c not in ("path", "leaf")]
-        # what is no object any more is not looked into again
-        closed = F.array(F.struct(F.lit("").alias("path"), F.col("leaf").alias("leaf")))
-        nodes = F.when(F.schema_of_variant("leaf").startswith("OBJECT"), leaf_nodes(F.col("leaf"), min(LEVELS_AT_ONCE, levels - done))).otherwise(closed)
-        deeper = flat.select(*kept, F.col("path").alias("_at"), F.explode(nodes).alias("_f"))
-        path = F.when(F.col("_f.path") == "", F.col("_at")).when(F.col("_at") == "", F.col("_f.path"))
-        flat = deeper.select(*kept, path.otherwise(F.concat_ws(".", "_at", "_f.path")).alias("path"), F.col("_f.leaf").alias("leaf"))
-    return flat
+    return _level_by_level(flat, F.schema_of_variant("leaf").startswith("OBJECT"), lists=False)
 
 
 def _typed(leaf: Column, json: Column) -> tuple[Column, Column]:
@@ -141,34 +130,52 @@ def _canonical(json: Column) -> Column:
     return F.regexp_replace(json, r'("(?:[^"\\]++|\\.)*+")|(?<=[\d])\.0+(?=[,\]}]|$)', "$1")
 
 
-def typed_leaves(rows: DataFrame, levels: int) -> DataFrame:
+def _element(node: Column) -> Column:
+    """An element of a list by type: text, number, or the JSON of null and of empty containers."""
+    json = F.to_json(node["leaf"])
+    text, number = _typed(node["leaf"], json)
+    return F.struct(node["path"].alias("path"), text.alias("text"), number.alias("number"), F.when(text.isNull() & number.isNull(), _canonical(json)).alias("other"))
+
+
+def _is_open(json: Column) -> Column:
+    """JSON of an object or list with anything in it."""
+    return F.coalesce(json.rlike(r"^[\[{]") & ~json.isin("{}", "[]"), F.lit(False))
+
+
+def typed_leaves(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Replace the column `leaf` by its JSON, its text or number, and for a list its typed elements, in order of place.
 
-    Lists are opened for `levels` levels, LIST_LEVELS at most; what is deeper inside a list is an element as a whole,
-    compared by its JSON, whose keys VARIANT keeps in order.
+    `keys` and path name a row. Lists of up to LEVELS_AT_ONCE levels are opened inside their row; the elements of those
+    that hold more become rows, which are opened level by level and gathered again.
     """
-    levels = min(levels, LIST_LEVELS)
     others = [c for c in rows.columns if c != "leaf"]
     rows = rows.select(*others, "leaf", F.to_json("leaf").alias("json"))
     text, number = _typed(F.col("leaf"), F.col("json"))
-
-    def element(node: Column) -> Column:
-        json = F.to_json(node["leaf"])
-        text, number = _typed(node["leaf"], json)
-        other = F.when(text.isNull() & number.isNull(), _canonical(json))
-        return F.struct(node["path"].alias("path"), text.alias("text"), number.alias("number"), other.alias("other"))
-
-    elements = F.array_sort(F.transform(leaf_nodes(F.col("leaf"), levels, lists=True), element))
-    items = F.when(F.left("json", F.lit(1)) == "[", elements)
-    return rows.select(*others, "json", text.alias("text"), number.alias("number"), items.alias("items"))
+    is_list = F.left("json", F.lit(1)) == "["
+    elements = F.when(is_list, F.array_sort(F.transform(leaf_nodes(F.col("leaf"), LEVELS_AT_ONCE, lists=True), _element)))
+    # elements of several types hide their levels; such lists and those of many levels are looked at
+    schema = F.schema_of_variant("leaf")
+    levels = F.length(schema) - F.length(F.replace(schema, F.lit("<"), F.lit("")))
+    doubtful = is_list & (F.contains(schema, F.lit("VARIANT")) | (levels > LEVELS_AT_ONCE))
+    is_deep = doubtful & F.coalesce(F.exists(elements, lambda e: _is_open(e["other"])), F.lit(False))
+    whole = rows.select(*others, "json", text.alias("text"), number.alias("number"), elements.alias("items"), "leaf", is_deep.alias("_deep"))
+    shallow = whole.where("not _deep").drop("_deep", "leaf")
+    deep = whole.where("_deep").drop("_deep")
+    if deep.isEmpty():
+        return shallow
+    named = [*keys, "path"]
+    lists = deep.select(*[F.col(k).alias(f"_{k}") for k in named], F.explode(leaf_nodes(F.col("leaf"), LEVELS_AT_ONCE, lists=True)).alias("_f"))
+    opened = _level_by_level(lists.select(*[f"_{k}" for k in named], "_f.path", "_f.leaf"), _is_open(F.to_json("leaf")), lists=True)
+    gathered = opened.groupBy(*[f"_{k}" for k in named]).agg(F.array_sort(F.collect_list(_element(F.struct("path", "leaf")))).alias("items"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in named])
+    return shallow.unionByName(deep.drop("items", "leaf").join(gathered, same).drop(*[f"_{k}" for k in named]))
 
 
 def flatten(df: DataFrame, key: str, document: str) -> DataFrame:
     """(key, path, json, text, number, items) with dotted paths, for documents of any depth. Objects are opened,
     everything else is a leaf, and an empty object leaves nothing."""
-    levels, in_lists = depth_of(df, document)
-    nodes = df.select(key, leaf_nodes(F.col(document), min(levels, LEVELS_AT_ONCE)).alias("_nodes"))
-    return typed_leaves(_all_leaves(nodes, "_nodes", levels), in_lists)
+    nodes = df.select(key, leaf_nodes(F.col(document), LEVELS_AT_ONCE).alias("_nodes"))
+    return typed_leaves(_all_leaves(nodes, "_nodes"), [key])
 
 
 def match_class(truth: str = "t", predicted: str = "p") -> Column:
@@ -191,17 +198,16 @@ def match_class(truth: str = "t", predicted: str = "p") -> Column:
 def compare_fields(pairs: DataFrame, key: str = "prediction_file") -> DataFrame:
     """D06, row level: (key, path, outcome) with outcome exact, partial, wrong, missing or extra.
 
-    Both documents of a pair are opened in one pass, after one that finds how deep any document is. Their leaves meet in
-    an aggregate on (key, path), which joins most of them before the shuffle, and the leaves of one long document are
-    spread over many tasks.
+    Both documents of a pair are opened in one pass, and once more from where they go deeper. Their leaves meet in an
+    aggregate on (key, path), which joins most of them before the shuffle, and the leaves of one long document are spread over
+    many tasks.
     """
-    levels, in_lists = depth_of(pairs, "truth", "document")
     side = lambda document, is_truth: F.transform(
-        leaf_nodes(document, min(levels, LEVELS_AT_ONCE)),
+        leaf_nodes(document, LEVELS_AT_ONCE),
         lambda n: F.struct(F.lit(is_truth).alias("is_truth"), n["path"].alias("path"), n["leaf"].alias("leaf")),
     )
     both = F.concat(side(truth_body(F.col("truth")), True), side(F.col("document"), False))
-    leaves = typed_leaves(_all_leaves(pairs.select(key, both.alias("_nodes")), "_nodes", levels), in_lists)
+    leaves = typed_leaves(_all_leaves(pairs.select(key, both.alias("_nodes")), "_nodes"), [key, "is_truth"])
     leaf = F.struct("json", "text", "number", "items")
     met = leaves.groupBy(key, "path").agg(
         F.max(F.when(F.col("is_truth"), leaf)).alias("t"), F.max(F.when(~F.col("is_truth"), leaf)).alias("p")

@@ -50,11 +50,10 @@ def test_documents_of_any_depth(spark, levels):
     assert outcomes(spark, {"a": 1}, {"a": 1, "b": deep}) == {"a": "exact", f"b.{path}": "extra"}
 
 
-def test_depth_counts_brackets_outside_of_strings(spark):
-    df = spark.createDataFrame([('{"a{{": "}]\\"{", "b": [{"c": []}]}',), ("1",), ("{}",), (None,)], "t string")
-    got = df.select(documents.depth(documents.document(F.col("t"))).alias("d")).select("d.*").collect()
-    assert [tuple(r) for r in got] == [(4, 3), (0, 0), (1, 0), (None, None)]
-    assert documents.depth_of(df.withColumn("d", documents.document(F.col("t"))), "d") == (4, 3)
+def test_brackets_in_texts_and_empty_containers(spark):
+    odd = {"a{{": "}]\"{", "b": [{"c": []}], "d": {"e": {}}, "f": [], "g": [[], {}]}
+    assert outcomes(spark, odd, odd) == {"a{{": "exact", "b": "exact", "f": "exact", "g": "exact"}
+    assert outcomes(spark, {"g": [[], {}]}, {"g": [{}, []]}) == {"g": "wrong"}
 
 
 def test_deep_lists(spark):
@@ -63,6 +62,12 @@ def test_deep_lists(spark):
         one, other = [one, "1.0"], [other, "1.0"]
     assert outcomes(spark, {"l": one}, {"l": other}) == {"l": "exact"}
     assert outcomes(spark, {"l": one}, {"l": [other]}) == {"l": "wrong"}
+    # numbers agree by value and text by text, below any number of lists and objects
+    a, b, c = 5, 5.0, "5"
+    for i in range(11):
+        a, b, c = ([{"k": x}, None] if i % 2 else [x, [i]] for x in (a, b, c))
+    made = outcomes(spark, {"same": a, "number": a, "text": a, "m": {"n": a}}, {"same": a, "number": b, "text": c, "m": {"n": b}})
+    assert made == {"same": "exact", "number": "exact", "text": "wrong", "m.n": "exact"}
 
 
 def test_the_last_of_repeated_keys_counts(spark):
