@@ -14,7 +14,7 @@ from orderlore.plans.test_views import RESPONSE_LOG_SQL
 from orderlore.session import fresh_path, materialise
 from orderlore.sources import responses as stored
 
-COLUMNS = ["region", "sales", "profit", "product_name", "order_id", "order_date", "segment", "category", "discount", "quantity"]
+COLUMNS = list(SALES_COLUMNS)
 TRUTH = [
     ("What is the total sales by region?", ["SUM(sales)", "FROM"]),
     ("Top 5 products by revenue", ["ORDER BY", "DESC", "LIMIT 5"]),

@@ -92,6 +92,13 @@ def _join_paths(at: Column, below: Column, separator: str) -> Column:
     return F.when(below == "", at).when(at == "", below).otherwise(F.concat_ws(separator, at, below))
 
 
+def _may_be_deep() -> Column:
+    """Whether `leaf` may be a list of more than LEVELS_AT_ONCE levels; elements of several types hide theirs."""
+    schema = F.schema_of_variant("leaf")
+    levels = F.length(schema) - F.length(F.replace(schema, F.lit("<"), F.lit("")))
+    return F.coalesce(schema.startswith("ARRAY") & (F.contains(schema, F.lit("VARIANT")) | (levels > LEVELS_AT_ONCE)), F.lit(False))
+
+
 def _level_by_level(flat: DataFrame, is_open: Column, lists: bool) -> DataFrame:
     """Opens what `is_open` tells of the rows (path, leaf and others) until nothing is left, LEVELS_AT_ONCE levels a step.
 
@@ -101,9 +108,9 @@ def _level_by_level(flat: DataFrame, is_open: Column, lists: bool) -> DataFrame:
     separator, done = "\u0000" if lists else ".", []
     others = [c for c in flat.columns if c not in ("path", "leaf")]
     while True:
-        step = materialise(flat.withColumn("_open", is_open), "document-leaves")
+        step = materialise(flat.withColumns({"_open": is_open, "_doubtful": _may_be_deep()}), "document-leaves")
         done.append(step.where("not _open").drop("_open"))
-        still = step.where("_open").drop("_open")
+        still = step.where("_open").drop("_open", "_doubtful")
         if still.isEmpty():
             return reduce(DataFrame.unionByName, done)
         deeper = still.select(*others, F.col("path").alias("_at"), F.explode(leaf_nodes(F.col("leaf"), LEVELS_AT_ONCE, lists)).alias("_f"))
@@ -145,19 +152,15 @@ def _is_open(json: Column) -> Column:
 def typed_leaves(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Replace the column `leaf` by its JSON, its text or number, and for a list its typed elements, in order of place.
 
-    `keys` and path name a row. Lists of up to LEVELS_AT_ONCE levels are opened inside their row; the elements of those
+    `keys` and path name a row, and `_doubtful` tells of which lists the levels are counted. Lists of up to LEVELS_AT_ONCE levels are opened inside their row; the elements of those
     that hold more become rows, which are opened level by level and gathered again.
     """
-    others = [c for c in rows.columns if c != "leaf"]
-    rows = rows.select(*others, "leaf", F.to_json("leaf").alias("json"))
+    others = [c for c in rows.columns if c not in ("leaf", "_doubtful")]
+    rows = rows.select(*others, "leaf", F.to_json("leaf").alias("json"), "_doubtful")
     text, number = _typed(F.col("leaf"), F.col("json"))
     is_list = F.left("json", F.lit(1)) == "["
     elements = F.when(is_list, F.array_sort(F.transform(leaf_nodes(F.col("leaf"), LEVELS_AT_ONCE, lists=True), _element)))
-    # elements of several types hide their levels; such lists and those of many levels are looked at
-    schema = F.schema_of_variant("leaf")
-    levels = F.length(schema) - F.length(F.replace(schema, F.lit("<"), F.lit("")))
-    doubtful = is_list & (F.contains(schema, F.lit("VARIANT")) | (levels > LEVELS_AT_ONCE))
-    is_deep = doubtful & F.coalesce(F.exists(elements, lambda e: _is_open(e["other"])), F.lit(False))
+    is_deep = F.col("_doubtful") & F.coalesce(F.exists(elements, lambda e: _is_open(e["other"])), F.lit(False))
     whole = rows.select(*others, "json", text.alias("text"), number.alias("number"), elements.alias("items"), "leaf", is_deep.alias("_deep"))
     shallow = whole.where("not _deep").drop("_deep", "leaf")
     deep = whole.where("_deep").drop("_deep")
