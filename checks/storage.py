@@ -5,6 +5,8 @@ Each writes what it needs from the given tables into a new folder under the sess
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +63,39 @@ def _json_arrays(s, d) -> DataFrame:
     return files.read_json(s, path)
 
 
+def _first_files(s, d) -> DataFrame:
+    """The first file of the nations' folders from each of five on: JSON where a nation has a customer deep in debt, else CSV."""
+    root = fresh_path(s, "folders")
+    rows = read_table(s, d, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", "c_acctbal").repartition("nation")
+    rows.write.partitionBy("nation").csv(root)
+    rows.where("c_acctbal < -950").write.mode("append").partitionBy("nation").json(root)
+    folders = [f"{root}/nation={r[0]}" for r in rows.select("nation").distinct().orderBy("nation").collect()]  # 25 at most
+    found = [files.find_data_files(s, folders[k:], ("json", "csv")).withColumn("start", F.lit(k).cast("bigint")) for k in range(5)]
+    named = reduce(DataFrame.unionByName, found)
+    return named.select("start", F.regexp_extract("path", r"nation=(\d+)", 1).cast("bigint").alias("nation"), F.regexp_extract("path", r"\.(\w+)$", 1).alias("kind"))
+
+
+def _file_sizes(s, d) -> DataFrame:
+    """Size and ending of one file a nation, whose lines are written from the customers."""
+    root = fresh_path(s, "sizes")
+    line = F.concat_ws("|", "c_custkey", "c_name")
+    read_table(s, d, "customer").select(F.col("c_nationkey").alias("nation"), line.alias("value")).repartition("nation").write.partitionBy("nation").text(root)
+    found = files.file_info(s, root).where("name like 'part-%'")
+    return found.select(F.regexp_extract("path", r"nation=(\d+)", 1).cast("bigint").alias("nation"), "size", "extension")
+
+
+def _newest_report(s, d) -> DataFrame:
+    """The content of the newest JSON report among one a region, written one after the other, beside a newer CSV file."""
+    root = fresh_path(s, "reports")
+    nations = read_table(s, d, "region").join(read_table(s, d, "nation"), F.col("r_regionkey") == F.col("n_regionkey"))
+    reports = nations.groupBy("r_regionkey", "r_name").agg(F.count("*").alias("nations"))
+    for key in [r[0] for r in read_table(s, d, "region").orderBy("r_regionkey").select("r_regionkey").collect()]:  # 5
+        reports.where(F.col("r_regionkey") == key).coalesce(1).write.json(f"{root}/region={key}")
+    reports.coalesce(1).write.csv(f"{root}/all")
+    newest = stages.latest_report(s, root, ".json", ".csv").first()["path"]
+    return s.read.json(newest).select(F.col("r_name").alias("region"), "nations")
+
+
 def _stage_roundtrip(s, d) -> DataFrame:
     root = fresh_path(s, "stages")
     stages.write_stage(_orders(s, d), root, "orders", "validated")
@@ -193,7 +228,7 @@ QUERIES = {
     "S04": _json_arrays,
     "S04.lines": _json,
     "S05": lambda s, d: files.read_parquet(s, f"{d}/lineitem.parquet").where("l_quantity > 45").select("l_orderkey", "l_quantity"),
-    "S07": lambda s, d: files.find_data_files(s, [d]).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name")),
+    "S07": _first_files,
     "S08": _acquire,
     "S09": _stage_roundtrip,
     "S10": _report_roundtrip,
@@ -204,7 +239,7 @@ QUERIES = {
     "S16": _limited_table,
     "S17": _table_info,
     "S19": _missing_report,
-    "S20": lambda s, d: files.file_info(s, d).select("name", "extension", (F.col("size") > 0).alias("has_size")),
+    "S20": _file_sizes,
     "S22": lambda s, d: stages.artifact_summary(s, _published_root(s, d)),
     "S23": _dataset_metadata,
     "S24": _publish,
@@ -219,9 +254,7 @@ QUERIES = {
     "S35": _examples,
     "S35.first": _first_examples,
     "S36": lambda s, d: read_table(s, d, "documents").select("doc_id", files.data_url(F.encode("text", "UTF-8")).alias("url")),
-    "M10": lambda s, d: stages.latest_report(s, d, "lineitem", "orders").select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("name")
-    ),
+    "M10": _newest_report,
 }
 
 
@@ -256,6 +289,11 @@ def _sql() -> dict[str, str]:
         "S04": "SELECT * FROM customer",
         "S04.lines": "SELECT * FROM customer",
         "S05": "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity > 45",
+        "S07": "SELECT row_number() OVER (ORDER BY c_nationkey) - 1 AS start, CAST(c_nationkey AS BIGINT) AS nation, "
+        "CASE WHEN min(c_acctbal) < -950 THEN 'json' ELSE 'csv' END AS kind FROM customer GROUP BY c_nationkey ORDER BY 1 LIMIT 5",
+        "S20": "SELECT c_nationkey AS nation, CAST(sum(strlen(c_custkey || '|' || c_name) + 1) AS BIGINT) AS size, '.txt' AS extension FROM customer GROUP BY 1",
+        "M10": "SELECT r_name AS region, count(*) AS nations FROM region JOIN nation ON r_regionkey = n_regionkey "
+        "WHERE r_regionkey = (SELECT max(r_regionkey) FROM region) GROUP BY 1",
         "S08": "SELECT 'orders' AS dataset_name, count(*) AS rows, CAST(6 AS BIGINT) AS columns FROM orders",
         "S09": _STATUS,
         "S10": f"WITH dirty AS ({DIRTY_SQL}) {_NULLS}",

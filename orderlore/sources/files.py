@@ -120,8 +120,9 @@ def find_data_files(spark: SparkSession, folders: Sequence[str], formats: Sequen
 
 
 def file_info(spark: SparkSession, *paths: str) -> DataFrame:
-    """Name, size, time and ending of the files behind the paths."""
+    """Path, name, size, time and ending of the files behind the paths."""
     return listing(spark, *paths).select(
+        "path",
         F.regexp_extract("path", r"([^/]+)$", 1).alias("name"),
         F.col("length").alias("size"),
         F.round(F.col("length") / 1048576, 2).alias("size_mb"),
