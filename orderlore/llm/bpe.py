@@ -2,7 +2,9 @@
 
 A word is a short list of parts. Beside the parts stands an array of ranks, one for each adjacent pair; the pair with the
 smallest rank (the leftmost of equals) is merged by deleting the boundary between its parts, after which only the ranks of
-the two neighbours are looked up anew. Words are short, so scanning the array beats any heap.
+the two neighbours are looked up anew. Words are short, so scanning the array beats any heap. A run of letters without end
+(base64, DNA) would take quadratic time that way; words of more than `LONG` parts are merged in the same order through a
+heap over a linked list instead.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +25,7 @@ from orderlore.llm.pieces import PieceCache, plain, special_strings, tokenizer,
 from orderlore.llm.tables import map_arrow
 
 NO_RANK = 1 << 62
+LONG = 400
 
 
 def byte_letters() -> list[str]:
@@ -56,6 +60,8 @@ class WordEncoder:
         """Ids of one word."""
         raw = word.encode()
         parts = [i for i in [*map(self.inner.__getitem__, raw[:-1]), self.last[raw[-1]]] if i is not None]
+        if len(parts) > LONG:
+            return self.long_word(parts)
         merges, none = self.merges, (NO_RANK, 0)
         ranks = [merges.get((a << 20) | b, none)[0] for a, b in zip(parts, parts[1:])]
         while ranks:
@@ -71,6 +77,31 @@ class WordEncoder:
                 ranks[at - 1] = merges.get((parts[at - 1] << 20) | parts[at], none)[0]
         return parts
 
+    def long_word(self, parts: list[int]) -> list[int]:
+        """The same merges for a word of very many parts. A heap entry is stale if its pair has changed since."""
+        merges, none, end = self.merges, (NO_RANK, 0), len(parts)
+        before, after = list(range(-1, end - 1)), list(range(1, end + 1))
+        ranks = [merges.get((a << 20) | b, none)[0] for a, b in zip(parts, parts[1:])] + [NO_RANK]
+        heap = [(rank, at) for at, rank in enumerate(ranks) if rank < NO_RANK]
+        heapify(heap)
+        while heap:
+            rank, at = heappop(heap)
+            if ranks[at] != rank:
+                continue
+            gone = after[at]
+            parts[at] = merges[(parts[at] << 20) | parts[gone]][1]
+            parts[gone], ranks[gone] = -1, NO_RANK
+            after[at] = after[gone]
+            if after[at] < end:
+                before[after[at]] = at
+            for left in (before[at], at):
+                if left >= 0:
+                    right = after[left]
+                    ranks[left] = merges.get((parts[left] << 20) | parts[right], none)[0] if right < end else NO_RANK
+                    if ranks[left] < NO_RANK:
+                        heappush(heap, (ranks[left], left))
+        return [p for p in parts if p >= 0]
+
     def words(self, text: str) -> list[str]:
         """Words of a text without special strings: canonical composition, lower case, split."""
         if text.isascii() or plain(text):
@@ -171,6 +202,25 @@ def digests(decoded: DataFrame) -> DataFrame:
     )
 
 
-def encode_decode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids and decoded text of every document."""
-    return decode(encode(docs.select("doc_id", "text"), path).drop("text"), path)
+def encode_decode(docs: DataFrame, path: str, readable: bool = False) -> DataFrame:
+    """doc_id, ids and the text decoded from them, of every document, as `encode` and `decode` give them one after the other.
+
+    Both happen in one pass, so a task has one Python worker with one vocabulary. Null and empty texts have no ids and
+    decode to the empty text; repeated rows each keep their row; an empty table gives an empty result; other columns,
+    whatever their names, are left out.
+    """
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = word_encoder(path)
+        one = encoder.text if readable else lambda x: " ".join(encoder.tokens(x))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                ids = [np.frombuffer(encoder.encode(t.as_py() or ""), "<i4") for t in part.column(1)]
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, "<i4"), *ids])))
+                texts = pa.array([one(x.tolist()) for x in ids], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, texts], ["doc_id", "ids", "decoded"])
+
+    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {id_type}, ids array<int>, decoded string")

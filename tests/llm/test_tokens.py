@@ -1,6 +1,7 @@
 import hashlib
 import random
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -36,6 +37,27 @@ def test_encoders_agree_with_the_library(libraries):
         assert " ".join(word.tokens(ids)) == libraries[1].decode(ids, skip_special_tokens=False)
 
 
+def test_long_words_merge_in_the_same_order(libraries):
+    chosen, word = random.Random(2), bpe.WordEncoder(WORD)
+    for letters in ("ab", "theandi", "abcdefghijklmnopqrstuvwxyz", "aaaé"):
+        for size in (bpe.LONG - 1, bpe.LONG, bpe.LONG + 1, 3 * bpe.LONG):
+            text = "".join(chosen.choices(letters, k=size))
+            ids = libraries[1].encode(text, add_special_tokens=False).ids
+            assert word.word(text) == ids
+            assert word.long_word([i for i in [*map(word.inner.__getitem__, text.encode()[:-1]), word.last[text.encode()[-1]]]]) == ids
+    start = time.perf_counter()
+    assert len(word.word("".join(chosen.choices("acgt", k=300_000)))) > 1000
+    assert time.perf_counter() - start < 60
+
+
+def test_one_pass_equals_two(corpus):
+    for readable in (False, True):
+        two = bpe.decode(bpe.encode(corpus, WORD), WORD, readable=readable).select("doc_id", "ids", "decoded")
+        one = bpe.encode_decode(corpus, WORD, readable)
+        assert one.columns == two.columns
+        assert Counter((r[0], tuple(r[1]), r[2]) for r in one.collect()) == Counter((r[0], tuple(r[1]), r[2]) for r in two.collect())
+
+
 def test_readable_text_round_trip():
     word = bpe.WordEncoder(WORD)
     for text in ("hello world", "don 't stop , now !", "naïve café 中 文", ""):
