@@ -1,8 +1,10 @@
+import random
 import re
 import string
 from collections import Counter
 
 import corpus_pipeline
+import xxhash
 
 from orderlore.llm import decontaminate, line_dedup, ranking
 from orderlore.llm.tables import stored
@@ -28,12 +30,16 @@ def test_stages_of_an_empty_table(spark, empty):
         assert docs.count() == 0
 
 
+def fingerprint_by_hand(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0d]+", (text or "").translate(lower)) if w]
+    shingles = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in shingles]
+    return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+
+
 def one_of_each_by_hand(texts):
-    """Smallest id of each component of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
-    sets = {}
-    for i, text in texts.items():
-        words = re.split(r"[\x20\x09-\x0d]+", text.translate(lower).strip("\x20\x09\x0a\x0b\x0c\x0d")) if text else []
-        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+    """Smallest id of each component of texts whose fingerprints differ in two bits or fewer."""
+    prints = {i: fingerprint_by_hand(text) for i, text in texts.items()}
     root = {i: i for i in texts}
 
     def find(i):
@@ -44,8 +50,7 @@ def one_of_each_by_hand(texts):
     order = sorted(texts)
     for n, a in enumerate(order):
         for b in order[n + 1 :]:
-            common = len(sets[a] & sets[b])
-            if 5 * common >= 4 * (len(sets[a]) + len(sets[b]) - common):
+            if (prints[a] ^ prints[b]).bit_count() <= 2:
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {find(i) for i in texts}
@@ -62,3 +67,19 @@ def test_run_against_the_operators(spark):
     left = spark.createDataFrame([(i, t) for i, t in second.items() if i in third], "doc_id bigint, text string")
     clean = {r["doc_id"] for r in decontaminate.contamination(left, items).where("not contaminated").collect()}
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()} == clean and len(clean) > 50
+
+
+def test_near_dedup_stage_against_brute_force(spark):
+    chosen = random.Random(7)
+    words = [f"w{i}" for i in range(3000)]
+    texts = {5000: "", 5001: " \n", 5002: "one two", 5003: "One two", 5004: "one two three"}
+    for group in range(20):
+        base = chosen.choices(words, k=chosen.randint(60, 900))
+        for copy in range(6):
+            own = list(base)
+            for at in chosen.sample(range(len(own)), copy):
+                own[at] = chosen.choice(words)
+            texts[100 * group + copy] = " ".join(own)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    kept = {r["doc_id"] for r in corpus_pipeline.remove_near_duplicates(spark, docs, SF).collect()}
+    assert kept == one_of_each_by_hand(texts) and len(kept) < len(texts)
