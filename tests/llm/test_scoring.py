@@ -209,3 +209,27 @@ def test_ranking_of_odd_tables(spark, corpus, empty, texts):
     assert ranking.classify(empty, labels).count() == 0
     scored = ranking.score(corpus, ranking.fit(corpus, labels))
     assert scored.columns == [*(c for c in corpus.columns if c != "score"), "score"]
+
+
+def test_ranking_learns_from_every_labelled_document(spark, monkeypatch):
+    """Counts, mean, weights and threshold against a computation over all labelled documents at once."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet").where("quality in (0, 1)")
+    monkeypatch.setattr(ranking, "GROUP", 1 << 30)
+    ranker = ranking.fit(docs, labels)
+    rows = docs.join(labels.select("doc_id", "quality"), "doc_id").where(~ranking.held_out(F.col("doc_id"))).toPandas()
+    x, y = np.array([ranking.features(t) for t in rows["text"]]), rows["quality"].to_numpy()
+    assert ranker.mean == pytest.approx(x.mean(axis=0)) and ranker.scale == pytest.approx(x.std(axis=0) + 1e-6, rel=1e-3, abs=1e-6)
+    raw = ranker.raw(x)
+    assert ranker.threshold == pytest.approx(np.quantile(raw, np.mean(y == 0))) and ranker.spread == pytest.approx(raw.std() / 4, rel=1e-4)
+    z = (x - ranker.mean) / ranker.scale
+    pairs = (z[y == 1][:, None, :] - z[y == 0][None, :, :]).reshape(-1, x.shape[1])
+    slope = 1e-3 * ranker.weights - (1 / (1 + np.exp(pairs @ ranker.weights))) @ pairs / len(pairs)
+    assert np.abs(slope).max() < 1e-5
+
+
+def test_ranking_spreads_a_rare_label_over_all_groups(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "GROUP", 8)
+    shapes = spark.createDataFrame([(i, int(i % 100 > 0), [float(i)]) for i in range(400)], "doc_id bigint, quality int, x array<double>")
+    groups = ranking._groups(shapes, 396, 4).collect()
+    assert len(groups) == 50 and all(g["y"].count(0) == 4 for g in groups)
+    assert {int(v) for g in groups for v in g["x"]} == set(range(400))
