@@ -93,10 +93,10 @@ def _join_paths(at: Column, below: Column, separator: str) -> Column:
 
 
 def _may_be_deep() -> Column:
-    """Whether `leaf` may be a list of more than LEVELS_AT_ONCE levels; elements of several types hide theirs."""
-    schema = F.schema_of_variant("leaf")
-    levels = F.length(schema) - F.length(F.replace(schema, F.lit("<"), F.lit("")))
-    return F.coalesce(schema.startswith("ARRAY") & (F.contains(schema, F.lit("VARIANT")) | (levels > LEVELS_AT_ONCE)), F.lit(False))
+    """Whether `leaf` may be a list of more than LEVELS_AT_ONCE levels: one that has no more brackets can't be."""
+    json = F.to_json("leaf")
+    brackets = F.length(json) - F.length(F.translate(json, "[{", ""))
+    return F.coalesce((F.left(json, F.lit(1)) == "[") & (brackets > LEVELS_AT_ONCE), F.lit(False))
 
 
 def _level_by_level(flat: DataFrame, is_open: Column, lists: bool) -> DataFrame:

@@ -86,3 +86,8 @@ def test_lenient_parse_and_pairing(spark):
     paired = documents.pair_documents(df, truths)
     assert rows(paired, "prediction_file", "stem") == [("a", "doc_1"), ("b", "doc_2")]
     assert rows(df.select("prediction_file", F.to_json("document")))[:2] == [("a", '{"k":1}'), ("b", "{}")]
+
+
+def test_only_lists_that_may_be_deep_are_doubted(spark):
+    df = spark.createDataFrame([('["x1.0, y", {"k": [1]}]',), ("[[[[[1]]]]]",), ('{"a": 1}',)], "t string").select(F.parse_json("t").alias("leaf"))
+    assert [r[0] for r in df.select(documents._may_be_deep()).collect()] == [False, True, False]
