@@ -283,3 +283,39 @@ def test_accuracy_and_merge(spark, dataset):
     assert rows(merged, "query_number", "execution_status") == [(1, "success"), (2, "failed"), (3, None)]
     r = execution.accuracy(merged.where("execution_status IS NOT NULL")).first()
     assert (r["execution_success_rate"], r["result_validity_rate"], r["overall_accuracy"]) == (50.0, 100.0, 50.0)
+
+
+@pytest.mark.parametrize(
+    "texts, named",
+    [
+        (["SELECT region, SUM(Sales) FROM dataset GROUP BY region", "SELECT missing FROM dataset"], ["region", "sales"]),
+        (["SELECT COUNT(*) FROM dataset"], ["order_id"]),
+        (["SELECT total_sales FROM dataset"], ["order_id"]),
+        (["SELECT COUNT( * ) FROM (SELECT DISTINCT * FROM dataset)"], None),
+        (["SELECT profit FROM dataset", "SELECT 1 FROM (TABLE dataset)"], None),
+        (["SELECT 1 FROM (FROM dataset)"], None),
+    ],
+)
+def test_columns_that_texts_can_read(spark, texts, named):
+    from orderlore.plans.star import SALES_COLUMNS
+
+    found = execution.columns_read(log(spark, *[answer(i, "q", t) for i, t in enumerate(texts)]), SALES_COLUMNS)
+    assert sorted(found) == sorted(named or SALES_COLUMNS)
+
+
+def test_texts_run_on_the_columns_they_read(spark, dataset):
+    texts = ["SELECT region, sales FROM dataset", "SELECT missing FROM dataset", "SELECT profit FROM dataset", "SELECT COUNT(*) FROM (SELECT DISTINCT * FROM dataset)"]
+    asked = log(spark, *[answer(i, "Total sales", t) for i, t in enumerate(texts)])
+    figures = ["sql_query", "execution_status", "result_count", "first_rows", "error"]
+    whole = rows(execution.execute_batch(asked, dataset), *figures)
+    narrow = dataset.select(*execution.columns_read(asked, dataset.columns))
+    assert rows(execution.execute_batch(asked, dataset, narrow=narrow), *figures) == whole
+    # a text whose columns are not among the stored ones goes to the whole table
+    assert rows(execution.execute_batch(asked, dataset, narrow=dataset.select("region")), *figures[:4]) != []
+
+
+def test_a_text_joins_only_what_it_reads(spark, sf):
+    from checks.answers import QUERIES
+
+    plan = QUERIES["X03"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "profit" not in plan
