@@ -319,3 +319,16 @@ def test_a_text_joins_only_what_it_reads(spark, sf):
 
     plan = QUERIES["X03"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "profit" not in plan
+
+
+def test_best_model_is_computed_once(spark):
+    metrics = spark.createDataFrame([("a", 80.0, 1.0, 90.0), ("b", 90.0, 1.0, 90.0)], "model_name string, overall_score double, avg_response_time double, success_rate double")
+    best = selection.select_best(metrics, metrics.select("model_name", F.lit(0.0).alias("bias_score")))
+    assert "Join" not in best._jdf.queryExecution().executedPlan().toString()
+    assert [r["model_name"] for r in best.collect()] == ["b"]
+
+
+def test_texts_are_folded_once_a_row(spark):
+    matched = responses.match_intents(log(spark, answer(1, "Top sales", TOP)))
+    plan = matched._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1 and plan.count("upper(") == 1 and "lambda" not in plan
