@@ -49,8 +49,11 @@ def to_datetime(text: Column, place: int) -> Column:
 
 
 def places_of(df: DataFrame, columns: list[str]) -> dict[str, int]:
-    """The best attempt of each text column, from one aggregate; one row reaches the driver."""
+    """The best attempt of each text column; each distinct text is parsed once, and one row a column reaches the driver."""
     if not columns:
         return {}
-    found = df.agg(*[best_reading(F.col(f"`{c}`"))["place"].alias(f"p{i}") for i, c in enumerate(columns)]).first()
-    return {c: -(found[i] or 0) for i, c in enumerate(columns)}
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").alias("value")) for i, c in enumerate(columns)])
+    counted = df.select(F.explode(cells).alias("cell")).groupBy("cell.i", "cell.value").agg(F.count("*").alias("n"))
+    found = counted.groupBy("i").agg(best_reading(F.col("value"), F.col("n"))["place"].alias("place")).collect()
+    places = {columns[r["i"]]: -(r["place"] or 0) for r in found}
+    return {c: places.get(c, 0) for c in columns}

@@ -216,10 +216,11 @@ def clean(
 ) -> DataFrame:
     """C17: the whole chain in the fixed order.
 
-    The bounds, the constant check and the result all read the deduplicated rows, so these are
-    written once to the shared folder instead of being shuffled again for each of them.
+    The roles, the date patterns, the modes, the medians and the filled rows all read the given rows, and the bounds, the
+    constant check and the result the deduplicated ones, so both are written once to the shared folder instead of being
+    computed again for each of them.
     """
-    df = normalize_column_names(df)
+    df = materialise(normalize_column_names(df), "given")
     roles = roles_by_column(df) if roles is None else {normal_name(c): r for c, r in roles.items()}
     typed = standardize_types(df, roles)
     filled = fill_missing(drop_missing_identifiers(typed, roles), roles)

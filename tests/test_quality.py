@@ -284,3 +284,24 @@ def test_a_column_of_dates_has_one_pattern(spark, pattern, text):
     assert len(dates) == 84 and all(r["expected"] == r["day"] for r in read.collect())
     span = profile.date_ranges(df, ["day"]).first()
     assert (str(span["min_date"])[:10], str(span["max_date"])[:10]) == ("2024-01-01", "2024-12-28")
+
+
+def test_given_rows_are_computed_once(spark, dirty6):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    n = dirty6.count()
+    clean.clean(dirty6.mapInArrow(counted, dirty6.schema)).collect()
+    assert seen.value == n
+
+
+def test_each_distinct_date_is_parsed_once(spark):
+    from orderlore.functions.dates import places_of
+
+    df = spark.createDataFrame([("3/4/2020", "2020-01-02")] * 5 + [("25/4/2020", None)] * 6, "a string, b string")
+    assert places_of(df, ["a", "b"]) == {"a": 2, "b": 0}
+    assert places_of(df.where("b = ''"), ["a", "b"]) == {"a": 0, "b": 0}
