@@ -2,14 +2,16 @@
 
 Texts are dealt into two halves by the smallest hash of their 3-grams of words, so copies and most near copies fall into the
 same half. The 3-grams of each half are counted in Spark, one model a language and half, and each text is scored by the model
-of the other half: a text's own words, and those of its copies, say nothing about it. Counts of lower orders are continuation counts. Distinct n-grams grow with the corpus;
-the model is a table with one row for each, and the documents' n-grams are joined to it by hash, so no task holds it whole.
+of the other half: a text's own words, and those of its copies, say nothing about it. Counts of lower orders are continuation counts.
+Distinct n-grams grow with the corpus, so no task holds all: texts are kept as blocks of word numbers (`word_blocks`), and
+each order is summed over the blocks as sorted arrays of hashes, range by range: 3-grams, then pairs as contexts of 3-grams
+and as their suffixes, then words. Each block then knows the counts of its own n-grams and scores its texts.
 Log probabilities are kept in whole millionths, so that sums don't depend on the order in which partitions arrive.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +19,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orderlore.llm import word_blocks
 from orderlore.llm.tables import stored
+from orderlore.llm.word_blocks import START as _START
+from orderlore.llm.word_blocks import brief_shuffles, exchange, grouped, read_block, with_blocks, write_blocks
 
 ORDER, MICRO, HALVES = 3, 1_000_000, (0, 1)
-_START = np.uint64(0x9E3779B97F4A7C15)
 _SLICE = 100_000
 _NAMES = ["h", "w", "half", "l", "a", "b", "c"]
 
@@ -35,14 +39,19 @@ def word_hashes(text: str, lang: str) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in text.encode().split()), np.uint64)
 
 
+def _mixed(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Hashes of 3-grams from the hashes of their words."""
+    mixed = a * np.uint64(0x9E3779B97F4A7C15) ^ b
+    mixed = (mixed ^ mixed >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9) ^ c
+    mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+    return mixed ^ mixed >> np.uint64(32)
+
+
 def half_of(padded: np.ndarray) -> int:
     """0 or 1 from the smallest hash of the 3-grams of a text, given the hashes of its words after two start symbols."""
     if len(padded) < 3:
         return 0
-    mixed = padded[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ padded[1:-1]
-    mixed = (mixed ^ mixed >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9) ^ padded[2:]
-    mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
-    return int((mixed ^ mixed >> np.uint64(32)).min() & np.uint64(1))
+    return int(_mixed(padded[:-2], padded[1:-1], padded[2:]).min() & np.uint64(1))
 
 
 def grams(docs: DataFrame) -> DataFrame:
@@ -68,58 +77,195 @@ def grams(docs: DataFrame) -> DataFrame:
     return text.mapInArrow(rows, ", ".join(f"{c} bigint" for c in _NAMES))
 
 
-def _discounts(counts: DataFrame) -> DataFrame:
-    """Discounts of counts 1, 2 and more for each language and half; 1/2, 1 and 3/2 where too few counts are small."""
-    tallies = counts.groupBy("l").agg(*[F.sum((F.col(f"n{half}") == k).cast("double")).alias(f"t{half}{k}") for half in HALVES for k in (1, 2, 3, 4)])
-    d = []
-    for half in HALVES:
-        t = [F.col(f"t{half}{k}") for k in (1, 2, 3, 4)]
-        y = t[0] / (t[0] + 2 * t[1])
-        for k in (1, 2, 3):
-            own = F.greatest(F.lit(0.05), F.least(F.lit(k - 0.05), k - (k + 1) * y * t[k] / t[k - 1]))
-            d.append(F.when(F.least(*t) == 0, F.lit(k / 2)).otherwise(own).alias(f"d{half}{k}"))
-    return stored(tallies.select("l", *d), "discounts")
-
-
-def _probable(counts: DataFrame, context: list[str], lower: DataFrame, on: list[str]) -> DataFrame:
-    """p0 and p1 of every n-gram: what its half leaves of its count, and its share of the probability of its suffix."""
-    own = counts.join(_discounts(counts), "l")
-    for half in HALVES:
-        n = F.col(f"n{half}")
-        cut = F.when(n == 0, 0.0).when(n == 1, F.col(f"d{half}1")).when(n == 2, F.col(f"d{half}2")).otherwise(F.col(f"d{half}3"))
-        own = own.withColumn(f"cut{half}", cut)
-    sums = [F.sum(f"{name}{half}").alias(f"{to}{half}") for half in HALVES for name, to in (("n", "total"), ("cut", "saved"))]
-    totals = own.groupBy("l", *context).agg(*sums)
-    own = own.join(totals, ["l", *context]).join(lower.withColumnsRenamed({"p0": "q0", "p1": "q1"}), ["l", *on])
-    p = []
-    for half in HALVES:
-        n, cut, total, saved, below = (F.col(f"{x}{half}") for x in ("n", "cut", "total", "saved", "q"))
-        p.append(F.when(total == 0, below).otherwise((n - cut + saved * below) / total).alias(f"p{half}"))
-    return own.select(*counts.columns, *p)
-
-
-def train(docs: DataFrame) -> DataFrame:
+_TALLY = ["l", "size", "half", "grams", "t1", "t2", "t3", "t4", "met", "total"]
+
+
+def _moments(counts: list[np.ndarray], first: np.ndarray, context: np.ndarray, size: int) -> list[np.ndarray]:
+    """For each half and context: n-grams met once, twice and more often, and by how much those exceed 3.
+
+    Only n-grams that this block is the first to have are added, so that each adds once over all blocks.
+    """
+    columns = []
+    for n in counts:
+        own, at = n[first], context[first]
+        columns += [np.bincount(at[own == 1], minlength=size), np.bincount(at[own == 2], minlength=size), np.bincount(at[own > 2], minlength=size)]
+        columns.append(np.bincount(at[own > 3], own[own > 3] - 3, size).astype(np.int64))
+    return columns
+
+
+def _continuations(counts: list[np.ndarray], first: np.ndarray, suffix: np.ndarray, size: int) -> list[np.ndarray]:
+    """For each half and suffix, the n-grams that end in it."""
+    return [np.bincount(suffix[first & (n > 0)], minlength=size) for n in counts]
+
+
+class _Block:
+    """N-grams of a block and, as far as answers go, their counts over all blocks.
+
+    `counts[k]` and `first[k]` belong to the distinct 3-grams, pairs and words (k = 0, 1, 2), `sums[k]` to their contexts.
+    """
+
+    def __init__(self, parts: list[np.ndarray], replies: list[list[np.ndarray]]):
+        hashes, ids, self.h, sizes, self.lang_of, self.langs = parts
+        self.sizes, self.lang_of = sizes.astype(np.int64), self.lang_of.astype(np.int64)
+        docs, n_langs = len(sizes), len(self.langs)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        doc = np.repeat(np.arange(docs), self.sizes)
+        # two start symbols before each text; the start symbols of the languages are the first numbers
+        word = np.arange(len(ids)) + 2 * doc + 2
+        padded = np.repeat(self.lang_of, self.sizes + 2)
+        padded[word] = ids.astype(np.int64) + n_langs
+        self.plain = np.concatenate([np.full(n_langs, _START), hashes])
+        own = np.concatenate([_START ^ self.langs, hashes])
+        p = self.plain[padded]
+        threes = _mixed(p[:-2], p[1:-1], p[2:])[word - 2]
+        self.half = (np.minimum.reduceat(threes, self.starts) & np.uint64(1)).astype(np.int64)
+        keys, self.gram, at = grouped(threes)
+        half = np.repeat(self.half, self.sizes)
+        self.words = (padded[word[at] - 2], padded[word[at] - 1], padded[word[at]])
+        self.lang = [self.lang_of[doc[at]]]
+        mine = [np.bincount(self.gram[half != k], minlength=len(keys)) for k in HALVES]
+        self.keys, self.columns = keys, mine
+        self.counts, self.first, self.sums = [], [], []
+        if not replies:
+            return
+        self._learn(mine, replies[0], None)
+        # a text of n words has n + 1 pairs, the first of two start symbols; the pair at a place ends with the next one
+        pair = np.delete(np.arange(len(padded)), np.cumsum(self.sizes + 2) - 1)
+        q = own[padded]
+        keys, twos, begin = grouped(_mixed(q[pair], q[pair + 1], np.uint64(0)))
+        begin = pair[begin]
+        self.context, self.suffix = [twos[(word - 2 - doc)[at]]], [twos[(word - 1 - doc)[at]]]
+        self.lang.append(self.lang_of[np.repeat(np.arange(docs), self.sizes + 2)[begin]])
+        self._ask(keys, 0)
+        if len(replies) < 2:
+            return
+        self._learn(self.columns, replies[1], padded[begin + 1] >= n_langs)
+        keys, ones, at = grouped(own)
+        self.context.append(ones[padded[begin]])
+        self.suffix.append(ones[padded[begin + 1]])
+        spoken = np.empty(len(own), np.int64)
+        spoken[padded] = np.repeat(self.lang_of, self.sizes + 2)
+        self.lang.append(spoken[at])
+        self._ask(keys, 1)
+        if len(replies) > 2:
+            self._learn(self.columns, replies[2], at >= n_langs)
+
+    def _ask(self, keys: np.ndarray, k: int) -> None:
+        given = self.counts[k], self.first[k]
+        self.keys, self.columns = keys, [*_moments(*given, self.context[k], len(keys)), *_continuations(*given, self.suffix[k], len(keys))]
+
+    def _learn(self, mine: list[np.ndarray], reply: list[np.ndarray], are_words: np.ndarray | None) -> None:
+        every = [a + b.astype(np.int64) for a, b in zip(mine, reply)]
+        first = reply[-1] > 0
+        self.counts.append(every[-2:])
+        self.first.append(first if are_words is None else first & are_words)
+        if len(every) > 2:
+            self.sums.append(every[:-2])
+
+    def tallies(self) -> Iterator[tuple]:
+        """Language, order, half, how many n-grams, how many are met 1, 2, 3, 4 and more times than none, and the sum of their counts."""
+        for k, (counts, first, lang) in enumerate(zip(self.counts, self.first, self.lang)):
+            for half in HALVES:
+                n, spoken = counts[half][first], lang[first]
+                size = len(self.langs)
+                tested = [np.bincount(spoken[x], minlength=size) for x in (n >= 0, n == 1, n == 2, n == 3, n == 4, n > 0)]
+                tested.append(np.bincount(spoken, n, size).astype(np.int64))
+                for i, code in enumerate(self.langs.view(np.int64).tolist()):
+                    yield code, ORDER - k, half, *(int(x[i]) for x in tested)
+
+    def probabilities(self, known: dict) -> list[np.ndarray]:
+        """For each half the probability of every distinct 3-gram's last word after the two before it."""
+        found = []
+        for half in HALVES:
+            below = None
+            for k in (2, 1, 0):
+                d = np.array([known[code, ORDER - k, half][0] for code in self.langs.view(np.int64).tolist()])[self.lang[k]].T
+                n = self.counts[k][half]
+                if k == 2:
+                    total, saved, below = (np.array([known[code, 1, half][x] for code in self.langs.view(np.int64).tolist()])[self.lang[2]] for x in (1, 2, 3))
+                else:
+                    once, twice, often, more = (x[self.context[k]] for x in self.sums[k][4 * half : 4 * half + 4])
+                    total, saved = once + 2 * twice + 3 * often + more, d[0] * once + d[1] * twice + d[2] * often
+                    below = below[self.suffix[k]]
+                cut = np.where(n == 0, 0.0, np.where(n == 1, d[0], np.where(n == 2, d[1], d[2])))
+                below = np.where(total == 0, below, (n - cut + saved * below) / np.maximum(total, 1))
+            found.append(below)
+        return found
+
+
+def _discounts(tallies: DataFrame) -> dict:
+    """By language, order and half: the discounts of counts 1, 2 and more (1/2, 1 and 3/2 where too few counts are small), the
+    sum of counts, what the discounts save of it, and the even probability of the language's words."""
+    names = [x for x in tallies.columns if x not in ("l", "size", "half")]
+    known = {}
+    for r in tallies.groupBy("l", "size", "half").agg(*[F.sum(x).alias(x) for x in names]).collect():
+        t = [r["t1"], r["t2"], r["t3"], r["t4"]]
+        d = [0.5, 1.0, 1.5]
+        if min(t) > 0:
+            y = t[0] / (t[0] + 2 * t[1])
+            d = [max(0.05, min(k - 0.05, k - (k + 1) * y * t[k] / t[k - 1])) for k in (1, 2, 3)]
+        saved = d[0] * t[0] + d[1] * t[1] + d[2] * (r["met"] - t[0] - t[1])
+        known[r["l"], r["size"], r["half"]] = (d, r["total"], saved, 1.0 / (r["grams"] + 1))
+    return known
+
+
+def _over_blocks(docs: DataFrame, words: int | None, rows: Callable, schema: str, rounds: int = word_blocks.ROUNDS) -> DataFrame:
+    """What `rows` makes of each block and the probabilities of its 3-grams, stored."""
+    with brief_shuffles(docs.sparkSession):
+        blocks, folder = write_blocks(docs, identity(), words or word_blocks.BLOCK)
+
+        def asks(name: str, replies: list[list[np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray]]:
+            block = _Block(read_block(folder, name), replies)
+            return block.keys, block.columns
+
+        def tallied(name: str, replies: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            found = list(zip(*_Block(read_block(folder, name), replies).tallies()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], _TALLY)
+
+        messages = [blocks]
+        for _ in range(ORDER):
+            messages = exchange(messages, asks, rounds)
+        known = _discounts(stored(with_blocks(messages, tallied, ", ".join(f"{x} bigint" for x in _TALLY)), "tallies"))
+
+        def finished(name: str, replies: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            block = _Block(read_block(folder, name), replies)
+            yield from rows(block, block.probabilities(known))
+
+        found = []
+        for turn in range(rounds):
+            some = [x.where(F.pmod(F.xxhash64("block"), F.lit(rounds)) == turn) for x in messages]
+            found.append(stored(with_blocks(some, finished, schema), "word-model"))
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every
+
+
+def train(docs: DataFrame, words: int | None = None) -> DataFrame:
     """l, a, b, c and for each half the probabilities p0, p1 of c after a and b under the counts of the other half.
 
-    Every 3-gram of either half has a row, so that no document's n-gram is without one.
+    Every 3-gram of either half has a row, so that no document's n-gram is without one. `words` is the size of blocks.
     """
-    other = {half: F.sum(F.when(F.col("half") == half, 0).otherwise(1)).alias(f"n{half}") for half in HALVES}
-    kinds = [F.sum((F.col(f"n{half}") > 0).cast("bigint")).alias(f"n{half}") for half in HALVES]
-    three = stored(grams(docs).groupBy("l", "a", "b", "c").agg(*other.values()), "grams")
-    two = stored(three.groupBy("l", "b", "c").agg(*kinds), "grams")
-    one = stored(two.groupBy("l", "c").agg(*kinds), "grams")
-    even = one.groupBy("l").agg((1.0 / (F.count("*") + 1)).alias("p0")).withColumn("p1", F.col("p0"))
-    words = stored(_probable(one, [], even, []).select("l", "c", "p0", "p1"), "grams")
-    pairs = stored(_probable(two, ["b"], words, ["c"]).select("l", "b", "c", "p0", "p1"), "grams")
-    return _probable(three, ["a", "b"], pairs, ["b", "c"]).select("l", "a", "b", "c", "p0", "p1")
-
-
-def scores(docs: DataFrame) -> DataFrame:
+    names = ["l", "a", "b", "c", "p0", "p1"]
+
+    def rows(block: _Block, p: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        first = block.first[0]
+        hashes = [block.plain[x[first]].view(np.int64) for x in block.words]
+        columns = [block.langs[block.lang[0][first]].view(np.int64), *hashes, *(x[first] for x in p)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
+
+    return _over_blocks(docs, words, rows, "l bigint, a bigint, b bigint, c bigint, p0 double, p1 double")
+
+
+def scores(docs: DataFrame, words: int | None = None) -> DataFrame:
     """h, w and log_perplexity, the mean negative log probability of a word, of every distinct text with words."""
-    gram = F.xxhash64("l", "a", "b", "c").alias("g")
-    logs = [F.round(-F.log(f"p{half}") * MICRO).cast("bigint").alias(f"m{half}") for half in HALVES]
-    model = train(docs).select(gram, *logs)
+
+    def rows(block: _Block, p: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        logs = [np.floor(-np.log(x) * MICRO + 0.5).astype(np.int64) for x in p]
+        own = np.where(np.repeat(block.half, block.sizes) == 0, logs[0][block.gram], logs[1][block.gram])
+        sums = np.add.reduceat(own, block.starts)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (block.h.view(np.int64), block.sizes, sums)], ["h", "w", "m"])
+
+    met = _over_blocks(docs, words, rows, "h bigint, w bigint, m bigint")
     # equal texts add up, words and logs alike
-    met = grams(docs).select("h", "w", "half", gram).join(model, "g")
-    own = F.when(F.col("half") == 0, F.col("m0")).otherwise(F.col("m1"))
-    return met.groupBy("h", "w").agg((F.sum(own) / F.count("*") / MICRO).alias("log_perplexity"))
+    return met.groupBy("h", "w").agg((F.sum("m") / F.sum("w") / MICRO).alias("log_perplexity"))

@@ -72,3 +72,55 @@ def test_bands_reject_bad_documents_and_keep_clean_ones(spark):
 def test_band_of_equal_texts(spark):
     text = " ".join(f"w{i}" for i in range(30))
     assert quality_rules.judge(frame(spark, [text] * 5)).where("kept").count() == 5
+
+
+def test_small_blocks_give_the_same_model_and_scores(spark):
+    """Counts are added over blocks, whatever the texts in each, copies and languages included."""
+    chosen = random.Random(8)
+    texts = [" ".join(chosen.choice("abcdefgh") for _ in range(chosen.randrange(12))) for _ in range(60)]
+    df = frame(spark, [*texts, *texts[:9], None]).withColumn("lang", F.when(F.col("doc_id") % 3 > 0, F.lit("xx")))
+    model = {words: {(r["l"], r["a"], r["b"], r["c"]): (r["p0"], r["p1"]) for r in word_model.train(df, words).collect()} for words in (7, 10_000)}
+    assert len(model[7]) == word_model.train(df, 7).count() > 100
+    assert model[7].keys() == model[10_000].keys() and all(model[7][g] == pytest.approx(p) for g, p in model[10_000].items())
+    found = {words: sorted(map(tuple, word_model.scores(df, words).collect())) for words in (7, 10_000)}
+    assert found[7] == [(h, w, pytest.approx(p, abs=2e-6)) for h, w, p in found[10_000]]
+    grams = word_model.grams(df).join(word_model.train(df, 7), ["l", "a", "b", "c"])
+    mean = grams.groupBy("h", "w").agg(F.avg(-F.log(F.when(F.col("half") == 0, F.col("p0")).otherwise(F.col("p1")))))
+    assert found[7] == [(h, w, pytest.approx(p, abs=2e-6)) for h, w, p in sorted(map(tuple, mean.collect()))]
+    assert word_model.scores(df.limit(0)).collect() == []
+
+
+def test_words_move_as_packed_arrays(spark):
+    """Blocks and all answers take fewer than eight bytes a word, where a row for each word took 56, and requests few rows."""
+    from orderlore.llm import word_blocks
+
+    chosen = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    df = frame(spark, [" ".join(chosen.choices(words, k=400)) for _ in range(200)]).repartition(2)
+    blocks, folder = word_blocks.write_blocks(df, word_model.identity())
+    files = sum((spark._jvm.java.io.File(f"{folder}/{r['block']}").length()) for r in blocks.collect())
+
+    def asks(name, replies):
+        block = word_model._Block(word_blocks.read_block(folder, name), replies)
+        return block.keys, block.columns
+
+    messages = [blocks]
+    for _ in range(3):
+        messages = word_blocks.exchange(messages, asks)
+    assert files + sum(m.agg(F.sum(F.length("payload"))).first()[0] for m in messages) < 8 * 80_000
+    assert all(m.count() <= blocks.count() * 4 * word_blocks.ROUNDS for m in messages)
+
+
+def test_packed_columns_and_groups():
+    import numpy as np
+
+    from orderlore.llm import word_blocks
+
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**64 - 1, 900, np.uint64, endpoint=True))
+    columns = [keys, np.arange(900), np.zeros(900, int), np.full(900, 2**40)]
+    for keyed in (False, True):
+        assert all((a == b).all() for a, b in zip(columns, word_blocks.unpack(word_blocks.pack(*columns, keyed=keyed), keyed)))
+    assert [len(x) for x in word_blocks.unpack(word_blocks.pack(keys[:0], keys[:0]))] == [0, 0]
+    close = np.array([5, 2, 5, 1 << 40, 3, 2, (1 << 40) + 1], np.uint64)  # equal in their upper bits
+    distinct, places, first = word_blocks.grouped(close)
+    assert distinct.tolist() == [2, 3, 5, 1 << 40, (1 << 40) + 1] and (distinct[places] == close).all() and first.tolist() == [1, 4, 0, 3, 6]
