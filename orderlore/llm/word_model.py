@@ -77,9 +77,6 @@ def grams(docs: DataFrame) -> DataFrame:
     return text.mapInArrow(rows, ", ".join(f"{c} bigint" for c in _NAMES))
 
 
-_TALLY = ["l", "size", "half", "grams", "t1", "t2", "t3", "t4", "met", "total"]
-
-
 def _moments(counts: list[np.ndarray], first: np.ndarray, context: np.ndarray, size: int) -> list[np.ndarray]:
     """For each half and context: n-grams met once, twice and more often, and by how much those exceed 3.
 
@@ -101,77 +98,80 @@ def _continuations(counts: list[np.ndarray], first: np.ndarray, suffix: np.ndarr
 class _Block:
     """N-grams of a block and, as far as answers go, their counts over all blocks.
 
-    `counts[k]` and `first[k]` belong to the distinct 3-grams, pairs and words (k = 0, 1, 2), `sums[k]` to their contexts.
+    `counts[k]` belongs to the distinct 3-grams, pairs and words (k = 0, 1, 2), `sums` to the contexts of 3-grams and pairs;
+    `keys` and `columns` are what to ask next.
     """
 
-    def __init__(self, parts: list[np.ndarray], replies: list[list[np.ndarray]]):
-        hashes, ids, self.h, sizes, self.lang_of, self.langs = parts
-        self.sizes, self.lang_of = sizes.astype(np.int64), self.lang_of.astype(np.int64)
-        docs, n_langs = len(sizes), len(self.langs)
+    def __init__(self, parts: list[np.ndarray], replies: list[list[np.ndarray]], codes: np.ndarray):
+        hashes, ids, self.h, sizes, langs, own_codes = parts
+        langs = np.searchsorted(codes, own_codes)[langs.astype(np.int64)].astype(np.int32)
+        self.sizes, self.codes = sizes.astype(np.int64), codes
         self.starts = np.cumsum(self.sizes) - self.sizes
-        doc = np.repeat(np.arange(docs), self.sizes)
+        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), self.sizes)
         # two start symbols before each text; the start symbols of the languages are the first numbers
-        word = np.arange(len(ids)) + 2 * doc + 2
-        padded = np.repeat(self.lang_of, self.sizes + 2)
-        padded[word] = ids.astype(np.int64) + n_langs
-        self.plain = np.concatenate([np.full(n_langs, _START), hashes])
-        own = np.concatenate([_START ^ self.langs, hashes])
+        word = np.arange(2, len(ids) + 2, dtype=np.int32) + 2 * doc
+        lang_at = np.repeat(langs, self.sizes + 2)
+        padded = lang_at.copy()
+        padded[word] = ids.astype(np.int32) + len(codes)
+        self.plain = np.concatenate([np.full(len(codes), _START), hashes])
         p = self.plain[padded]
         threes = _mixed(p[:-2], p[1:-1], p[2:])[word - 2]
+        del p, ids
         self.half = (np.minimum.reduceat(threes, self.starts) & np.uint64(1)).astype(np.int64)
-        keys, self.gram, at = grouped(threes)
+        self.keys, self.gram, at = grouped(threes)
+        del threes
         half = np.repeat(self.half, self.sizes)
-        self.words = (padded[word[at] - 2], padded[word[at] - 1], padded[word[at]])
-        self.lang = [self.lang_of[doc[at]]]
-        mine = [np.bincount(self.gram[half != k], minlength=len(keys)) for k in HALVES]
-        self.keys, self.columns = keys, mine
-        self.counts, self.first, self.sums = [], [], []
+        mine = [np.bincount(self.gram[half != k], minlength=len(self.keys)) for k in HALVES]
+        del half
+        self.ends, doc = word[at], doc[at]
+        del word, at
+        self.padded, self.lang = padded, [lang_at[self.ends]]
+        self.columns = [*mine, self.lang[0]]
+        self.counts, self.first, self.sums, self.context, self.suffix = [], [], [], [], []
         if not replies:
             return
-        self._learn(mine, replies[0], None)
+        self._learn(replies[0])
         # a text of n words has n + 1 pairs, the first of two start symbols; the pair at a place ends with the next one
-        pair = np.delete(np.arange(len(padded)), np.cumsum(self.sizes + 2) - 1)
+        pair = np.delete(np.arange(len(padded), dtype=np.int32), np.cumsum(self.sizes + 2) - 1)
+        own = np.concatenate([_START ^ codes, hashes])
         q = own[padded]
-        keys, twos, begin = grouped(_mixed(q[pair], q[pair + 1], np.uint64(0)))
+        keys, twos, begin = grouped(_mixed(q[:-1], q[1:], np.uint64(0))[pair])
+        del q
         begin = pair[begin]
-        self.context, self.suffix = [twos[(word - 2 - doc)[at]]], [twos[(word - 1 - doc)[at]]]
-        self.lang.append(self.lang_of[np.repeat(np.arange(docs), self.sizes + 2)[begin]])
-        self._ask(keys, 0)
+        self.context, self.suffix = [twos[self.ends - 2 - doc]], [twos[self.ends - 1 - doc]]
+        del twos, pair, doc
+        self.lang.append(lang_at[begin])
+        self._ask(keys, padded[begin + 1] >= len(codes))
         if len(replies) < 2:
             return
-        self._learn(self.columns, replies[1], padded[begin + 1] >= n_langs)
+        self._learn(replies[1])
         keys, ones, at = grouped(own)
         self.context.append(ones[padded[begin]])
         self.suffix.append(ones[padded[begin + 1]])
-        spoken = np.empty(len(own), np.int64)
-        spoken[padded] = np.repeat(self.lang_of, self.sizes + 2)
+        spoken = np.zeros(len(own), np.int32)
+        spoken[padded] = lang_at
         self.lang.append(spoken[at])
-        self._ask(keys, 1)
+        self._ask(keys, at >= len(codes))
         if len(replies) > 2:
-            self._learn(self.columns, replies[2], at >= n_langs)
+            self._learn(replies[2])
 
-    def _ask(self, keys: np.ndarray, k: int) -> None:
+    def _ask(self, keys: np.ndarray, are_words: np.ndarray) -> None:
+        k = len(self.counts) - 1
         given = self.counts[k], self.first[k]
-        self.keys, self.columns = keys, [*_moments(*given, self.context[k], len(keys)), *_continuations(*given, self.suffix[k], len(keys))]
+        self.keys = keys
+        self.columns = [*_moments(*given, self.context[k], len(keys)), *_continuations(*given, self.suffix[k], len(keys)), np.where(are_words, self.lang[-1], len(self.codes))]
 
-    def _learn(self, mine: list[np.ndarray], reply: list[np.ndarray], are_words: np.ndarray | None) -> None:
-        every = [a + b.astype(np.int64) for a, b in zip(mine, reply)]
-        first = reply[-1] > 0
+    def _learn(self, reply: list[np.ndarray]) -> None:
+        """`reply` without the sums over contexts is enough for the next request."""
+        every = [a + b.astype(np.int64) for a, b in zip(self.columns[-len(reply) : -1], reply)]
         self.counts.append(every[-2:])
-        self.first.append(first if are_words is None else first & are_words)
+        self.first.append(reply[-1] > 0)
         if len(every) > 2:
             self.sums.append(every[:-2])
 
-    def tallies(self) -> Iterator[tuple]:
-        """Language, order, half, how many n-grams, how many are met 1, 2, 3, 4 and more times than none, and the sum of their counts."""
-        for k, (counts, first, lang) in enumerate(zip(self.counts, self.first, self.lang)):
-            for half in HALVES:
-                n, spoken = counts[half][first], lang[first]
-                size = len(self.langs)
-                tested = [np.bincount(spoken[x], minlength=size) for x in (n >= 0, n == 1, n == 2, n == 3, n == 4, n > 0)]
-                tested.append(np.bincount(spoken, n, size).astype(np.int64))
-                for i, code in enumerate(self.langs.view(np.int64).tolist()):
-                    yield code, ORDER - k, half, *(int(x[i]) for x in tested)
+    def words(self, places: np.ndarray) -> list[np.ndarray]:
+        """Hashes of the three words of some of the distinct 3-grams."""
+        return [self.plain[self.padded[self.ends[places] - back]] for back in (2, 1, 0)]
 
     def probabilities(self, known: dict) -> list[np.ndarray]:
         """For each half the probability of every distinct 3-gram's last word after the two before it."""
@@ -179,10 +179,11 @@ class _Block:
         for half in HALVES:
             below = None
             for k in (2, 1, 0):
-                d = np.array([known[code, ORDER - k, half][0] for code in self.langs.view(np.int64).tolist()])[self.lang[k]].T
-                n = self.counts[k][half]
+                of_lang = [known[x, ORDER - k, half] for x in range(len(self.codes))]
+                lang, n = self.lang[k], self.counts[k][half]
+                d = [np.array([x[0][i] for x in of_lang])[lang] for i in range(3)]
                 if k == 2:
-                    total, saved, below = (np.array([known[code, 1, half][x] for code in self.langs.view(np.int64).tolist()])[self.lang[2]] for x in (1, 2, 3))
+                    total, saved, below = (np.array([x[i] for x in of_lang])[lang] for i in (1, 2, 3))
                 else:
                     once, twice, often, more = (x[self.context[k]] for x in self.sums[k][4 * half : 4 * half + 4])
                     total, saved = once + 2 * twice + 3 * often + more, d[0] * once + d[1] * twice + d[2] * often
@@ -193,12 +194,25 @@ class _Block:
         return found
 
 
+_TALLY = ["l", "size", "half", "grams", "t1", "t2", "t3", "t4", "met", "total"]
+
+
 def _discounts(tallies: DataFrame) -> dict:
-    """By language, order and half: the discounts of counts 1, 2 and more (1/2, 1 and 3/2 where too few counts are small), the
-    sum of counts, what the discounts save of it, and the even probability of the language's words."""
-    names = [x for x in tallies.columns if x not in ("l", "size", "half")]
+    """By number of the language, order and half: the discounts of counts 1, 2 and more (1/2, 1 and 3/2 where too few counts are
+    small), the sum of counts, what the discounts save of it, and the even probability of the language's words."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for level, payload in zip(batch.column("level").to_pylist(), batch.column("payload").to_pylist()):
+                columns, size = word_blocks.unpack(payload), ORDER + 1 + word_blocks.TALLIES - level
+                for half in HALVES:
+                    own = [x.astype(np.int64) for x in columns[7 * half : 7 * half + 7]]
+                    kinds = len(own[0])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.arange(kinds), np.full(kinds, size), np.full(kinds, half), *own)], _TALLY)
+
     known = {}
-    for r in tallies.groupBy("l", "size", "half").agg(*[F.sum(x).alias(x) for x in names]).collect():
+    summed = tallies.mapInArrow(rows, ", ".join(f"{x} bigint" for x in _TALLY)).groupBy(*_TALLY[:3]).agg(*[F.sum(x).alias(x) for x in _TALLY[3:]])
+    for r in summed.collect():
         t = [r["t1"], r["t2"], r["t3"], r["t4"]]
         d = [0.5, 1.0, 1.5]
         if min(t) > 0:
@@ -213,27 +227,27 @@ def _over_blocks(docs: DataFrame, words: int | None, rows: Callable, schema: str
     """What `rows` makes of each block and the probabilities of its 3-grams, stored."""
     with brief_shuffles(docs.sparkSession):
         blocks, folder = write_blocks(docs, identity(), words or word_blocks.BLOCK)
+        # one small row for each set of languages
+        codes = np.unique(np.concatenate([np.zeros(0, np.uint64), *(word_blocks.unpack(bytes(r["payload"]))[0] for r in blocks.select("payload").distinct().collect())]))
 
         def asks(name: str, replies: list[list[np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray]]:
-            block = _Block(read_block(folder, name), replies)
+            block = _Block(read_block(folder, name), replies, codes)
             return block.keys, block.columns
 
-        def tallied(name: str, replies: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-            found = list(zip(*_Block(read_block(folder, name), replies).tallies()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], _TALLY)
-
-        messages = [blocks]
-        for _ in range(ORDER):
-            messages = exchange(messages, asks, rounds)
-        known = _discounts(stored(with_blocks(messages, tallied, ", ".join(f"{x} bigint" for x in _TALLY)), "tallies"))
+        messages, sums, tallies = [blocks], [], []
+        for level in range(ORDER):
+            # words are few, and one more round would count all n-grams again
+            counts, of_contexts, told = exchange(messages, asks, len(codes), rounds if level < ORDER - 1 else 1)
+            messages, sums, tallies = [*messages, counts], [*sums, of_contexts], [*tallies, told]
+        known = _discounts(tallies[0].unionByName(tallies[1]).unionByName(tallies[2]))
 
         def finished(name: str, replies: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-            block = _Block(read_block(folder, name), replies)
+            block = _Block(read_block(folder, name), replies, codes)
             yield from rows(block, block.probabilities(known))
 
         found = []
         for turn in range(rounds):
-            some = [x.where(F.pmod(F.xxhash64("block"), F.lit(rounds)) == turn) for x in messages]
+            some = [x.where(F.pmod(F.xxhash64("block"), F.lit(rounds)) == turn) for x in [*messages, *sums]]
             found.append(stored(with_blocks(some, finished, schema), "word-model"))
     every = found[0]
     for more in found[1:]:
@@ -250,8 +264,7 @@ def train(docs: DataFrame, words: int | None = None) -> DataFrame:
 
     def rows(block: _Block, p: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         first = block.first[0]
-        hashes = [block.plain[x[first]].view(np.int64) for x in block.words]
-        columns = [block.langs[block.lang[0][first]].view(np.int64), *hashes, *(x[first] for x in p)]
+        columns = [block.codes[block.lang[0][first]].view(np.int64), *(x.view(np.int64) for x in block.words(first)), *(x[first] for x in p)]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
 
     return _over_blocks(docs, words, rows, "l bigint, a bigint, b bigint, c bigint, p0 double, p1 double")

@@ -100,15 +100,18 @@ def test_words_move_as_packed_arrays(spark):
     blocks, folder = word_blocks.write_blocks(df, word_model.identity())
     files = sum((spark._jvm.java.io.File(f"{folder}/{r['block']}").length()) for r in blocks.collect())
 
+    codes = word_blocks.unpack(bytes(blocks.first()["payload"]))[0]
+
     def asks(name, replies):
-        block = word_model._Block(word_blocks.read_block(folder, name), replies)
+        block = word_model._Block(word_blocks.read_block(folder, name), replies, codes)
         return block.keys, block.columns
 
-    messages = [blocks]
+    messages, sums = [blocks], []
     for _ in range(3):
-        messages = word_blocks.exchange(messages, asks)
-    assert files + sum(m.agg(F.sum(F.length("payload"))).first()[0] for m in messages) < 8 * 80_000
-    assert all(m.count() <= blocks.count() * 4 * word_blocks.ROUNDS for m in messages)
+        counts, of_contexts, _ = word_blocks.exchange(messages, asks, 1)
+        messages, sums = [*messages, counts], [*sums, of_contexts]
+    assert files + sum(m.agg(F.sum(F.length("payload"))).first()[0] or 0 for m in [*messages, *sums]) < 8 * 80_000
+    assert all(m.count() <= blocks.count() * 4 * word_blocks.ROUNDS for m in [*messages, *sums])
 
 
 def test_packed_columns_and_groups():
