@@ -12,6 +12,7 @@ Log probabilities are kept in whole millionths, so that sums don't depend on the
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 from orderlore.llm import word_blocks
 from orderlore.llm.tables import stored
 from orderlore.llm.word_blocks import START as _START
-from orderlore.llm.word_blocks import brief_shuffles, exchange, grouped, read_block, with_blocks, write_blocks
+from orderlore.llm.word_blocks import brief_shuffles, drop_folder, exchange, grouped, language_groups, of_languages, read_block, with_blocks, write_blocks
+from orderlore.session import fresh_path
 
 ORDER, MICRO, HALVES = 3, 1_000_000, (0, 1)
 _SLICE = 100_000
@@ -102,18 +104,16 @@ class _Block:
     `keys` and `columns` are what to ask next.
     """
 
-    def __init__(self, parts: list[np.ndarray], replies: list[list[np.ndarray]], codes: np.ndarray):
-        hashes, ids, self.h, sizes, langs, own_codes = parts
-        langs = np.searchsorted(codes, own_codes)[langs.astype(np.int64)].astype(np.int32)
-        self.sizes, self.codes = sizes.astype(np.int64), codes
+    def __init__(self, read: tuple[int, list[np.ndarray]], replies: list[list[np.ndarray]], codes: np.ndarray):
+        code, (hashes, ids, self.h, sizes) = read
+        self.codes, self.spoken, self.sizes = codes, int(np.searchsorted(codes, np.uint64(code))), sizes.astype(np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         doc = np.repeat(np.arange(len(sizes), dtype=np.int32), self.sizes)
-        # two start symbols before each text; the start symbols of the languages are the first numbers
+        # two start symbols, number 0, before each text
         word = np.arange(2, len(ids) + 2, dtype=np.int32) + 2 * doc
-        lang_at = np.repeat(langs, self.sizes + 2)
-        padded = lang_at.copy()
-        padded[word] = ids.astype(np.int32) + len(codes)
-        self.plain = np.concatenate([np.full(len(codes), _START), hashes])
+        padded = np.zeros(len(ids) + 2 * len(sizes), np.int32)
+        padded[word] = ids.astype(np.int32) + 1
+        self.plain = np.concatenate([[_START], hashes])
         p = self.plain[padded]
         threes = _mixed(p[:-2], p[1:-1], p[2:])[word - 2]
         del p, ids
@@ -125,33 +125,29 @@ class _Block:
         del half
         self.ends, doc = word[at], doc[at]
         del word, at
-        self.padded, self.lang = padded, [lang_at[self.ends]]
-        self.columns = [*mine, self.lang[0]]
+        self.padded = padded
+        self.columns = [*mine, np.full(len(self.keys), self.spoken)]
         self.counts, self.first, self.sums, self.context, self.suffix = [], [], [], [], []
         if not replies:
             return
         self._learn(replies[0])
         # a text of n words has n + 1 pairs, the first of two start symbols; the pair at a place ends with the next one
         pair = np.delete(np.arange(len(padded), dtype=np.int32), np.cumsum(self.sizes + 2) - 1)
-        own = np.concatenate([_START ^ codes, hashes])
+        own = np.concatenate([[_START ^ np.uint64(code)], hashes])
         q = own[padded]
         keys, twos, begin = grouped(_mixed(q[:-1], q[1:], np.uint64(0))[pair])
         del q
         begin = pair[begin]
         self.context, self.suffix = [twos[self.ends - 2 - doc]], [twos[self.ends - 1 - doc]]
         del twos, pair, doc
-        self.lang.append(lang_at[begin])
-        self._ask(keys, padded[begin + 1] >= len(codes))
+        self._ask(keys, padded[begin + 1] > 0)
         if len(replies) < 2:
             return
         self._learn(replies[1])
         keys, ones, at = grouped(own)
         self.context.append(ones[padded[begin]])
         self.suffix.append(ones[padded[begin + 1]])
-        spoken = np.zeros(len(own), np.int32)
-        spoken[padded] = lang_at
-        self.lang.append(spoken[at])
-        self._ask(keys, at >= len(codes))
+        self._ask(keys, at > 0)
         if len(replies) > 2:
             self._learn(replies[2])
 
@@ -159,7 +155,7 @@ class _Block:
         k = len(self.counts) - 1
         given = self.counts[k], self.first[k]
         self.keys = keys
-        self.columns = [*_moments(*given, self.context[k], len(keys)), *_continuations(*given, self.suffix[k], len(keys)), np.where(are_words, self.lang[-1], len(self.codes))]
+        self.columns = [*_moments(*given, self.context[k], len(keys)), *_continuations(*given, self.suffix[k], len(keys)), np.where(are_words, self.spoken, len(self.codes))]
 
     def _learn(self, reply: list[np.ndarray]) -> None:
         """`reply` without the sums over contexts is enough for the next request."""
@@ -179,11 +175,10 @@ class _Block:
         for half in HALVES:
             below = None
             for k in (2, 1, 0):
-                of_lang = [known[x, ORDER - k, half] for x in range(len(self.codes))]
-                lang, n = self.lang[k], self.counts[k][half]
-                d = [np.array([x[0][i] for x in of_lang])[lang] for i in range(3)]
+                n = self.counts[k][half]
+                d, *whole = known[self.spoken, ORDER - k, half]
                 if k == 2:
-                    total, saved, below = (np.array([x[i] for x in of_lang])[lang] for i in (1, 2, 3))
+                    total, saved, below = whole
                 else:
                     once, twice, often, more = (x[self.context[k]] for x in self.sums[k][4 * half : 4 * half + 4])
                     total, saved = once + 2 * twice + 3 * often + more, d[0] * once + d[1] * twice + d[2] * often
@@ -224,35 +219,37 @@ def _discounts(tallies: DataFrame) -> dict:
 
 
 def _over_blocks(docs: DataFrame, words: int | None, rows: Callable, schema: str, rounds: int = word_blocks.ROUNDS) -> DataFrame:
-    """What `rows` makes of each block and the probabilities of its 3-grams, stored."""
-    with brief_shuffles(docs.sparkSession):
-        blocks, folder = write_blocks(docs, identity(), words or word_blocks.BLOCK)
-        # one small row for each set of languages
-        codes = np.unique(np.concatenate([np.zeros(0, np.uint64), *(word_blocks.unpack(bytes(r["payload"]))[0] for r in blocks.select("payload").distinct().collect())]))
-
-        def asks(name: str, replies: list[list[np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray]]:
-            block = _Block(read_block(folder, name), replies, codes)
-            return block.keys, block.columns
-
-        messages, sums, tallies = [blocks], [], []
-        for level in range(ORDER):
-            # words are few, and one more round would count all n-grams again
-            counts, of_contexts, told = exchange(messages, asks, len(codes), rounds if level < ORDER - 1 else 1)
-            messages, sums, tallies = [*messages, counts], [*sums, of_contexts], [*tallies, told]
-        known = _discounts(tallies[0].unionByName(tallies[1]).unionByName(tallies[2]))
-
-        def finished(name: str, replies: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-            block = _Block(read_block(folder, name), replies, codes)
-            yield from rows(block, block.probabilities(known))
+    """What `rows` makes of each block and the probabilities of its 3-grams, stored.
 
-        found = []
-        for turn in range(rounds):
-            some = [x.where(F.pmod(F.xxhash64("block"), F.lit(rounds)) == turn) for x in [*messages, *sums]]
-            found.append(stored(with_blocks(some, finished, schema), "word-model"))
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    return every
+    Languages have nothing in common, so the largest is worked on after all others, and what a group of them needs goes with it.
+    """
+    spark, found = docs.sparkSession, []
+    with brief_shuffles(spark):
+        every, folder = write_blocks(docs, identity(), words or word_blocks.BLOCK)
+        for codes in language_groups(every):
+
+            def asks(name: str, replies: list[list[np.ndarray]], codes=codes) -> tuple[np.ndarray, list[np.ndarray]]:
+                block = _Block(read_block(folder, name), replies, codes)
+                return block.keys, block.columns
+
+            answers = fresh_path(spark, "word-sums")
+            messages, sums, tallies = [of_languages(every, codes)], [], []
+            for level in range(ORDER):
+                # words are few, and one more round would count all n-grams again
+                counts, of_contexts, told = exchange(messages, asks, len(codes), answers, rounds if level < ORDER - 1 else 1)
+                messages, sums, tallies = [*messages, counts], [*sums, of_contexts], [*tallies, told]
+            known = _discounts(tallies[0].unionByName(tallies[1]).unionByName(tallies[2]))
+
+            def finished(name: str, replies: list[list[np.ndarray]], codes=codes, known=known) -> Iterator[pa.RecordBatch]:
+                block = _Block(read_block(folder, name), replies, codes)
+                yield from rows(block, block.probabilities(known))
+
+            for turn in range(rounds):
+                some = [x.where(F.pmod(F.xxhash64("block"), F.lit(rounds)) == turn) for x in [*messages, *sums]]
+                found.append(stored(with_blocks(some, finished, schema), "word-model"))
+            for path in (answers, *(f"{folder}/{x:016x}" for x in codes.tolist())):
+                drop_folder(path)
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
 
 
 def train(docs: DataFrame, words: int | None = None) -> DataFrame:
@@ -264,7 +261,7 @@ def train(docs: DataFrame, words: int | None = None) -> DataFrame:
 
     def rows(block: _Block, p: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         first = block.first[0]
-        columns = [block.codes[block.lang[0][first]].view(np.int64), *(x.view(np.int64) for x in block.words(first)), *(x[first] for x in p)]
+        columns = [np.full(int(first.sum()), block.codes[block.spoken]).view(np.int64), *(x.view(np.int64) for x in block.words(first)), *(x[first] for x in p)]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
 
     return _over_blocks(docs, words, rows, "l bigint, a bigint, b bigint, c bigint, p0 double, p1 double")

@@ -100,7 +100,7 @@ def test_words_move_as_packed_arrays(spark):
     blocks, folder = word_blocks.write_blocks(df, word_model.identity())
     files = sum((spark._jvm.java.io.File(f"{folder}/{r['block']}").length()) for r in blocks.collect())
 
-    codes = word_blocks.unpack(bytes(blocks.first()["payload"]))[0]
+    (codes,) = word_blocks.language_groups(blocks)
 
     def asks(name, replies):
         block = word_model._Block(word_blocks.read_block(folder, name), replies, codes)
@@ -108,7 +108,7 @@ def test_words_move_as_packed_arrays(spark):
 
     messages, sums = [blocks], []
     for _ in range(3):
-        counts, of_contexts, _ = word_blocks.exchange(messages, asks, 1)
+        counts, of_contexts, _ = word_blocks.exchange(messages, asks, 1, f"{folder}/answers")
         messages, sums = [*messages, counts], [*sums, of_contexts]
     assert files + sum(m.agg(F.sum(F.length("payload"))).first()[0] or 0 for m in [*messages, *sums]) < 8 * 80_000
     assert all(m.count() <= blocks.count() * 4 * word_blocks.ROUNDS for m in [*messages, *sums])
