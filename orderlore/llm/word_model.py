@@ -98,39 +98,37 @@ def _continuations(counts: list[np.ndarray], first: np.ndarray, suffix: np.ndarr
 
 
 class _Block:
-    """N-grams of a block and, as far as answers go, their counts over all blocks.
+    """N-grams of a block: `keys` and `columns` are what to ask next, `replies` what all blocks know by level.
 
-    `counts[k]` belongs to the distinct 3-grams, pairs and words (k = 0, 1, 2), `sums` to the contexts of 3-grams and pairs;
-    `keys` and `columns` are what to ask next.
+    Levels 1, 2 and 3 are the distinct 3-grams, pairs and words. Pairs are asked for with the answers of level 1, words with
+    those of level 2; with all of them, every 3-gram has its probability.
     """
 
-    def __init__(self, read: tuple[int, list[np.ndarray]], replies: list[list[np.ndarray]], codes: np.ndarray):
+    def __init__(self, read: tuple[int, list[np.ndarray]], replies: dict[int, list[np.ndarray]], codes: np.ndarray):
         code, (hashes, ids, self.h, sizes) = read
-        self.codes, self.spoken, self.sizes = codes, int(np.searchsorted(codes, np.uint64(code))), sizes.astype(np.int64)
+        self.codes, self.spoken, self.sizes, self.replies = codes, int(np.searchsorted(codes, np.uint64(code))), sizes.astype(np.int64), replies
         self.starts = np.cumsum(self.sizes) - self.sizes
+        self.h = self.h.astype(np.uint64)
         doc = np.repeat(np.arange(len(sizes), dtype=np.int32), self.sizes)
         # two start symbols, number 0, before each text
         word = np.arange(2, len(ids) + 2, dtype=np.int32) + 2 * doc
-        padded = np.zeros(len(ids) + 2 * len(sizes), np.int32)
+        padded = self.padded = np.zeros(len(ids) + 2 * len(sizes), np.int32)
         padded[word] = ids.astype(np.int32) + 1
-        self.plain = np.concatenate([[_START], hashes])
-        p = self.plain[padded]
-        threes = _mixed(p[:-2], p[1:-1], p[2:])[word - 2]
-        del p, ids
-        self.half = (np.minimum.reduceat(threes, self.starts) & np.uint64(1)).astype(np.int64)
-        self.keys, self.gram, at = grouped(threes)
-        del threes
-        half = np.repeat(self.half, self.sizes)
-        mine = [np.bincount(self.gram[half != k], minlength=len(self.keys)) for k in HALVES]
-        del half
-        self.ends, doc = word[at], doc[at]
-        del word, at
-        self.padded = padded
-        self.columns = [*mine, np.full(len(self.keys), self.spoken)]
-        self.counts, self.first, self.sums, self.context, self.suffix = [], [], [], [], []
-        if not replies:
+        self.plain, self.context, self.suffix = np.concatenate([[_START], hashes]), {}, {}
+        levels = set(replies)
+        if levels != {2}:
+            p = self.plain[padded]
+            threes = _mixed(p[:-2], p[1:-1], p[2:])[word - 2]
+            del p
+            self.half = (np.minimum.reduceat(threes, self.starts) & np.uint64(1)).astype(np.int64)
+            self.keys, self.gram, at = grouped(threes)
+            del threes
+            self.ends, ended = word[at], doc[at]
+        del word, doc
+        if not levels:
+            half = np.repeat(self.half, self.sizes)
+            self.columns = [*(np.bincount(self.gram[half != k], minlength=len(self.keys)) for k in HALVES), np.full(len(self.keys), self.spoken, np.uint32)]
             return
-        self._learn(replies[0])
         # a text of n words has n + 1 pairs, the first of two start symbols; the pair at a place ends with the next one
         pair = np.delete(np.arange(len(padded), dtype=np.int32), np.cumsum(self.sizes + 2) - 1)
         own = np.concatenate([[_START ^ np.uint64(code)], hashes])
@@ -138,32 +136,23 @@ class _Block:
         keys, twos, begin = grouped(_mixed(q[:-1], q[1:], np.uint64(0))[pair])
         del q
         begin = pair[begin]
-        self.context, self.suffix = [twos[self.ends - 2 - doc]], [twos[self.ends - 1 - doc]]
-        del twos, pair, doc
-        self._ask(keys, padded[begin + 1] > 0)
-        if len(replies) < 2:
+        if 1 in levels:
+            self.context[1], self.suffix[1] = twos[self.ends - 2 - ended], twos[self.ends - 1 - ended]
+        del twos, pair
+        if levels == {1}:
+            self._ask(1, keys, padded[begin + 1] > 0)
             return
-        self._learn(replies[1])
         keys, ones, at = grouped(own)
-        self.context.append(ones[padded[begin]])
-        self.suffix.append(ones[padded[begin + 1]])
-        self._ask(keys, at > 0)
-        if len(replies) > 2:
-            self._learn(replies[2])
-
-    def _ask(self, keys: np.ndarray, are_words: np.ndarray) -> None:
-        k = len(self.counts) - 1
-        given = self.counts[k], self.first[k]
+        self.context[2], self.suffix[2] = ones[padded[begin]], ones[padded[begin + 1]]
+        if levels == {2}:
+            self._ask(2, keys, at > 0)
+
+    def _ask(self, level: int, keys: np.ndarray, are_words: np.ndarray) -> None:
+        *counts, first = self.replies[level][-3:]
+        counts, first = [n.astype(np.int64) for n in counts], first > 0
+        moments = _moments(counts, first, self.context[level], len(keys))
         self.keys = keys
-        self.columns = [*_moments(*given, self.context[k], len(keys)), *_continuations(*given, self.suffix[k], len(keys)), np.where(are_words, self.spoken, len(self.codes))]
-
-    def _learn(self, reply: list[np.ndarray]) -> None:
-        """`reply` without the sums over contexts is enough for the next request."""
-        every = [a + b.astype(np.int64) for a, b in zip(self.columns[-len(reply) : -1], reply)]
-        self.counts.append(every[-2:])
-        self.first.append(reply[-1] > 0)
-        if len(every) > 2:
-            self.sums.append(every[:-2])
+        self.columns = [*moments, *_continuations(counts, first, self.suffix[level], len(keys)), np.where(are_words, self.spoken, len(self.codes))]
 
     def words(self, places: np.ndarray) -> list[np.ndarray]:
         """Hashes of the three words of some of the distinct 3-grams."""
@@ -174,15 +163,15 @@ class _Block:
         found = []
         for half in HALVES:
             below = None
-            for k in (2, 1, 0):
-                n = self.counts[k][half]
-                d, *whole = known[self.spoken, ORDER - k, half]
-                if k == 2:
+            for level in (3, 2, 1):
+                n = self.replies[level][half - 3].astype(np.int64)
+                d, *whole = known[self.spoken, ORDER + 1 - level, half]
+                if level == ORDER:
                     total, saved, below = whole
                 else:
-                    once, twice, often, more = (x[self.context[k]] for x in self.sums[k][4 * half : 4 * half + 4])
+                    once, twice, often, more = (x.astype(np.int64)[self.context[level]] for x in self.replies[level + 1][4 * half : 4 * half + 4])
                     total, saved = once + 2 * twice + 3 * often + more, d[0] * once + d[1] * twice + d[2] * often
-                    below = below[self.suffix[k]]
+                    below = below[self.suffix[level]]
                 cut = np.where(n == 0, 0.0, np.where(n == 1, d[0], np.where(n == 2, d[1], d[2])))
                 below = np.where(total == 0, below, (n - cut + saved * below) / np.maximum(total, 1))
             found.append(below)
@@ -228,24 +217,25 @@ def _over_blocks(docs: DataFrame, words: int | None, rows: Callable, schema: str
         every, folder = write_blocks(docs, identity(), words or word_blocks.BLOCK)
         for codes in language_groups(every):
 
-            def asks(name: str, replies: list[list[np.ndarray]], codes=codes) -> tuple[np.ndarray, list[np.ndarray]]:
+            def asks(name: str, replies: dict[int, list[np.ndarray]], codes=codes) -> tuple[np.ndarray, list[np.ndarray]]:
                 block = _Block(read_block(folder, name), replies, codes)
                 return block.keys, block.columns
 
-            answers = fresh_path(spark, "word-sums")
-            messages, sums, tallies = [of_languages(every, codes)], [], []
-            for level in range(ORDER):
-                # words are few, and one more round would count all n-grams again
-                counts, of_contexts, told = exchange(messages, asks, len(codes), answers, rounds if level < ORDER - 1 else 1)
-                messages, sums, tallies = [*messages, counts], [*sums, of_contexts], [*tallies, told]
+            blocks, answers = of_languages(every, codes), fresh_path(spark, "word-sums")
+            counts, sums, tallies = [], [], []
+            for level in range(1, ORDER + 1):
+                # only the many columns of pairs need rounds
+                own = exchange([blocks, *counts[-1:]], asks, level, len(codes), answers, rounds if level == 2 else 1)
+                for kept, x in zip((counts, sums, tallies), own):
+                    kept.append(x)
             known = _discounts(tallies[0].unionByName(tallies[1]).unionByName(tallies[2]))
 
-            def finished(name: str, replies: list[list[np.ndarray]], codes=codes, known=known) -> Iterator[pa.RecordBatch]:
+            def finished(name: str, replies: dict[int, list[np.ndarray]], codes=codes, known=known) -> Iterator[pa.RecordBatch]:
                 block = _Block(read_block(folder, name), replies, codes)
                 yield from rows(block, block.probabilities(known))
 
             for turn in range(rounds):
-                some = [x.where(F.pmod(F.xxhash64("block"), F.lit(rounds)) == turn) for x in [*messages, *sums]]
+                some = [x.where(F.pmod(F.xxhash64("block"), F.lit(rounds)) == turn) for x in [blocks, *counts, *sums]]
                 found.append(stored(with_blocks(some, finished, schema), "word-model"))
             for path in (answers, *(f"{folder}/{x:016x}" for x in codes.tolist())):
                 drop_folder(path)
@@ -260,7 +250,7 @@ def train(docs: DataFrame, words: int | None = None) -> DataFrame:
     names = ["l", "a", "b", "c", "p0", "p1"]
 
     def rows(block: _Block, p: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        first = block.first[0]
+        first = block.replies[1][-1] > 0
         columns = [np.full(int(first.sum()), block.codes[block.spoken]).view(np.int64), *(x.view(np.int64) for x in block.words(first)), *(x[first] for x in p)]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
 

@@ -106,12 +106,12 @@ def test_words_move_as_packed_arrays(spark):
         block = word_model._Block(word_blocks.read_block(folder, name), replies, codes)
         return block.keys, block.columns
 
-    messages, sums = [blocks], []
-    for _ in range(3):
-        counts, of_contexts, _ = word_blocks.exchange(messages, asks, 1, f"{folder}/answers")
-        messages, sums = [*messages, counts], [*sums, of_contexts]
-    assert files + sum(m.agg(F.sum(F.length("payload"))).first()[0] or 0 for m in [*messages, *sums]) < 8 * 80_000
-    assert all(m.count() <= blocks.count() * 4 * word_blocks.ROUNDS for m in [*messages, *sums])
+    counts, sums = [], []
+    for level in (1, 2, 3):
+        own, of_contexts, _ = word_blocks.exchange([blocks, *counts[-1:]], asks, level, 1, f"{folder}/answers")
+        counts, sums = [*counts, own], [*sums, of_contexts]
+    assert files + sum(m.agg(F.sum(F.length("payload"))).first()[0] or 0 for m in [*counts, *sums]) < 8 * 80_000
+    assert all(m.count() <= blocks.count() * 4 * word_blocks.ROUNDS for m in [*counts, *sums])
 
 
 def test_packed_columns_and_groups():
