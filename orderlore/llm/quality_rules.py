@@ -16,7 +16,29 @@ WINDOW, LEAST_WORDS, MOST_REPEATED, GRID = 8, 20, 30, 1000
 #: Width of the bands in interquartile ranges below the first and above the third quartile.
 BELOW, ABOVE = 3.0, 2.0
 _BLANKS = str.maketrans("", "", " \t\n\v\f\r")
-_SYMBOLS = [ord(c) for c in "#*$%&|<>"]
+_SYMBOLS = [c.encode() for c in "#*$%&|<>"]
+
+
+def _rolled(hashes: np.ndarray, window: int) -> np.ndarray:
+    """Hashes of all windows of words, from those of windows of 1, 2, 4 and so on."""
+    n, done, size = len(hashes) - window + 1, None, 0
+    power, width = hashes, 1
+    while True:
+        if window & width:
+            done = power[:n] if done is None else _joined(done, power[size : size + n])
+            size += width
+        if size == window:
+            return done
+        power = _joined(power[:-width], power[width:])
+        width *= 2
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    mixed = a * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(31)
+    mixed += b
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    return mixed
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -24,15 +46,12 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     n = len(words) - window + 1
     if n < 2:
         return 0
-    hashes = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
-    rolled = np.zeros(n, np.uint64)
-    for i in range(window):
-        rolled = (rolled ^ hashes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-        rolled ^= rolled >> np.uint64(31)
+    rolled = _rolled(np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64), window)
+    ranked = np.sort(rolled)
+    if not (ranked[1:] == ranked[:-1]).any():
+        return 0
     order = np.argsort(rolled, kind="stable")
     same = rolled[order[1:]] == rolled[order[:-1]]
-    if not same.any():
-        return 0
     first, hit = {}, np.zeros(len(words) + 1, np.int64)
     candidates = np.unique(np.concatenate([order[1:][same], order[:-1][same]]))
     for at in candidates.tolist():
@@ -49,10 +68,9 @@ def measures(text: str) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of one text."""
     raw = text.encode()
     words = raw.split()
-    counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
-    blanks = int(counts[32] + counts[9:14].sum())
-    lines = [x for x in raw.split(b"\n") if x.split(None, 1)]
-    return len(words), len(text) - blanks, int(counts[_SYMBOLS].sum()), len(lines) - len(set(lines)), repeated_words(words)
+    lines = [x for x in raw.split(b"\n") if x and not x.isspace()]
+    blanks = len(raw) - sum(map(len, words))
+    return len(words), len(text) - blanks, sum(map(raw.count, _SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words)
 
 
 _MEASURES = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
