@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -17,11 +18,12 @@ class ByteEncoder:
     def __init__(self, path: str):
         self.library, self.special = tokenizer(path), tuple(special_strings(path))
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.cache = PieceCache(self._missing)
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.cache = PieceCache(self._missing, limit=1_000_000)
 
     def _missing(self, pieces: list[str]) -> list[bytes]:
         encoded = self.library.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.asarray(e.ids, self.dtype).tobytes() for e in encoded]
+        return [struct.pack(f"<{len(ids)}{self.code}", *ids) for ids in (e.ids for e in encoded)]
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned integers of `dtype`."""

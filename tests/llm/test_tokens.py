@@ -128,3 +128,14 @@ def test_stored_counts_are_not_encoded_again(spark, corpus):
     spark.createDataFrame(rows, token_counts.CACHE).write.parquet(cache)
     got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(corpus.where("doc_id in (4, 5)"), BYTE, cache).collect()}
     assert got == {4: 77, 5: 0}
+
+
+def test_byte_pieces_are_remembered_over_half_a_million_others():
+    """Words of natural text are that many; a piece that was forgotten goes through the library again."""
+    encoder, asked = ByteEncoder(BYTE), []
+    assert encoder._missing([" word", "s" * 70]) == [np.asarray(encoder.library.encode(x, add_special_tokens=False).ids, encoder.dtype).tobytes() for x in (" word", "s" * 70)]
+    encoder.cache.encode = lambda pieces: asked.extend(pieces) or [b"x"] * len(pieces)
+    for start in range(0, 600_000, 1000):
+        encoder.cache([str(i) for i in range(start, start + 1000)])
+    assert encoder.cache([str(i) for i in range(1000)]) == [b"x"] * 1000 and len(asked) == 600_000
+    assert len(encoder.cache.known) + len(encoder.cache.older) <= 1_000_000
