@@ -11,6 +11,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orderlore.functions.fields import outcomes_of
 from orderlore.functions.numeric import ratio
 from orderlore.functions.similarity import indel_ratio_above
 from orderlore.functions.text import allow_repeated_keys, strip
@@ -19,6 +20,7 @@ from orderlore.session import materialise
 NUMBER_TOLERANCE = 0.01
 PARTIAL_RATIO = 0.80
 LEVELS_AT_ONCE = 4
+LONG_PAIR = 1 << 20
 TRUTH_KEYS = ("0_expected", "expected")
 
 
@@ -201,6 +203,24 @@ def match_class(truth: str = "t", predicted: str = "p") -> Column:
 def compare_fields(pairs: DataFrame, key: str = "prediction_file") -> DataFrame:
     """D06, row level: (key, path, outcome) with outcome exact, partial, wrong, missing or extra.
 
+    Both documents of a pair lie in one row and are compared there, so no leaf is shuffled or written. Pairs that this can't
+    settle go through `_compare_leaves`: those of more than LONG_PAIR bytes, of a document with two leaves of one path, and
+    those that share their key, whose leaves count once a path.
+    """
+    fields = outcomes_of(truth_body(F.col("truth")), F.col("document"), NUMBER_TOLERANCE, PARTIAL_RATIO, LONG_PAIR)
+    done = materialise(pairs.select(key, fields.alias("fields")), "document-fields").withColumn("_hash", F.xxhash64(key))
+    unsettled = (F.count("*") > 1) | F.bool_or(F.col("fields").isNull())
+    again = materialise(done.groupBy("_hash").agg(unsettled.alias("_again")).where("_again").select("_hash"), "document-again")
+    listed = lambda rows: rows.select(key, F.inline("fields"))
+    if again.isEmpty():
+        return listed(done)
+    rest = pairs.withColumn("_hash", F.xxhash64(key)).join(again, "_hash", "left_semi").drop("_hash")
+    return listed(done.join(again, "_hash", "left_anti")).unionByName(_compare_leaves(rest, key))
+
+
+def _compare_leaves(pairs: DataFrame, key: str) -> DataFrame:
+    """The same as rows of leaves, however long the documents are and however often a key or a path occurs.
+
     Both documents of a pair are opened in one pass, and once more from where they go deeper. Their leaves meet in an
     aggregate on (key, path), which joins most of them before the shuffle, and the leaves of one long document are spread over
     many tasks.

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from conftest import rows
@@ -91,3 +92,71 @@ def test_lenient_parse_and_pairing(spark):
 def test_only_lists_that_may_be_deep_are_doubted(spark):
     df = spark.createDataFrame([('["x1.0, y", {"k": [1]}]',), ("[[[[[1]]]]]",), ('{"a": 1}',)], "t string").select(F.parse_json("t").alias("leaf"))
     assert [r[0] for r in df.select(documents._may_be_deep()).collect()] == [False, True, False]
+
+
+def many_pairs(spark, made):
+    df = spark.createDataFrame([(k, json.dumps({"0_expected": t}), json.dumps(p)) for k, t, p in made], "prediction_file string, t string, d string")
+    return df.select("prediction_file", F.parse_json("t").alias("truth"), F.parse_json("d").alias("document"))
+
+
+def some_value(rng, level=0):
+    """A value of any kind, objects and lists of several levels among them."""
+    kind = rng.randrange(12 if level < 5 else 9)
+    if kind < 2:
+        return rng.choice([0, 1, -1, 127, 128, -129, 40000, 2**31, 2**53 + 1, -(2**63), 10**25, 10**60, 1.5, 100.0, 100.9, 0.1, -1e-7, 1e10, 1e300])
+    if kind < 6:
+        return rng.choice(["", " a", "A\t", "Customer 12", "customer 13", "é" * 30, "É\U0001f600", "x" * 70, "x" * 69 + "Y", "null", "1", "İ", "ὈΔΥΣΣΕΎΣ", " a", '"\\'])
+    if kind < 9:
+        return rng.choice([None, True, False, [], {}])
+    if kind == 9:
+        return [some_value(rng, level + 1) for _ in range(rng.randrange(4))]
+    return {rng.choice("abcdefgh") * rng.choice([1, 1, 90]): some_value(rng, level + 1) for _ in range(rng.randrange(12))}
+
+
+def changed(rng, value):
+    """A value much like another."""
+    if rng.random() < 0.1:
+        return some_value(rng, 3)
+    if isinstance(value, dict):
+        return {k: changed(rng, v) for k, v in value.items() if rng.random() < 0.95}
+    if isinstance(value, list):
+        return [changed(rng, v) for v in value]
+    return value * 1.005 if isinstance(value, float) else value
+
+
+def test_rows_are_compared_as_rows_of_leaves(spark, monkeypatch):
+    rng = random.Random(5)
+    truths = [{k: some_value(rng) for k in rng.sample(["k", "l", "m", "n", "o", "p" * 300], 4)} for _ in range(300)]
+    truths += [5, "x", None, [1, [2]], {"a" + str(i): i for i in range(300)}, {"long": ["z" * 70_000, {"t": list(range(300))}]}]
+    made = [(f"{i}.json", t, changed(rng, t)) for i, t in enumerate(truths)]
+    df = many_pairs(spark, made)
+    want = rows(documents._compare_leaves(df, "prediction_file"), "prediction_file", "path", "outcome")
+    assert {r[2] for r in want} == {"exact", "partial", "wrong", "missing", "extra"}
+    monkeypatch.setattr(documents, "_compare_leaves", None)  # none of them is left to it
+    assert rows(documents.compare_fields(df), "prediction_file", "path", "outcome") == want
+
+
+def test_pairs_are_compared_without_writing_leaves(spark, monkeypatch):
+    labels, write = [], documents.materialise
+    monkeypatch.setattr(documents, "materialise", lambda df, label: labels.append(label) or write(df, label))
+    deep = 1
+    for i in range(40):
+        deep = [deep] if i % 2 else {"n": deep}
+    assert set(outcomes(spark, {"a": deep, "b": 1}, {"a": deep}).values()) == {"exact", "missing"}
+    assert labels and "document-leaves" not in labels
+
+
+def test_pairs_that_rows_do_not_settle(spark, monkeypatch):
+    made = [
+        ("same", {"a": 1, "b": 2, "c": 3}, {"a": 1, "b": 9}), ("same", {"a": 1, "b": 2, "d": 4}, {"a": 1, "b": 2}),
+        (None, {"a": 1}, {"a": 2}), (None, {"a": 1}, {"a": 2}),
+        ("path", {"a.b": 1, "a": {"b": 2}}, {"a": {"b": 2}}), ("long", {"t": "x" * 500}, {"t": "X" * 500}), ("plain", {"a": 1}, {"b": 1}),
+    ]
+    monkeypatch.setattr(documents, "LONG_PAIR", 900)
+    df = many_pairs(spark, made)
+    got = rows(documents.compare_fields(df), "prediction_file", "path", "outcome")
+    assert got == rows(documents._compare_leaves(df, "prediction_file"), "prediction_file", "path", "outcome")
+    assert [r for r in got if r[0] == "same"] == [("same", "a", "exact"), ("same", "b", "wrong"), ("same", "c", "missing"), ("same", "d", "missing")]
+    assert {r for r in got if r[0] in (None, "path", "long", "plain")} == {
+        (None, "a", "wrong"), ("path", "a.b", "exact"), ("long", "t", "exact"), ("plain", "a", "missing"), ("plain", "b", "extra")
+    }
