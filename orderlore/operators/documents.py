@@ -31,10 +31,15 @@ def document(text: Column) -> Column:
 
 
 def lenient_document(text: Column) -> Column:
-    """The text as JSON, else its part from the first to the last brace, else an empty object."""
+    """The text as JSON, else its part from the first to the last brace, else an empty object.
+
+    A text that begins with a letter JSON can't begin with is not tried whole, since a parse that fails costs several that don't.
+    """
     allow_repeated_keys()
     inner = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    return F.coalesce(F.try_parse_json(text), F.try_parse_json(inner), F.parse_json(F.lit("{}")))
+    first = F.left(text, F.lit(1))
+    is_prose = first.between("A", "Z") | first.between("a", "z") & ~first.isin("t", "f", "n")
+    return F.coalesce(F.when(~is_prose, F.try_parse_json(text)), F.try_parse_json(inner), F.parse_json(F.lit("{}")))
 
 
 def stem(path: Column) -> Column:

@@ -2,7 +2,7 @@ import json
 import random
 
 import pytest
-from conftest import rows
+from conftest import SF, rows
 from pyspark.sql import functions as F
 
 from orderlore.operators import documents
@@ -160,3 +160,26 @@ def test_pairs_that_rows_do_not_settle(spark, monkeypatch):
     assert {r for r in got if r[0] in (None, "path", "long", "plain")} == {
         (None, "a", "wrong"), ("path", "a.b", "exact"), ("long", "t", "exact"), ("plain", "a", "missing"), ("plain", "b", "extra")
     }
+
+
+def test_prose_is_not_parsed_whole(spark):
+    """What stands before a document makes no difference, and a text that can't be JSON is looked into for one."""
+    heads = ["", " ", "Result: ", "result: ", "True ", "Infinity", "NaN ", "true", "false ", "null ", "e", "z", "É", "1 ", '"', "[", "{"]
+    texts = [(h + body,) for h in heads for body in ('{"k": 1}', '{"k": {"l": 2}} end', "none", "")] + [(None,)]
+    df = spark.createDataFrame(texts, "t string")
+    documents.allow_repeated_keys()
+    inner = F.regexp_extract("t", r"(?s)\{.*\}", 0)
+    plain = F.coalesce(F.try_parse_json("t"), F.try_parse_json(inner), F.parse_json(F.lit("{}")))
+    got = df.select("t", F.to_json(documents.lenient_document(F.col("t"))).alias("g"), F.to_json(plain).alias("w")).collect()
+    assert len(got) == len(texts) and [r for r in got if r["g"] != r["w"]] == []
+    tries = documents.lenient_document(F.lit("Result: {}"))
+    assert "CASE WHEN" in str(tries)
+
+
+def test_document_texts_are_not_shuffled(spark):
+    """The orders are dealt out while they are short; no exchange carries the texts made of them."""
+    from orderlore.plans.test_views import documents as made
+
+    text = made(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    above, below = text.split("REPARTITION")
+    assert all(name in above and name not in below for name in ("predicted_text", "truth_text"))
