@@ -183,3 +183,12 @@ def test_document_texts_are_not_shuffled(spark):
     text = made(spark, SF)._jdf.queryExecution().executedPlan().toString()
     above, below = text.split("REPARTITION")
     assert all(name in above and name not in below for name in ("predicted_text", "truth_text"))
+
+
+def test_reports_of_rows_and_of_leaves_agree(spark):
+    rng = random.Random(8)
+    truths = [{k: some_value(rng) for k in rng.sample("klmno", rng.randrange(5))} for _ in range(100)]
+    df = many_pairs(spark, [(f"{i % 90}.json", t, changed(rng, t)) for i, t in enumerate(truths)])
+    got = rows(documents.report(documents.compare_fields(df)))
+    assert got == rows(documents.report(documents._compare_leaves(df, "prediction_file")))
+    assert len({r[0] for r in got}) == len(got) > 60
