@@ -192,3 +192,11 @@ def test_reports_of_rows_and_of_leaves_agree(spark):
     got = rows(documents.report(documents.compare_fields(df)))
     assert got == rows(documents.report(documents._compare_leaves(df, "prediction_file")))
     assert len({r[0] for r in got}) == len(got) > 60
+
+
+def test_a_report_is_one_exchange_of_counts(spark):
+    df = many_pairs(spark, [("a", {"x": 1, "y": {"z": 2}}, {"x": 1, "y": {"z": "2"}}), ("b", {"x": 1}, {})])
+    report = documents.report(documents.compare_fields(df))
+    exchanges = [line for line in report._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line]
+    assert len(exchanges) == 1 and "path" not in exchanges[0]
+    assert rows(report, "prediction_file", "tp", "fp", "fn") == [("a", 1, 1, 0), ("b", 0, 0, 1)]
